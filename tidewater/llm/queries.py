@@ -19,12 +19,24 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode
+
+    return encode(_table(spark, sf_dir, "documents"), with_ids=False, check=True)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .training_order import materialise
+
+    return materialise(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import report
 
@@ -43,6 +55,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import document_counts
+
+    return document_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import classes
 
@@ -52,10 +70,13 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_language_id": op3_language_id,
+        "op4_training_order": op4_training_order,
         "op5_pii": op5_pii,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontamination": op7_decontamination,
+        "op8_token_counts": op8_token_counts,
         "op9_simhash_dedup": op9_simhash_dedup,
     }
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from .arrowtext import chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words that a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -62,8 +64,18 @@ class PieceModel:
         if crossing:
             raise ValueError("pieces that cross words")
         self.cut_lines = not any("\n" in p for p in self.ids)
-        self._whole: dict[str, bool] = {}
-        self._pair: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[str, dict[str, bool]] = {}
+        self._n_pairs = 0
+        self._whole: set[str] = set()
+        self._tails: dict[str, tuple[int, ...]] = {}
+        if not self.unigram:
+            tails: dict[str, set[int]] = {}
+            for p in self.ids:
+                if len(self.merged(p)) == 1:
+                    self._whole.add(p)
+                    if len(p) > 2:
+                        tails.setdefault(p[-3:], set()).add(len(p))
+            self._tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         self._known: dict[str, bytes] = {"": b""}
         self._words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.cut_lines else f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -95,19 +107,14 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_whole(self, piece: str) -> bool:
-        known = self._whole.get(piece)
-        if known is None:
-            known = self._whole[piece] = len(piece) == 1 or (piece in self.ids and len(self.merged(piece)) == 1)
-        return known
-
     def _neighbours(self, a: str, b: str) -> bool:
-        known = self._pair.get((a, b))
-        if known is None:
-            if len(self._pair) > 1 << 19:
-                self._pair.clear()
-            known = self._pair[a, b] = self.merged(a + b) == [a, b]
-        return known
+        if self._n_pairs > 1 << 19:
+            self._pairs.clear()
+            self._n_pairs = 0
+        self._n_pairs += 1
+        lawful = self.merged(a + b) == [a, b]
+        self._pairs.setdefault(b, {})[a] = lawful
+        return lawful
 
     def _spell(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -123,39 +130,64 @@ class PieceModel:
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """The ids of distinct words, in sorted order."""
-        last, best, size = "", [0.0], [0]
-        ids, score, longest, unigram = self.ids, self.score, self.longest, self.unigram
-        for word in sorted(words):
-            if not unigram and MARK * 2 in word:
+        return (self._viterbi if self.unigram else self._chain)(sorted(words))
+
+    def _viterbi(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Unigram: best[i] is the score of the best pieces of the first i characters, take[i] the length of the last."""
+        last, best, take = "", [0.0], [0]
+        score, longest = self.score, self.longest
+        for word in words:
+            k = _shared(last, word)
+            del take[k + 1 :], best[k + 1 :]
+            for end in range(k + 1, len(word) + 1):
+                top, length = best[end - 1] + self.worst, 1
+                for n in range(1, min(longest, end) + 1):
+                    s = score.get(word[end - n : end])
+                    if s is not None and (n == 1 or best[end - n] + s > top):
+                        top, length = best[end - n] + s, n
+                best.append(top)
+                take.append(length)
+            last = word
+            pieces, end = [], len(word)
+            while end:
+                pieces.append(word[end - take[end] : end])
+                end -= take[end]
+            yield word, self._spell(reversed(pieces))
+
+    def _chain(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Byte pairs: piece[i] is the last piece of the encoding of the first i characters."""
+        last, piece = "", [""]
+        whole, tails, pairs, neighbours = self._whole, self._tails, self._pairs, self._neighbours
+        none: dict[str, bool] = {}
+        runs = MARK * 2
+        for word in words:
+            if runs in word:
                 yield word, self._spell(self.merged(word))
                 continue
-            n = min(len(last), len(word))
-            k = next((i for i in range(n) if last[i] != word[i]), n)
-            del size[k + 1 :], best[k + 1 :]
+            k = _shared(last, word)
+            del piece[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                if unigram:
-                    top, take = best[end - 1] + self.worst, 1
-                    for length in range(1, min(longest, end) + 1):
-                        s = score.get(word[end - length : end])
-                        if s is not None and best[end - length] + s > top or (s is not None and length == 1):
-                            top, take = best[end - length] + s, length
-                    best.append(top)
-                    size.append(take)
-                    continue
-                for length in range(min(longest, end), 0, -1):
-                    piece = word[end - length : end]
-                    if length > 1 and (piece not in ids or not self._is_whole(piece)):
+                for n in (*tails.get(word[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1) if end == 2 else (1,):
+                    start = end - n
+                    if start < 0:
+                        continue
+                    p = word[start:end]
+                    if n > 1 and p not in whole:
                         continue
-                    start = end - length
-                    if start == 0 or self._neighbours(word[start - size[start] : start], piece):
-                        size.append(length)
+                    if not start:
                         break
+                    before = piece[start]
+                    lawful = pairs.get(p, none).get(before)
+                    if lawful or (lawful is None and neighbours(before, p)):
+                        break
+                piece.append(p)
             last = word
-            pieces, end = [], len(word)
+            found, end = [], len(word)
             while end:
-                pieces.append(word[end - size[end] : end])
-                end -= size[end]
-            yield word, self._spell(reversed(pieces))
+                found.append(piece[end])
+                end -= len(piece[end])
+            found.reverse()
+            yield word, self._spell(found)
 
     # -- texts --------------------------------------------------------------------------------------------------
 
@@ -169,8 +201,9 @@ class PieceModel:
             known.clear()
             known[""] = b""
             fresh = set().union(*cut) - {""}
+        code = "H" if self.width.itemsize == 2 else "I"
         for word, ids in self.encode_words(fresh):
-            known[word] = np.array(ids, self.width).tobytes()
+            known[word] = array(code, ids).tobytes()
         get = known.__getitem__
         return [b"".join(map(get, u)) for u in cut]
 
@@ -180,6 +213,20 @@ class PieceModel:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+assert sys.byteorder == "little"
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    k = 0
+    while a[k] == b[k]:
+        k += 1
+    return k
+
+
 _loaded: dict[bytes, PieceModel] = {}
 
 
