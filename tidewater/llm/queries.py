@@ -67,6 +67,12 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -78,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op7_decontamination": op7_decontamination,
         "op8_token_counts": op8_token_counts,
         "op9_simhash_dedup": op9_simhash_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
