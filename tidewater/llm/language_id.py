@@ -127,6 +127,7 @@ def count_trees(samples: dict[str, list[bytes]]) -> ContextTrees:
         got, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         table = np.zeros(sizes[-1] * width, np.int32)
         table[got] = np.arange(1, len(got) + 1)
+        table[:width] = 0  # nothing follows what wasn't seen; only the buffer's first byte is counted there
         nexts.append(table)
         ids.append(inverse.astype(np.int64) + 1)
         sizes.append(len(got) + 1)

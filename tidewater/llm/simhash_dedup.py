@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import SPACE, chunks, lower_ascii, text_buffer, word_spans
@@ -305,3 +305,16 @@ def classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
     names = named.groupBy("root").agg(F.min("m").alias("component_id"))
     of = cut(named.select("fp", "root").join(names, "root").select("fp", "component_id"))
     return docs.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """The documents without those that their class already has: the one with the smallest doc_id stays, once (of rows
+    that repeat its id, the one with the smallest text). Rows with a null doc_id can't be told apart and stay."""
+    gone = classes(documents, limit).where("component_id <> doc_id").select("doc_id").distinct()
+    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    again = cut(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    repeated = kept.join(again, "doc_id", "left_semi").withColumn("_tw_n", F.row_number().over(first)).where("_tw_n = 1").select(*documents.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(repeated)
