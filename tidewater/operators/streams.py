@@ -17,6 +17,7 @@ from .kernels import Kernel, kernel
 
 
 #: Offset strings: seconds of one unit. Calendar units have no fixed length and are refused.
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 UNITS = {"s": 1, "min": 60, "T": 60, "h": 3600, "D": 86400}
 
 
@@ -31,10 +32,23 @@ class Stream:
             raise ValueError(f"the frame has no column {ts}")
         if kind in ("double", "float"):
             raise ValueError("a stream's index must be an integer or a timestamp")
-        self.timed = kind.startswith("timestamp")
+        self.kind, self.timed = kind, kind.startswith("timestamp")
         clean = [missing(F.col(v).cast("double")).alias(v) for v in self.values]
         self.df = df.select(*self.key, ts, *[c for c in self.seq if c not in (ts, *self.key)], *clean)
 
+    def micros(self, ts: Column | str) -> Column:
+        """An index as a number: itself, or microseconds since 1970. Time zones don't matter to local timestamps."""
+        c = F.col(ts) if isinstance(ts, str) else ts
+        if not self.timed:
+            return c.cast("long")
+        return F.unix_micros(c) if self.kind == "timestamp" else ((c - F.expr(EPOCH)).cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
+
+    def index(self, number: Column) -> Column:
+        """The inverse of micros."""
+        if not self.timed:
+            return number.cast(self.kind)
+        return F.timestamp_micros(number) if self.kind == "timestamp" else F.expr(EPOCH) + F.make_dt_interval(secs=(number.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
     @property
     def order(self) -> list[str]:
         return [self.ts, *self.seq]
@@ -92,9 +106,7 @@ def delay(stream: Stream, duration: int | float | str) -> Stream:
 
 
 def shifted(stream: Stream, ts: Column, duration: int | float | str) -> Column:
-    if not stream.timed:
-        return ts + F.lit(int(duration)).cast(dict(stream.df.dtypes)[stream.ts])
-    return F.timestamp_micros(F.unix_micros(ts) + F.lit(micros(duration)))
+    return stream.index(stream.micros(ts) + F.lit(micros(duration) if stream.timed else int(duration)))
 
 
 def micros(duration: int | float | str) -> int:
@@ -287,8 +299,7 @@ def resample(stream: Stream, agg: str | Operator = "last", *, freq=None, every=N
         width = freq if freq is not None else every
         step = micros(width) if s.timed else int(width)
         zero = origin if not s.timed else micros(origin) if isinstance(origin, (int, float, str)) else int(origin.timestamp() * 1_000_000)
-        index = F.unix_micros(s.ts) if s.timed else F.col(s.ts).cast("long")
-        rows = rows.withColumn("_tw_bar", F.floor((index - F.lit(zero)) / F.lit(step)))
+        rows = rows.withColumn("_tw_bar", F.floor((s.micros(s.ts) - F.lit(zero)) / F.lit(step)).cast("long"))
     group = [*s.key, "_tw_bar"]
     if isinstance(agg, Operator):
         outs = [o or "value" for o in agg.spec.outputs]
@@ -304,9 +315,8 @@ def resample(stream: Stream, agg: str | Operator = "last", *, freq=None, every=N
     if count is not None or threshold is not None:
         return Stream(bars.select(*s.key, F.col("_tw_first" if label == "left" else "_tw_last").alias(s.ts), *names, "_tw_bar"), s.ts, names, s.key, ["_tw_bar"])
     bars = _filled(bars.drop("_tw_first", "_tw_last"), s.key, names, fill)
-    edge = (F.col("_tw_bar") + (label == "right")) * F.lit(step) + F.lit(zero)
-    ts = F.timestamp_micros(edge) if s.timed else edge.cast(dict(s.df.dtypes)[s.ts])
-    return Stream(bars.select(*s.key, ts.alias(s.ts), *names), s.ts, names, s.key)
+    edge = (F.col("_tw_bar") + F.lit(int(label == "right"))) * F.lit(step) + F.lit(zero)
+    return Stream(bars.select(*s.key, s.index(edge).alias(s.ts), *names), s.ts, names, s.key)
 
 
 def _filled(bars: DataFrame, key: list[str], names: list[str], fill: str) -> DataFrame:
@@ -345,7 +355,7 @@ def _by_clock(s: Stream, agg: str, clock: Stream, fill: str, max_age) -> Stream:
         rows = rows.select(*s.key, s.ts, F.last(F.when(F.col("_tw_has"), row), ignorenulls=True).over(past).alias("_tw_row"))
     young = F.lit(True)
     if max_age is not None:
-        age = F.unix_micros(s.ts) - F.unix_micros("_tw_row._tw_seen") if s.timed else F.col(s.ts) - F.col("_tw_row._tw_seen")
+        age = s.micros(s.ts) - s.micros("_tw_row._tw_seen")
         young = age <= (micros(max_age) if s.timed else int(max_age))
     return Stream(rows.select(*s.key, s.ts, *[F.when(young, F.col(f"_tw_row.{n}")).alias(n) for n in names]), s.ts, names, s.key)
 

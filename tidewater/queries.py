@@ -257,7 +257,8 @@ _P = lambda e: [(there("x y"), {"v1": "list(x) {u}", "v2": "list(y) {u}", "v3":
 for _call, _e in (("EwCov(alpha=0.25)", "cv * n / (n - 1)"), ("EwCorr(alpha=0.25)", "cv / sqrt(vx * vy)"), ("EwBeta(alpha=0.25)", "cv / vy"), ("EwAlpha(alpha=0.25)", "e1 - cv / vy * e2"), ("EwSpread(alpha=0.25)", "x - cv / vy * y")):
     add(_call, "x y", _P(_e), digits=5)
 add("EwKyleLambda(alpha=0.25)", "y x", _P("cv / vy"), digits=5)
-for _call, _c in (("EwResidualStd(alpha=0.25)", "x y"), ("BayesianRegression(alpha=0.05)", "x y"), ("EwYangZhangVar(alpha=0.25)", "o h l c"), ("EwYangZhangVol(alpha=0.25)", "o h l c")):
+add("EwResidualStd(alpha=0.25)", "x y", digits=4)
+for _call, _c in (("BayesianRegression(alpha=0.05)", "x y"), ("EwYangZhangVar(alpha=0.25)", "o h l c"), ("EwYangZhangVol(alpha=0.25)", "o h l c")):
     add(_call, _c)
 _E1 = [(there("x"), {"v1": "list(x) {u}"}), (there("x"), {"e1": f"{ew('v1', _A)} / {_ones('v1', _A)}"}), (there("x"), {"v2": "list(e1) {u}"}), (there("x"), {"e2": f"{ew('v2', _A)} / {_ones('v2', _A)}"}), (there("x"), {"v3": "list(e2) {u}"}), (there("x"), {"e3": f"{ew('v3', _A)} / {_ones('v3', _A)}"})]
 add("DEMA(alpha=0.25)", "x", [*_E1, (there("x"), {"out": "2 * e1 - e2"})])
@@ -317,6 +318,243 @@ add(
 )
 
 
+# -- directional movement and further recursions -------------------------------------------------------------------------
+
+
+def _directional(ok: str, close: str) -> list:
+    f = "pow(9e0 / 10, {e})"
+    def total(c: str) -> str:
+        """Wilder's sum of a list in closed form: nine values seed it."""
+        return f"CASE WHEN len({c}) >= 10 THEN list_sum([{c}[i] * {f.format(e=f'len({c}) - greatest(i, 9)')} for i in range(1, len({c}) + 1)]) END"
+
+    return [
+        (ok, {"up": "h - lag(h) {s}", "dn": "lag(l) {s} - l", "tr": f"greatest(h - l, abs(h - lag({close}) {{s}}), abs(l - lag({close}) {{s}})) + 0 * lag({close}) {{s}}"}),
+        (there("tr"), {"v1": "list(CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END) {u}", "v2": "list(CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END) {u}", "v3": "list(tr) {u}"}),
+        (there("tr"), {"pdm": total("v1"), "mdm": total("v2"), "st": total("v3")}),
+        (there("st"), {"pdi": "100 * pdm / st", "mdi": "100 * mdm / st"}),
+        (there("pdi"), {"dx": "CASE WHEN pdi + mdi > 0 THEN 100 * abs(pdi - mdi) / (pdi + mdi) ELSE 0 END"}),
+        (there("dx"), {"v4": "list(dx) {u}"}),
+        (there("dx"), {"adx": wilder("v4", 10)}),
+        (there("adx"), {"adxr": "(adx + lag(adx, 9) {s}) / 2"}),
+    ]
+
+
+def _oracle(key: str, stages: list, digits: int = 6, **outputs: str) -> None:
+    ORACLES[key] = _sql(stages, outputs, digits)
+
+
+_D2, _D3 = _directional(there("h l"), "l"), _directional(there("h l c"), "c")
+_oracle("plus_dm", _D2, out="pdm")
+_oracle("minus_dm", _D2, out="mdm")
+_oracle("plus_di", _D3, out="pdi")
+_oracle("minus_di", _D3, out="mdi")
+_oracle("dx", _D3, out="dx")
+_oracle("adx", _D3, plus_di="pdi", minus_di="mdi", adx="adx")
+_oracle("adxr", _D3, out="adxr")
+_oracle("ew_residual_std", [*_P("x - cv / vy * y"), (there("out"), {"v6": "list(out) {u}", "v7": "list(out * out) {u}"}), (there("out"), {"q1": ew("v6", _A), "q2": ew("v7", _A), "wq": _ones("v6", _A), "wr": _ones("v6", _A, 2.0)}), (there("out"), {"res": "CASE WHEN wq * wq / wr > 1 THEN sqrt(greatest((q2 / wq - pow(q1 / wq, 2)) * (wq * wq / wr) / (wq * wq / wr - 1), 0)) END"})], 4, out="res")
+_EYZ = [
+    (there("o h l c"), {"d": "ln(o / lag(c) {s})", "v1": "list(ln(c / o)) {u}", "v2": "list(pow(ln(c / o), 2)) {u}", "v3": f"list({_TERMS['RogersSatchell'][1]}) {{u}}"}),
+    (there("d"), {"v4": "list(d) {u}", "v5": "list(d * d) {u}"}),
+    (there("d"), {"w1": _ones("v1", _A), "w2": _ones("v1", _A, 2.0), "w4": _ones("v4", _A), "w5": _ones("v4", _A, 2.0)}),
+    (there("d"), {"n1": "w1 * w1 / w2", "n4": "w4 * w4 / w5"}),
+    (there("d"), {"day": f"({ew('v2', _A)} / w1 - pow({ew('v1', _A)} / w1, 2)) * n1 / (n1 - 1)", "rs": f"{ew('v3', _A)} / w1", "night": f"CASE WHEN n4 > 1 THEN ({ew('v5', _A)} / w4 - pow({ew('v4', _A)} / w4, 2)) * n4 / (n4 - 1) END", "kk": "CASE WHEN n4 > 1 THEN 0.34e0 / (1.34e0 + (n4 + 1) / (n4 - 1)) END"}),
+    (there("night"), {"res": "night + kk * day + (1 - kk) * rs"}),
+    (there("res"), {"rt": "sqrt(greatest(res, 0))"}),
+]
+_oracle("ew_yang_zhang_var", _EYZ, out="res")
+_oracle("ew_yang_zhang_vol", _EYZ, out="rt")
+
+
+def _impulse(call: str, n: int = 400) -> list[float]:
+    """The response of a recursive filter to a single one: with it the filter is a weighted sum of the past."""
+    from .operators import kernels as k
+
+    chain = {"Butter": [k.Butter(2, 0.2)], "ButterHighpass": [k.ButterHighpass(2, 0.2)], "ButterBandpass": [k.ButterBandpass(2, 0.1, 0.3)], "ButterBandstop": [k.ButterBandstop(2, 0.1, 0.3)], "SuperSmoother": [k.SuperSmoother(10.0, None)], "Decycler": [k.Decycler(20.0, None)], "RoofingFilter": [k.Highpass2(30.0), k.SuperSmoother(8.0, None)]}[call]
+    out = [1.0] + [0.0] * (n - 1)
+    for f in chain:
+        out = [f.step(x) for x in out]
+    return out
+
+
+for _n in ("Butter", "ButterHighpass", "ButterBandpass", "ButterBandstop", "SuperSmoother", "Decycler", "RoofingFilter"):
+    _w = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _impulse(_n, 160)) + "]"
+    _oracle(snake(_n), [(there("x"), {"v1": "list(x) {u}"}), (there("x"), {"out": f"list_sum([v1[len(v1) - i] * ({_w})[i + 1] for i in range(0, least(len(v1), 160))])"})], out="out")
+
+# -- streams, bars, reports ---------------------------------------------------------------------------------------------------
+
+_LEFT = "SELECT user_id, ts, event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x FROM events WHERE event_type = 'click'"
+_RIGHT = "SELECT user_id, ts, event_id, value * 2 AS y FROM events WHERE event_type = 'view'"
+
+
+def _streams(spark: SparkSession, sf_dir: str):
+    from .operators.streams import Stream
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    left = events.where("event_type = 'click'").selectExpr("user_id", "ts", "event_id", "CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x")
+    right = events.where("event_type = 'view'").selectExpr("user_id", "ts", "event_id", "value * 2 AS y")
+    return Stream(left, "ts", "x", "user_id", "event_id"), Stream(right, "ts", "y", "user_id", "event_id")
+
+
+def _ticks(spark: SparkSession, sf_dir: str):
+    from .operators.streams import Stream
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_type", "ts", "event_id", "CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x", "CASE WHEN event_id % 4 = 0 THEN -1e0 ELSE 2e0 END AS v")
+    return Stream(rows, "ts", ["x", "v"], "event_type", "event_id")
+
+
+_TICKS = "SELECT event_type, ts, event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x, CASE WHEN event_id % 4 = 0 THEN -1e0 ELSE 2e0 END AS v FROM events"
+
+
+def _stream(name: str, run, names: str, sql: str | None, digits: int = 6, keys: str = "user_id ts") -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .operators.streams import Stream
+
+        out = run(spark, sf_dir)
+        df = out.df if hasattr(out, "df") else out
+        df = df.withColumn("ts", Stream(df, "ts", []).micros("ts"))
+        return tidy(df.select(*keys.split(), *names.split()), names.split(), digits)
+
+    QUERIES[name] = query
+    if sql:
+        cols = ", ".join([*("epoch_us(ts) AS ts" if k == "ts" else k for k in keys.split()), *(f"CASE WHEN isnan({n}::DOUBLE) THEN NULL ELSE round({n} + {_shift(digits)!r}::DOUBLE, {digits}) + 0e0 END AS {n}" for n in names.split())])
+        ORACLES[name] = f"SELECT {cols} FROM ({sql})"
+
+
+def _run(fn, *args, make_streams=_streams, **kw):
+    def run(spark: SparkSession, sf_dir: str):
+        from .operators import streams as st
+
+        s = make_streams(spark, sf_dir)
+        return getattr(st, fn)(*(s if isinstance(s, tuple) else (s,)), *args, **kw)
+
+    return run
+
+
+def _one(fn, *args, **kw):
+    return lambda spark, sf_dir: _run(fn, *args, make_streams=lambda a, b: _streams(a, b)[0], **kw)(spark, sf_dir)
+
+
+_ALIGNED = f"""SELECT user_id, ts, last_value(wx IGNORE NULLS) OVER p AS sx, last_value(wy IGNORE NULLS) OVER p AS sy FROM (
+SELECT user_id, ts, any_value(wx) AS wx, any_value(wy) AS wy FROM (SELECT user_id, ts, {{{{'v': x}}}} AS wx, NULL AS wy FROM ({_LEFT}) UNION ALL SELECT user_id, ts, NULL, {{{{'v': y}}}} FROM ({_RIGHT})) GROUP BY user_id, ts)
+WINDOW p AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""".replace("{{", "{").replace("}}", "}")
+_stream("combine_latest", _run("combine_latest"), "x y", f"SELECT user_id, ts, sx.v AS x, sy.v AS y FROM ({_ALIGNED}) WHERE sx IS NOT NULL AND sy IS NOT NULL")
+_stream("combine_latest_on_any", _run("combine_latest", emit="on_any"), "x y", f"SELECT user_id, ts, sx.v AS x, sy.v AS y FROM ({_ALIGNED})")
+_stream("filter", lambda s, d: _run("filter_by", make_streams=lambda a, b: (_streams(a, b)[0], _streams(a, b)[1].like(_streams(a, b)[1].df.withColumn("y", (F.col("y") > 60).cast("double")))))(s, d), "x", f"SELECT user_id, ts, sx.v AS x FROM ({_ALIGNED}) WHERE sx IS NOT NULL AND sy.v > 60")
+_stream("merge", lambda s, d: _run("merge")(s, d).withColumn("source", F.col("source").cast("double")), "source x", f"SELECT user_id, ts, 0e0 AS source, x FROM ({_LEFT}) UNION ALL SELECT user_id, ts, 1e0, y FROM ({_RIGHT})")
+
+
+def _split_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import streams as st
+
+    return st.split(st.merge(*_streams(spark, sf_dir)), 2)[1]
+
+
+_stream("split", _split_back, "x", f"SELECT user_id, ts, y AS x FROM ({_RIGHT})")
+_stream("select", lambda s, d: _run("select", [1], make_streams=_ticks)(s, d), "v", f"SELECT event_type, ts, v FROM ({_TICKS})", keys="event_type ts")
+_stream("dropna", _one("dropna"), "x", f"SELECT user_id, ts, x FROM ({_LEFT}) WHERE x IS NOT NULL")
+_stream("delay", _one("delay", "90s"), "x", f"SELECT user_id, ts + INTERVAL 90 SECOND AS ts, x FROM ({_LEFT})")
+_BUCKET = "floor((epoch_us(ts) - 600000000) / 3600000000)"
+_FIRSTS = "arg_min(x, (ts, event_id)) FILTER (x IS NOT NULL)"
+_LASTS = "arg_max(x, (ts, event_id)) FILTER (x IS NOT NULL)"
+_AGGS = {"first": _FIRSTS, "last": _LASTS, "min": "min(x)", "max": "max(x)", "mean": "avg(x)", "sum": "coalesce(sum(x), 0)", "count": "count(x)", "std": "stddev_samp(x)", "var": "var_samp(x)", "prod": "product(1 + x / 1000)", "skew": "CASE WHEN count(x) >= 3 THEN skewness(x) END", "kurt": "CASE WHEN count(x) >= 4 THEN kurtosis(x) END"}
+
+
+def _only_x(spark: SparkSession, sf_dir: str):
+    t = _ticks(spark, sf_dir)
+    return t.like(t.df.drop("v"), ["x"])
+
+
+def _factors(spark: SparkSession, sf_dir: str):
+    t = _only_x(spark, sf_dir)
+    return t.like(t.df.withColumn("x", 1 + F.col("x") / 1000))
+
+
+for _n, _e in _AGGS.items():
+    _stream(f"resample_{_n}", _run("resample", _n, freq="h", origin=600, make_streams=_factors if _n == "prod" else _only_x), "x", f"SELECT event_type, make_timestamp((k * 3600000000 + 600000000)::BIGINT) AS ts, x FROM (SELECT event_type, {_BUCKET} AS k, {_e} AS x FROM ({_TICKS}) GROUP BY 1, 2)", keys="event_type ts")
+_stream("resample_right_label", _run("resample", "last", every="6h", label="right", make_streams=_only_x), "x", f"SELECT event_type, make_timestamp(((k + 1) * 21600000000)::BIGINT) AS ts, x FROM (SELECT event_type, floor(epoch_us(ts) / 21600000000) AS k, {_LASTS} AS x FROM ({_TICKS}) GROUP BY 1, 2)", keys="event_type ts")
+_BAR = f"{_FIRSTS} AS open, max(x) AS high, min(x) AS low, {_LASTS} AS close"
+_stream("resample_ohlc", _run("resample", "ohlc", freq="h", make_streams=_only_x), "open high low close", f"SELECT event_type, make_timestamp((k * 3600000000)::BIGINT) AS ts, open, high, low, close FROM (SELECT event_type, floor(epoch_us(ts) / 3600000000) AS k, {_BAR} FROM ({_TICKS}) GROUP BY 1, 2)", keys="event_type ts")
+_stream("resample_ohlcv", _run("resample", "ohlcv", freq="h", make_streams=_ticks), "open high low close volume", f"SELECT event_type, make_timestamp((k * 3600000000)::BIGINT) AS ts, open, high, low, close, volume FROM (SELECT event_type, floor(epoch_us(ts) / 3600000000) AS k, {_BAR}, sum(v) AS volume FROM ({_TICKS}) GROUP BY 1, 2)", keys="event_type ts")
+_stream("resample_ohlcv2", _run("resample", "ohlcv2", freq="h", make_streams=_ticks), "close buy_volume sell_volume", f"SELECT event_type, make_timestamp((k * 3600000000)::BIGINT) AS ts, close, b AS buy_volume, s AS sell_volume FROM (SELECT event_type, floor(epoch_us(ts) / 3600000000) AS k, {_BAR}, coalesce(sum(v) FILTER (v > 0), 0) AS b, coalesce(sum(-v) FILTER (v < 0), 0) AS s FROM ({_TICKS}) GROUP BY 1, 2)", keys="event_type ts")
+
+
+def _bars_of_bars(agg: str):
+    def run(spark: SparkSession, sf_dir: str):
+        from .operators.streams import resample
+
+        small = resample(_ticks(spark, sf_dir), "ohlcv", freq="h")
+        small = small if agg == "ohlcv_bars" else small.like(small.df.drop("volume"), small.values[:4])
+        return resample(small, agg, freq="D")
+
+    return run
+
+
+_DAY = f"SELECT event_type, k // 24 AS day, arg_min(open, k) FILTER (open IS NOT NULL) AS open, max(high) AS high, min(low) AS low, arg_max(close, k) FILTER (close IS NOT NULL) AS close, sum(volume) AS volume FROM (SELECT event_type, epoch_us(ts) // 3600000000 AS k, {_BAR}, sum(v) AS volume FROM ({_TICKS}) GROUP BY 1, 2) GROUP BY 1, 2"
+_stream("resample_ohlc_bars", _bars_of_bars("ohlc_bars"), "open high low close", f"SELECT event_type, make_timestamp((day * 86400000000)::BIGINT) AS ts, open, high, low, close FROM ({_DAY})", keys="event_type ts")
+_stream("resample_ohlcv_bars", _bars_of_bars("ohlcv_bars"), "open high low close volume", f"SELECT event_type, make_timestamp((day * 86400000000)::BIGINT) AS ts, open, high, low, close, volume FROM ({_DAY})", keys="event_type ts")
+_GAPS = f"""WITH b AS (SELECT user_id, floor(epoch_us(ts) / 21600000000)::BIGINT AS k, {_LASTS} AS x FROM ({_LEFT}) GROUP BY 1, 2),
+a AS (SELECT user_id, unnest(range(min(k), max(k) + 1)) AS k FROM b GROUP BY 1) SELECT a.user_id AS user_id, make_timestamp(a.k * 21600000000) AS ts, {{x}} AS x FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.k = b.k"""
+_stream("resample_fill_nan", _one("resample", "last", freq="6h", fill="nan"), "x", _GAPS.format(x="b.x"))
+_stream("resample_fill_carry", _one("resample", "last", freq="6h", fill="carry"), "x", "SELECT user_id, ts, last_value(w IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW).v AS x FROM (" + _GAPS.replace("{x} AS x", "CASE WHEN b.k IS NOT NULL THEN struct_pack(v := b.x) END AS w") + ")")
+_stream("resample_count", _run("resample", "mean", count=7, make_streams=_only_x), "x", f"SELECT event_type, min(ts) AS ts, avg(x) AS x FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 7 AS k FROM ({_TICKS})) GROUP BY event_type, k", keys="event_type ts")
+
+
+def _with_operator(spark: SparkSession, sf_dir: str):
+    from .operators.streams import resample
+
+    out = resample(_only_x(spark, sf_dir), make("ExpandingSkew"), freq="D")
+    return out.like(out.df.withColumnRenamed("value", "x"), ["x"])
+
+
+_stream("resample_operator", _with_operator, "x", f"SELECT event_type, make_timestamp((k * 86400000000)::BIGINT) AS ts, x FROM (SELECT event_type, epoch_us(ts) // 86400000000 AS k, CASE WHEN count(x) >= 3 THEN skewness(x) END AS x FROM ({_TICKS}) GROUP BY 1, 2)", keys="event_type ts")
+_stream("resample_threshold", lambda s, d: _run("resample", "ohlc", threshold=300.0, driver="x", make_streams=_only_x)(s, d), "open high low close", f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM ({_TICKS})),
+r AS (SELECT event_type, ts, event_id, x, i, 0 AS bar, coalesce(x, 0) AS total FROM t WHERE i = 1 UNION ALL
+SELECT t.event_type, t.ts, t.event_id, t.x, t.i, CASE WHEN r.total >= 300 THEN r.bar + 1 ELSE r.bar END, coalesce(t.x, 0) + CASE WHEN r.total >= 300 THEN 0 ELSE r.total END FROM r JOIN t ON t.event_type = r.event_type AND t.i = r.i + 1)
+SELECT event_type, min(ts) AS ts, {_BAR} FROM r GROUP BY event_type, bar""", keys="event_type ts")
+_CLOCK = f"SELECT c.user_id AS user_id, c.ts AS ts, {{e}} AS x FROM (SELECT DISTINCT user_id, ts FROM ({_RIGHT})) c {{j}}"
+_ASOF = f"ASOF LEFT JOIN (SELECT user_id, ts AS seen, x AS vx FROM ({_LEFT}) WHERE x IS NOT NULL) v ON c.user_id = v.user_id AND c.ts >= v.seen"
+
+
+def _clocked(agg: str, fill: str, **kw):
+    def run(spark: SparkSession, sf_dir: str):
+        from .operators.streams import resample
+
+        left, right = _streams(spark, sf_dir)
+        return resample(left, agg, clock=right, fill=fill, **kw)
+
+    return run
+
+
+_stream("resample_clock_carry", _clocked("last", "carry"), "x", _CLOCK.format(e="vx", j=_ASOF))
+_stream("resample_clock_max_age", _clocked("last", "carry", max_age="6h"), "x", _CLOCK.format(e="CASE WHEN c.ts - v.seen <= INTERVAL 6 HOUR THEN vx END", j=_ASOF))
+_TICKED = f"(SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM (SELECT DISTINCT user_id, ts FROM ({_RIGHT}))) c LEFT JOIN ({_LEFT}) v ON v.user_id = c.user_id AND v.ts <= c.ts AND (c.before IS NULL OR v.ts > c.before) GROUP BY c.user_id, c.ts"
+_stream("resample_clock_sum", _clocked("sum", "skip"), "x", f"SELECT c.user_id AS user_id, c.ts AS ts, sum(x) AS x FROM {_TICKED} HAVING count(x) > 0")
+_stream("resample_clock_nan", _clocked("max", "nan"), "x", f"SELECT c.user_id AS user_id, c.ts AS ts, max(x) AS x FROM {_TICKED}")
+
+
+def _pairs(spark: SparkSession, sf_dir: str):
+    from .operators.streams import forecast_pairs
+
+    return forecast_pairs(*_streams(spark, sf_dir), duration="6h")
+
+
+_stream("forecast_pairs", _pairs, "x y", f"SELECT user_id, ts, x, y FROM (SELECT c.user_id AS user_id, c.ts AS ts, v.w.v AS x, c.y AS y, v.w AS w FROM ({_RIGHT}) c ASOF LEFT JOIN (SELECT user_id, ts + INTERVAL 6 HOUR AS seen, struct_pack(v := x) AS w FROM ({_LEFT}) WHERE x IS NOT NULL) v ON c.user_id = v.user_id AND c.ts >= v.seen)")
+
+
+def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.backtest import portfolio_report
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id % 10 AS asset", "event_type", "date_trunc('day', ts) AS ts", "value").groupBy("asset", "event_type", "ts").agg(F.sum("value").alias("equity"), F.avg("value").alias("pnl"), F.count("value").cast("double").alias("position"), F.max("value").alias("cost"))
+    return portfolio_report(rows, "asset", ["ts"], key=["event_type"])
+
+
+_stream("portfolio_report", _portfolio, "drawdown cum_cost turnover trades max_drawdown sharpe", """WITH a AS (SELECT user_id % 10 AS asset, event_type, date_trunc('day', ts)::TIMESTAMP AS ts, sum(value) AS equity, avg(value) AS pnl, count(value)::DOUBLE AS position, max(value) AS cost FROM events GROUP BY ALL),
+m AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY event_type, asset ORDER BY ts), 0)) AS moved FROM a),
+t AS (SELECT event_type, ts, sum(equity) AS equity, sum(pnl) AS pnl, sum(cost) AS cost, sum(moved) AS turn, sum((moved > 0)::INT) AS tr FROM m GROUP BY ALL),
+d AS (SELECT *, equity - max(equity) OVER w AS dd FROM t WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_type, ts, dd AS drawdown, sum(cost) OVER w AS cum_cost, sum(turn) OVER w AS turnover, sum(tr) OVER w AS trades, least(min(dd) OVER w, 0) AS max_drawdown, avg(pnl) OVER w / nullif(stddev_samp(pnl) OVER w, 0) AS sharpe FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", keys="event_type ts")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
