@@ -145,3 +145,24 @@ def test_infinities_and_logs(spark):
     assert [r.l for r in got] == [-math.inf, None, 0.0, math.inf, None, None]
     assert [r.n for r in got] == [0, 0, 0, 0, 1, 1] and [r.f for r in got] == [1, 1, 1, 0, 0, 0]
     assert got[0].d is None and got[1].d == -1.0
+
+
+@pytest.mark.parametrize("names", GROUPS, ids=range(len(GROUPS)))
+@pytest.mark.parametrize("case", ["constant", "zero", "missing", "one", "none"])
+def test_degenerate_series(spark, names, case):
+    f = rows(40, missing=False)
+    cols = [f"x{i}" for i in range(10)]
+    if case in ("constant", "zero"):
+        f[cols] = 0.0 if case == "zero" else 0.5
+    elif case == "missing":
+        f[cols] = np.nan
+    elif case == "one":
+        f = f.iloc[:1]
+    df = spark.createDataFrame(f)
+    outs = {}
+    for n in names:
+        op = build(n)
+        node = op(*cols[: op.spec.n_in])
+        outs.update({f"{n}_{j}": node[j] for j in range(len(op.spec.outputs))})
+    got = tw.series(df.limit(0) if case == "none" else df, "k", "i").select("i", **outs).toPandas()
+    assert len(got) == (0 if case == "none" else len(f))

@@ -495,7 +495,9 @@ def rolling_corr(w, x, y, window_size, start_policy):
         n, sx, sy, sxx, syy, sxy = co_moments(w, x, y, window_size, "zero")
         v = (n * sxx - sx * sx) * (n * syy - sy * sy)
         return F.when(v > 0, (n * sxy - sx * sy) / F.sqrt(F.when(v > 0, v)))
-    return started(w, window_size, start_policy, F.corr(x, y).over(w.roll(window_size)))
+    f = w.roll(window_size)
+    sxx, syy, sxy = (g(x, y).over(f) for g in (F.regr_sxx, F.regr_syy, F.regr_sxy))
+    return started(w, window_size, start_policy, F.when((sxx > 0) & (syy > 0), F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))))
 
 
 @operator("RollingCov", "window", 2, window_size=20, start_policy="strict")
@@ -709,7 +711,7 @@ def cci(w, h, low, c, window_size):
     v = values_of(w, tp, window_size)
     m = mean_of(v)
     dev = mean_of(F.zip_with(v, F.array_repeat(m, F.size(v)), lambda a, b: F.abs(a - b)))
-    return gate(w, window_size, F.when(dev > 0, F.try_divide(tp - m, num(0.015) * dev)).otherwise(num(0)))
+    return gate(w, window_size, F.when(dev > num(1e-12) * F.abs(m), F.try_divide(tp - m, num(0.015) * dev)).otherwise(num(0)))
 
 
 def previous(w, c: Column) -> Column:

@@ -123,7 +123,7 @@ def _results(node: Node, cols: list[Column], key: list[str], order: list[str]) -
 
 
 def expand(node: Node) -> Node:
-    """The node with macros replaced by what they stand for."""
+    """The node with macros replaced by what they stand for, and long windows by their block forms."""
     if node.spec is None:
         return node
     inputs = tuple(expand(i) for i in node.inputs)
@@ -131,7 +131,9 @@ def expand(node: Node) -> Node:
         made = node.spec.build(*inputs, **node.params)
         made = list(made) if isinstance(made, (list, tuple)) else [made]
         return expand(made[node.output])
-    return Node(node.spec, node.params, inputs, node.output)
+    from ..operators.fast import choose
+
+    return Node(OPERATORS[choose(node.spec.name, node.params)], node.params, inputs, node.output)
 
 
 def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, Node | str]) -> DataFrame:
