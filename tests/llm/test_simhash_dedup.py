@@ -101,3 +101,55 @@ def test_empty_null_and_repeated_ids(spark):
     got = sorted((str(r.doc_id), r.component_id) for r in S.classes(df).collect())
     assert got == [("3", 3), ("7", 7), ("7", 7), ("None", 7)]
     assert S.classes(df.where(F.col("doc_id").isNull())).first().component_id is None
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(900)]
+    docs, base = {}, 0
+    for _ in range(25):
+        t = rng.choices(words, k=rng.randint(60, 220))
+        docs[base] = t
+        for c in range(rng.randint(0, 4)):
+            u = list(t)
+            for p in rng.sample(range(len(u)), max(1, len(u) // 60)):
+                u[p] = f"edit{rng.randint(0, 10**6)}"
+            docs[base + 1 + c] = u
+        base += 10
+    docs[base] = docs[0][:40]  # shares words, but isn't alike
+    rows = [(i, " ".join(t), "x") for i, t in docs.items()] + [(None, " ".join(docs[0]), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rep string").repartition(3)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in docs.items()}
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(docs, 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or bin(brute_fingerprint(" ".join(docs[i])) ^ brute_fingerprint(" ".join(docs[j]))).count("1") <= 2:
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in S.near_classes(df).collect()}
+    want = {i: find(i) for i in docs}
+    assert sum(got[i] == want[i] for i in docs) >= 0.97 * len(docs)
+    assert all(want[got[i]] == want[i] for i in docs)  # never joins what isn't linked
+    kept = {r.doc_id for r in S.one_of_each(df).collect()}
+    assert kept == {i for i in docs if got[i] == i} | {None}
+
+
+def test_nearest_links_connect_what_the_budget_allows():
+    codes = near_codes(400, 8)
+    for dense in (10**6, 0):
+        old, S._DENSE = S._DENSE, dense
+        try:
+            a, b = S.nearest_links(codes, 3)
+        finally:
+            S._DENSE = old
+        forest = S.Forest(len(codes))
+        forest.join(a, b)
+        want = S.Forest(len(codes))
+        far = np.bitwise_count(codes[:, None] ^ codes[None, :])
+        want.join(*np.nonzero((far <= 3) & (far > 0)))
+        assert (forest.roots(np.arange(len(codes))) == want.roots(np.arange(len(codes)))).all()

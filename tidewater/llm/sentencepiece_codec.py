@@ -31,7 +31,7 @@ from .arrowtext import chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words that a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -108,7 +108,7 @@ class PieceModel:
         return parts
 
     def _neighbours(self, a: str, b: str) -> bool:
-        if self._n_pairs > 1 << 19:
+        if self._n_pairs > 1 << 17:
             self._pairs.clear()
             self._n_pairs = 0
         self._n_pairs += 1
@@ -252,7 +252,7 @@ def encode(documents: DataFrame, model: str = MODEL, with_ids: bool = True, chec
         m = loaded(raw.value)
         names = [str(i) for i in range(len(m.table))]
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
+            for part in chunks(batch, "text"):
                 texts = part.column("text").to_pylist()
                 ids = [np.frombuffer(b, m.width) for b in m.encode_texts(texts)]
                 cols, labels = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "n_pieces"]

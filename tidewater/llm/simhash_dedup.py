@@ -13,6 +13,10 @@ within the budget are tasks of their own.
 
 Classes: connected components over the forests, then one join back to the documents.
 
+`near_classes`, which deduplication uses, also joins texts whose five-word shingles are at least 0.8 alike. These lie too
+far apart for two bits, so candidates come from several fingerprints of each text's set of words, joined in the same way
+at three bits; within a block nearer pairs are linked first, as a forest, and every candidate is verified on the texts.
+
 Defined cases: texts without words (null and empty ones among them) have fingerprint zero and link like any other;
 equal texts share a fingerprint; rows with a null doc_id get a class but never name it (a class of only such rows has
 a null name); repeated doc_ids are rows like others; further columns are ignored; an empty table gives no rows."""
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import SPACE, chunks, lower_ascii, text_buffer, word_spans
+from .arrowtext import SPACE, chunks, gram_hashes, lower_ascii, mix64, span_hashes, text_buffer, word_spans
 from .components import components
 from .storage import cut
 
@@ -39,6 +43,13 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of one block that a task takes; larger blocks are cut.
 BLOCK_LIMIT = 1 << 18
 _LEAF = 192
+#: Near copies by similarity: shingle words, similarity, fingerprints of the word set, and bits that they may differ in.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+FAMILIES = 12
+NEAR_BUDGET = 3
+#: Codes of one block of which all distances are taken at once.
+_DENSE = 4096
 
 
 def fingerprint_batch(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -116,8 +127,8 @@ class Forest:
                 self.parent[max(x, y)] = min(x, y)
 
 
-def join_trie(codes: np.ndarray, forest: Forest, left: tuple[int, int], right: tuple[int, int], depth: int = 0, budget: int = BUDGET) -> None:
-    """Links all pairs at most BUDGET bits apart between two nodes of the trie over the sorted codes. A node is a
+def join_trie(codes: np.ndarray, forest: Forest, left: tuple[int, int], right: tuple[int, int], depth: int = 0, budget: int = BUDGET, limit: int = BUDGET) -> None:
+    """Links all pairs at most `limit` bits apart between two nodes of the trie over the sorted codes. A node is a
     range of positions that share their first `depth` bits; left equal to right joins a node with itself."""
     stack = [(*left, *right, depth, budget)]
     one = np.uint64(1)
@@ -130,7 +141,7 @@ def join_trie(codes: np.ndarray, forest: Forest, left: tuple[int, int], right: t
             ri, rj = forest.roots(i), forest.roots(j)
             if ri[0] == rj[0] and (ri == ri[0]).all() and (rj == ri[0]).all():
                 continue
-            near = (np.bitwise_count(codes[a:b, None] ^ codes[None, c:d]) <= BUDGET) & (ri[:, None] != rj[None, :])
+            near = (np.bitwise_count(codes[a:b, None] ^ codes[None, c:d]) <= limit) & (ri[:, None] != rj[None, :])
             x, y = np.nonzero(near)
             if len(x):
                 forest.join(ri[x], rj[y])
@@ -307,10 +318,159 @@ def classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
     return docs.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# -- near copies by similarity ------------------------------------------------------------------------------------
+
+
+def word_set_fingerprints(data: np.ndarray, offsets: np.ndarray, families: int = FAMILIES) -> np.ndarray:
+    """Fingerprints of each row's set of words, one column for each of a number of hash functions."""
+    n = len(offsets) - 1
+    out = np.zeros((n, families), np.uint64)
+    low = lower_ascii(data)
+    starts, ends, rows = word_spans(~SPACE[low], offsets)
+    if not len(starts):
+        return out
+    h = span_hashes(low, starts, ends)
+    _, first = np.unique(h ^ mix64(rows.astype(np.uint64) + np.uint64(1)), return_index=True)
+    first.sort()
+    h, rows = h[first], rows[first]
+    full, begin, size = np.unique(rows, return_index=True, return_counts=True)
+    for f, seed in enumerate(mix64(np.arange(1, families + 1, dtype=np.uint64))):
+        bits = np.unpackbits(mix64(h ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+        out[full, f] = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def nearest_links(codes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest over sorted distinct codes that connects all pairs within the budget, nearer pairs first, so
+    that a code's edges lead to codes like it."""
+    n, forest = len(codes), Forest(len(codes))
+    if n > _DENSE:
+        join_trie(codes, forest, (0, n), (0, n), budget=budget, limit=budget)
+        roots = forest.roots(np.arange(n))
+        child = np.flatnonzero(roots != np.arange(n))
+        return child, roots[child]
+    far = np.bitwise_count(codes[:, None] ^ codes[None, :])
+    out: list[tuple[int, int]] = []
+    for d in range(1, budget + 1):
+        i, j = np.nonzero(np.triu(far == d, 1))
+        for s in range(0, len(i), 4096):
+            a, b = i[s : s + 4096], j[s : s + 4096]
+            apart = forest.roots(a) != forest.roots(b)
+            for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                p, q = forest.find(x), forest.find(y)
+                if p != q:
+                    forest.parent[max(p, q)] = min(p, q)
+                    out.append((x, y))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def near_pairs(vertices: DataFrame) -> DataFrame:
+    """(doc_id, rep) candidates among (doc_id, codes): for every family and block of bits the forest of nearest links."""
+    kind = dict(vertices.dtypes)["doc_id"]
+    turns = [(64 // (NEAR_BUDGET + 1)) * i for i in range(NEAR_BUDGET + 1)]
+    size = 64 // (NEAR_BUDGET + 1)
+    rows = vertices.select("doc_id", F.posexplode("codes").alias("family", "code")).select(
+        "doc_id", "family", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.shiftrightunsigned(_turn(F.col("code"), t), 64 - size).alias("block"), _turn(F.col("code"), t).alias("code")) for i, t in enumerate(turns)])).alias("x")
+    ).select("doc_id", "family", "x.*")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, g in _groups(batches, ["family", "turn", "block"]):
+            if len(g["code"]) < 2:
+                continue
+            order = np.lexsort((g["doc_id"], g["code"].view(np.uint64)))
+            ids = g["doc_id"][order]
+            codes, first, which = np.unique(g["code"].view(np.uint64)[order], return_index=True, return_inverse=True)
+            same = np.flatnonzero(np.arange(len(ids)) != first[which])
+            a, b = nearest_links(codes, NEAR_BUDGET)
+            x, y = np.concatenate([ids[same], ids[first[a]]]), np.concatenate([ids[first[which[same]]], ids[first[b]]])
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["doc_id", "rep"])
+
+    return rows.repartition("family", "turn", "block").sortWithinPartitions("family", "turn", "block").mapInArrow(linked, f"doc_id {kind}, rep {kind}").distinct()
+
+
+def similar(documents: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, group: int = 256) -> DataFrame:
+    """The pairs whose sets of NEAR_SHINGLE-word shingles are that similar, exactly counted. A representative's text is
+    sent once for each `group` of its pairs."""
+    kind = dict(documents.dtypes)["doc_id"]
+    dealt = cut(pairs.select("doc_id", "rep", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("u")))
+    sizes = cut(dealt.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts")))
+    texts = documents.select("doc_id", "text")
+    theirs = texts.join(sizes, texts["doc_id"] == sizes["rep"]).select("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(kind).alias("doc_id"), "text")
+    mine = texts.join(dealt.join(sizes, "rep").select("doc_id", "rep", F.pmod("u", "parts").cast("int").alias("part")), "doc_id").select("rep", "part", "doc_id", "text")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, there = None, None
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                sets = shingle_sets(*text_buffer(piece.column("text")))
+                rows = []
+                for rep, part, doc, own in zip(*(piece.column(c).to_pylist() for c in ("rep", "part", "doc_id")), sets, strict=True):
+                    if doc is None:
+                        if key != (rep, part):
+                            key, there = (rep, part), own
+                    elif key == (rep, part):
+                        common = len(np.intersect1d(own, there, assume_unique=True))
+                        if common >= similarity * (len(own) + len(there) - common):
+                            rows.append((doc, rep))
+                t = piece.schema.field("doc_id").type
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k in (0, 1)], ["doc_id", "rep"])
+
+    both = theirs.unionByName(mine).repartition("rep", "part").sortWithinPartitions("rep", "part", F.col("doc_id").asc_nulls_first(), "text")
+    return both.mapInArrow(compared, f"doc_id {kind}, rep {kind}")
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct hashes of each row's shingles of NEAR_SHINGLE words (all words, where there are fewer)."""
+    low = lower_ascii(data)
+    starts, ends, rows = word_spans(~SPACE[low], offsets)
+    words = span_hashes(low, starts, ends)
+    h, first = gram_hashes(words, rows, NEAR_SHINGLE)
+    n = len(offsets) - 1
+    edge = np.searchsorted(rows[first], np.arange(n + 1), side="left")
+    word = np.searchsorted(rows, np.arange(n + 1), side="left")
+    out = []
+    for i in range(n):
+        if edge[i + 1] > edge[i]:
+            out.append(np.unique(h[edge[i] : edge[i + 1]]))
+        else:
+            short = words[word[i] : word[i + 1]]
+            out.append(gram_hashes(short, np.zeros(len(short), np.int64), len(short))[0] if len(short) else np.zeros(1, np.uint64))
+    return out
+
+
+def near_classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """doc_id, component_id for every document: classes under the links of `classes` and those of texts whose
+    five-word shingles are at least SIMILARITY alike. Candidates of the latter come from trie joins over FAMILIES
+    fingerprints of the texts' word sets; every one is verified. Of rows that repeat a doc_id one speaks for all."""
+    kind = dict(documents.dtypes)["doc_id"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                buffer = text_buffer(part.column("text"))
+                codes = word_set_fingerprints(*buffer).view(np.int64)
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * FAMILIES
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprint_batch(*buffer).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))], ["doc_id", "fp", "codes"])
+
+    docs = cut(documents.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long, codes array<long>"))
+    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("m"), F.min_by("codes", "doc_id").alias("codes")))
+    named = distinct.where("m is not null")
+    edges = links(distinct.select("fp"), limit)
+    by = named.select("fp", "m")
+    close = edges.join(by.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(by.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b").select("x", "y")
+    alike = similar(documents, near_pairs(named.select(F.col("m").alias("doc_id"), "codes")))
+    found = components(close.unionAll(alike.select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))), "x", "y")
+    of = cut(by.join(found.select(F.col("vertex").alias("m"), "root"), "m", "left").select("fp", F.coalesce("root", "m").alias("component_id")))
+    return docs.select("doc_id", "fp").join(of, "fp", "left").select("doc_id", "component_id")
+
+
 def one_of_each(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """The documents without those that their class already has: the one with the smallest doc_id stays, once (of rows
+    """The documents without those that their class (of near_classes) already has: the one with the smallest doc_id stays, once (of rows
     that repeat its id, the one with the smallest text). Rows with a null doc_id can't be told apart and stay."""
-    gone = classes(documents, limit).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = near_classes(documents, limit).where("component_id <> doc_id").select("doc_id").distinct()
     kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     again = cut(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
