@@ -380,6 +380,84 @@ for _n in ("Butter", "ButterHighpass", "ButterBandpass", "ButterBandstop", "Supe
     _w = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _impulse(_n, 160)) + "]"
     _oracle(snake(_n), [(there("x"), {"v1": "list(x) {u}"}), (there("x"), {"out": f"list_sum([v1[len(v1) - i] * ({_w})[i + 1] for i in range(0, least(len(v1), 160))])"})], out="out")
 
+# -- series and recursions in SQL ------------------------------------------------------------------------------------------------
+
+
+def _erf(z: str, terms: int) -> str:
+    """The power series of the error function."""
+    return f"(2 / sqrt(pi()) * list_sum([pow(-1, k) * pow({z}, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)) for k in range(0, {terms})]))"
+
+
+_oracle("erf", [(there("u"), {"out": _erf("u", 30)})], out="out")
+_oracle("erfc", [(there("u"), {"out": "1 - " + _erf("u", 30)})], out="out")
+_oracle("bulk_volume_classifier", [(there("r"), {"s": G + "stddev_samp(r) {w10} END"}), (there("s"), {"zz": "CASE WHEN s > 0 THEN r / s / sqrt(2) END"}), (there("zz"), {"out": f"0.5e0 * (1 + {_erf('zz', 60)})"})], out="out")
+
+
+def _recursive(key: str, columns: str, state: dict[str, tuple[str, str]], digits: int = 6, before: list | None = None, **outputs: str) -> None:
+    """SQL that walks each series row by row. `state` has for each variable its value at the first row and its value from
+    the row before (r) and the row itself (t); `before` are stages that run first."""
+    stages = [*(before or []), (there(columns), {"i_": "{n}"})]
+    inner = _sql(stages, {"i_": "i_"})
+    with_ = inner[: inner.rindex(" SELECT event_id")]
+    last = f"s{len(stages)}"
+    first = ", ".join(f"({a})::DOUBLE AS {n}" for n, (a, _) in state.items())
+    later = ", ".join(f"({b})::DOUBLE AS {n}" for n, (_, b) in state.items())
+    shown = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE round({c} + {_shift(digits)!r}::DOUBLE, {digits}) + 0e0 END AS {n}" for n, c in outputs.items())
+    ORACLES[key] = (
+        with_.replace("WITH ", "WITH RECURSIVE ", 1) + f", v_ AS (SELECT * FROM {last} WHERE ok_), w_ AS (SELECT t.event_id, t.user_id, t.i_, {first} FROM v_ t WHERE i_ = 1 UNION ALL SELECT t.event_id, t.user_id, t.i_, {later} FROM w_ r JOIN v_ t ON t.user_id = r.user_id AND t.i_ = r.i_ + 1)"
+        f" SELECT b.event_id AS event_id, {shown} FROM s0 b LEFT JOIN w_ ON b.event_id = w_.event_id"
+    ).replace("WHERE ok_", "WHERE i_ IS NOT NULL")
+
+
+_recursive("kalman_filter", "x", {"pv": ("1 + 0.01e0", "(1 - r.g_) * r.pv + 0.01e0"), "g_": ("1.01e0 / 2.01e0", "((1 - r.g_) * r.pv + 0.01e0) / ((1 - r.g_) * r.pv + 1.01e0)"), "m_": ("t.x * 1.01e0 / 2.01e0", "r.m_ + (t.x - r.m_) * ((1 - r.g_) * r.pv + 0.01e0) / ((1 - r.g_) * r.pv + 1.01e0)")}, out="m_")
+_recursive(
+    "kama", "x", {"value": ("NULL", "CASE WHEN t.i_ > 10 THEN coalesce(r.value, r.px) + pow(t.er * (2e0 / 3 - 2e0 / 31) + 2e0 / 31, 2) * (t.x - coalesce(r.value, r.px)) END"), "px": ("t.x", "t.x")},
+    before=[(there("x"), {"d": "abs(x - lag(x) {s})", "far": "abs(x - lag(x, 10) {s})"}), (there("x"), {"er": "CASE WHEN sum(d) {w10} > 0 THEN far / sum(d) {w10} ELSE 0 END"})], out="value",
+)
+_KEEP = "0.95e0"
+_FADED = {v: f"({_KEEP} * r.{v} + 0.05e0 * {p})" for v, p in (("l11", 1), ("l12", 0), ("l22", 1), ("e1", 0), ("e2", 0), ("sq", 2), ("sh", 2))}
+_START = {"l11": "1", "l12": "0", "l22": "1", "e1": "0", "e2": "0", "sq": "2", "sh": "2"}
+_LEARN = {"l11": "1", "l12": "t.y", "l22": "t.y * t.y", "e1": "t.x", "e2": "t.x * t.y", "sq": "t.x * t.x", "sh": "0.5e0"}
+
+
+def _forecast(p: dict[str, str]) -> tuple[str, str]:
+    """Mean and deviation of the prediction under a prior."""
+    det = f"({p['l11']} * {p['l22']} - {p['l12']} * {p['l12']})"
+    mean = f"({p['l22']} * {p['e1']} - {p['l12']} * {p['e2']}) / {det} + ({p['l11']} * {p['e2']} - {p['l12']} * {p['e1']}) / {det} * t.y"
+    fit = f"({p['l22']} * {p['e1']} * {p['e1']} - 2 * {p['l12']} * {p['e1']} * {p['e2']} + {p['l11']} * {p['e2']} * {p['e2']}) / {det}"
+    lever = f"({p['l22']} - 2 * {p['l12']} * t.y + {p['l11']} * t.y * t.y) / {det}"
+    return mean, f"sqrt(0.5e0 * ({p['sq']} - {fit}) / ({p['sh']} - 1) * (1 + {lever}))"
+
+
+_F0, _F1 = _forecast(_START), _forecast(_FADED)
+_DET = "(l11 * l22 - l12 * l12)"
+_recursive(
+    "bayesian_regression", "x y", {**{v: (f"{_START[v]} + {_LEARN[v]}", f"{_FADED[v]} + {_LEARN[v]}") for v in _START}, "pm": (_F0[0], _F1[0]), "ps": (_F0[1], _F1[1])},
+    slope=f"(l11 * e2 - l12 * e1) / {_DET}", intercept=f"(l22 * e1 - l12 * e2) / {_DET}", pred_mean="pm", pred_std="ps",
+)
+
+
+def _walk(key: str, columns: str, mark: str, move: str, price: str, rate: str, before: list | None = None, fixed: str = "0") -> None:
+    """A backtest whose fill at a row is one move at one price."""
+    pos = "r.position"
+    first = lambda e: e.replace("{pos}", "0")
+    later = lambda e: e.replace("{pos}", pos)
+    cost = f"({move}) * (({price}) - ({mark})) + abs({move}) * (({price}) * {rate} + {fixed})"
+    state = {
+        "position": (first(move), f"{pos} + ({later(move)})"),
+        "cost": (first(cost), later(cost)),
+        "pnl": (f"-({first(cost)})", f"{pos} * (({mark}) - r.mk) - ({later(cost)})"),
+        "equity": (f"-({first(cost)})", f"r.equity + {pos} * (({mark}) - r.mk) - ({later(cost)})"),
+        "mk": (mark, mark),
+    }
+    _recursive(key, columns, state, before=before, equity="equity", pnl="pnl", position="position", cost="cost")
+
+
+_walk("backtest_trades_target", "u p v", "t.p", "(t.u - {pos})", "t.p", "0.001e0")
+# a target book order sweeps one side: 10 to 110 are shown, so no move of up to 2 exceeds it
+_walk("backtest_l1_target", "u l h v", "(t.l + t.h) / 2", "(t.u - {pos})", "CASE WHEN t.u > {pos} THEN t.h ELSE t.l END", "0.001e0")
+_walk("backtest_ohlc_target", "o h l c", "t.c", "CASE WHEN t.tg IS NULL THEN 0 ELSE t.tg - {pos} END", "t.o + CASE WHEN t.tg > {pos} THEN 0.1e0 ELSE -0.1e0 END", "0.001e0", before=[("true", {"tg": "lag(u) {t}"})])
+
 # -- streams, bars, reports ---------------------------------------------------------------------------------------------------
 
 _LEFT = "SELECT user_id, ts, event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x FROM events WHERE event_type = 'click'"
@@ -555,6 +633,29 @@ d AS (SELECT *, equity - max(equity) OVER w AS dd FROM t WINDOW w AS (PARTITION
 SELECT event_type, ts, dd AS drawdown, sum(cost) OVER w AS cum_cost, sum(turn) OVER w AS turnover, sum(tr) OVER w AS trades, least(min(dd) OVER w, 0) AS max_drawdown, avg(pnl) OVER w / nullif(stddev_samp(pnl) OVER w, 0) AS sharpe FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", keys="event_type ts")
 
 
+# -- Structured Streaming ---------------------------------------------------------------------------------------------------------
+
+
+def live_ew_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EwMean over the events as a stream: read as files arrive, state kept by key, written and read again."""
+    from .sources.folders import scratch
+    from .streaming.live import live_kernels
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = scratch(spark, "live")
+    rows = live_kernels(events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], {"out": make("EwMean", alpha=0.25)("value")})
+    rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return tidy(spark.read.parquet(out).select("event_id", "out"), ["out"])
+
+
+QUERIES["live_ew_mean"] = live_ew_mean
+ORACLES["live_ew_mean"] = (
+    f"SELECT event_id, round({ew('v1', _A)} / {_ones('v1', _A)} + {_shift(6)!r}::DOUBLE, 6) + 0e0 AS out "
+    "FROM (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v1 FROM events)"
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
