@@ -39,6 +39,8 @@ COLUMNS = {
     "v": "10e0 + (event_id * 29) % 101",
     "p": "100e0 + ((event_id * 37) % 101) / 8e0",
     "q": "100e0 + ((event_id * 13) % 97) / 8e0",
+    "mb": "99e0 + ((event_id * 13) % 97) / 8e0",
+    "ma": "102e0 + ((event_id * 13) % 97) / 8e0",
 }
 _BASE = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in COLUMNS.items()) + " FROM events"
 
@@ -310,7 +312,7 @@ _PT = [
     (there("u p"), {"equity": "sum(pnl) {u}"}),
 ]
 add("BacktestPriceTarget(0.02, 0.001, -0.6, 0.8)", "u p", _PT)
-for _call, _c in (("BacktestOHLCOrders(0.001, 0.002)", "l a h b o h l c"), ("BacktestOHLCTarget(0.001, 0.1)", "u o h l c"), ("BacktestTradesOrders(0.001, 0.002)", "q a p b x v"), ("BacktestTradesTarget(0.001)", "u p v"), ("BacktestL1Orders(0.001, 0.002)", "q a p b l h v v"), ("BacktestL1Target(0.001, 0.1)", "u l h v v"), ("BacktestL1TradesOrders(0.001, 0.002)", "q a p b l h v v x v")):
+for _call, _c in (("BacktestOHLCOrders(0.001, 0.002)", "l a h b o h l c"), ("BacktestOHLCTarget(0.001, 0.1)", "u o h l c"), ("BacktestTradesOrders(0.001, 0.002)", "q a p b x v"), ("BacktestTradesTarget(0.001)", "u p v"), ("BacktestL1Orders(0.001, 0.002)", "p a o b mb ma v v"), ("BacktestL1Target(0.001, 0.1)", "u l h v v"), ("BacktestL1TradesOrders(0.001, 0.002)", "p a o b mb ma v v c v")):
     add(_call, _c)
 add(
     "BacktestReport()", "x y u v",
@@ -458,6 +460,136 @@ _walk("backtest_trades_target", "u p v", "t.p", "(t.u - {pos})", "t.p", "0.001e0
 _walk("backtest_l1_target", "u l h v", "(t.l + t.h) / 2", "(t.u - {pos})", "CASE WHEN t.u > {pos} THEN t.h ELSE t.l END", "0.001e0")
 _walk("backtest_ohlc_target", "o h l c", "t.c", "CASE WHEN t.tg IS NULL THEN 0 ELSE t.tg - {pos} END", "t.o + CASE WHEN t.tg > {pos} THEN 0.1e0 ELSE -0.1e0 END", "0.001e0", before=[("true", {"tg": "lag(u) {t}"})])
 
+
+
+def _orders(key: str, valid: str, mark: str, buy: str, bought: str, sell: str, sold: str, state: dict[str, tuple[str, str]] | None = None) -> None:
+    """A backtest of orders: amounts bought and sold and their costs at a row, and further state they rest on. {r.}
+    stands for the row before, whose state is 0 at the first row."""
+    first = lambda e: re.sub(r"\{r\.(\w+)\}", "0", e)
+    later = lambda e: re.sub(r"\{r\.(\w+)\}", r"r.\1", e)
+    move, cost = f"(({buy}) - ({sell}))", f"(({bought}) + ({sold}))"
+    walk = {
+        "position": (first(move), f"r.position + {later(move)}"),
+        "cost": (first(cost), later(cost)),
+        "pnl": (f"-{first(cost)}", f"r.position * (({mark}) - r.mk) - {later(cost)}"),
+        "equity": (f"-{first(cost)}", f"r.equity + r.position * (({mark}) - r.mk) - {later(cost)}"),
+        "mk": (mark, mark),
+        **{k: (first(a), later(b)) for k, (a, b) in (state or {}).items()},
+    }
+    _recursive(key, valid, walk, equity="equity", pnl="pnl", position="position", cost="cost")
+
+
+def _fill(size: str, sign: int, price: str, mark: str, rate: str) -> str:
+    return f"{size} * ({sign} * ({price} - {mark}) + {price} * {rate})"
+
+
+_SA, _SB = "coalesce(t.a, 0)", "coalesce(t.b, 0)"
+_orders("backtest_ohlc_orders", "o h l c", "t.c", _SA, _fill(_SA, 1, "t.l", "t.c", "0.001e0"), _SB, _fill(_SB, -1, "t.h", "t.c", "0.001e0"))
+_TB = "CASE WHEN t.x < t.q THEN coalesce(t.a, 0) WHEN t.x = t.q THEN least(coalesce(t.a, 0), t.v) ELSE 0 END"
+_TS = "CASE WHEN t.x > t.p THEN coalesce(t.b, 0) WHEN t.x = t.p THEN least(coalesce(t.b, 0), t.v) ELSE 0 END"
+_orders("backtest_trades_orders", "x v", "t.x", _TB, _fill(f"({_TB})", 1, "t.q", "t.x", "0.001e0"), _TS, _fill(f"({_TS})", -1, "t.p", "t.x", "0.001e0"))
+_MID, _BUY, _SELL = "(t.mb + t.ma) / 2", "(coalesce(t.a, 0) > 0 AND t.p > t.ma)", "(coalesce(t.b, 0) > 0 AND t.o < t.mb)"
+_RB, _RS = "(coalesce(t.a, 0) > 0 AND t.p <= t.ma)::INT", "(coalesce(t.b, 0) > 0 AND t.o >= t.mb)::INT"
+_orders(
+    "backtest_l1_orders", "mb ma", _MID,
+    f"CASE WHEN {_BUY} THEN t.a ELSE 0 END", f"CASE WHEN NOT {_BUY} THEN 0 WHEN {{r.rb}} = 1 THEN {_fill('t.a', 1, 't.p', _MID, '0.001e0')} ELSE {_fill('t.a', 1, 't.ma', _MID, '0.002e0')} END",
+    f"CASE WHEN {_SELL} THEN t.b ELSE 0 END", f"CASE WHEN NOT {_SELL} THEN 0 WHEN {{r.rs}} = 1 THEN {_fill('t.b', -1, 't.o', _MID, '0.001e0')} ELSE {_fill('t.b', -1, 't.mb', _MID, '0.002e0')} END",
+    {"rb": (_RB, _RB), "rs": (_RS, _RS)},
+)
+
+
+def _tape_fill(size: str, sign: int, price: str, crossed: str, was: str) -> tuple[str, str]:
+    """Amount and cost of one side where both the quotes and a print at c may fill it."""
+    other = "t.ma" if sign > 0 else "t.mb"
+    through = f"t.c {'<' if sign > 0 else '>'} {price}"
+    amount = f"CASE WHEN coalesce({size}, 0) <= 0 THEN 0 WHEN {crossed} AND {was} = 0 THEN {size} WHEN t.c IS NULL THEN CASE WHEN {crossed} THEN {size} ELSE 0 END WHEN {through} THEN {size} WHEN t.c = {price} THEN least({size}, t.v) ELSE 0 END"
+    cost = f"CASE WHEN coalesce({size}, 0) <= 0 THEN 0 WHEN {crossed} AND {was} = 0 THEN {_fill(size, sign, other, _MID, '0.002e0')} ELSE {_fill(f'({amount})', sign, price, _MID, '0.001e0')} END"
+    return amount, cost
+
+
+_B2, _S2 = _tape_fill("t.a", 1, "t.p", "t.p > t.ma", "{r.rb}"), _tape_fill("t.b", -1, "t.o", "t.o < t.mb", "{r.rs}")
+_orders("backtest_l1_trades_orders", "mb ma", _MID, *_B2, *_S2, {"rb": (_RB, _RB), "rs": (_RS, _RS)})
+
+# -- feedback filters and cycles, walked row by row ---------------------------------------------------------------------------
+
+
+def _nested(key: str, start: dict[str, str], steps: list[dict[str, str]], digits: int = 6, **outputs: str) -> None:
+    """SQL that walks the valid rows of x with a state of named columns, lists among them; each step of a row may use
+    the columns of the steps before it and the state of the row before, whose names begin with p_."""
+    keep = list(start)
+    inner = "SELECT t.event_id, t.user_id, t.i_, t.x, " + ", ".join(f"r.{c} AS p_{c}" for c in keep) + " FROM w_ r JOIN v_ t ON t.user_id = r.user_id AND t.i_ = r.i_ + 1"
+    for st in steps:
+        inner = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in st.items())} FROM ({inner})"
+    shown = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE round({c} + {_shift(digits)!r}::DOUBLE, {digits}) + 0e0 END AS {n}" for n, c in outputs.items())
+    ORACLES[key] = (
+        f"WITH RECURSIVE s0 AS ({_BASE}), v_ AS (SELECT event_id, user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i_ FROM s0 WHERE x IS NOT NULL), "
+        f"w_ AS (SELECT NULL::BIGINT AS event_id, user_id, 0::BIGINT AS i_, {', '.join(f'{e} AS {n}' for n, e in start.items())} FROM (SELECT DISTINCT user_id FROM v_) UNION ALL SELECT event_id, user_id, i_, {', '.join(keep)} FROM ({inner})) "
+        f"SELECT b.event_id AS event_id, {shown} FROM s0 b LEFT JOIN w_ ON b.event_id = w_.event_id"
+    )
+
+
+_LAST10 = "[-10:]"
+_MEDIAN = lambda v: f"list_aggregate({v}, 'median')"
+_SPREAD = lambda v, m: f"1.4826e0 * list_aggregate([abs(e - {m}) for e in {v}], 'median')"
+_nested(
+    "hampel", {"v": "[]::DOUBLE[]", "res": "NULL::DOUBLE"},
+    [{"f": f"list_append(p_v, x){_LAST10}"}, {"m": _MEDIAN("f")}, {"sc": _SPREAD("f", "m")}, {"bad": "len(f) >= 10 AND sc > 0 AND abs(x - m) > 3 * sc"}, {"v": "CASE WHEN bad THEN list_append(f[:-2], m) ELSE f END", "res": "CASE WHEN len(f) >= 10 THEN CASE WHEN bad THEN m ELSE x END END"}],
+    out="res",
+)
+_nested(
+    "impulse_clip", {"v": "[]::DOUBLE[]", "j": "[]::DOUBLE[]", "px": "NULL::DOUBLE", "res": "NULL::DOUBLE"},
+    [{"f": f"list_append(p_v, x){_LAST10}", "j": f"CASE WHEN p_px IS NULL THEN p_j ELSE list_append(p_j, x - p_px){_LAST10} END", "px": "x"}, {"m": _MEDIAN("f"), "jm": _MEDIAN("j")}, {"sc": _SPREAD("j", "jm")}, {"bad": "len(j) >= 10 AND sc > 0 AND abs(x - p_px) > 4 * sc"}, {"v": "CASE WHEN bad THEN list_append(f[:-2], m) ELSE f END", "res": "CASE WHEN len(j) >= 10 THEN CASE WHEN bad THEN m ELSE x END END"}],
+    out="res",
+)
+
+
+def _clip_stages() -> list[dict[str, str]]:
+    from .operators.kernels import truncated_normal
+
+    shift, shrink = truncated_normal(-2.0, 2.0)
+    return [
+        {"zs": "CASE WHEN p_sd > 0 THEN (x - p_mu) / p_sd ELSE 0 END"},
+        {"inn": "zs BETWEEN -2 AND 2"},
+        {"v": f"CASE WHEN inn THEN list_append(p_v, x){_LAST10} ELSE p_v END"},
+        {"sd": f"CASE WHEN inn AND len(v) = 10 THEN list_aggregate(v, 'stddev_samp') / {shrink!r}::DOUBLE ELSE p_sd END"},
+        {"mu": f"CASE WHEN inn AND len(v) = 10 THEN list_avg(v) - {shift!r}::DOUBLE * sd ELSE p_mu END"},
+        {"res": "CASE WHEN len(v) = 10 THEN CASE WHEN inn THEN x WHEN zs < -2 THEN mu - 2 * sd ELSE mu + 2 * sd END END"},
+    ]
+
+
+_nested("rolling_sigma_clip", {"v": "[]::DOUBLE[]", "mu": "NULL::DOUBLE", "sd": "NULL::DOUBLE", "res": "NULL::DOUBLE"}, _clip_stages(), out="res")
+_Z7 = "[0, 0, 0, 0, 0, 0, 0]::DOUBLE[]"
+_H = lambda v: f"(0.0962e0 * {v}[1] + 0.5769e0 * {v}[3] - 0.5769e0 * {v}[5] - 0.0962e0 * {v}[7]) * adj"
+_CYCLE = (
+    {**dict.fromkeys(("pr", "sm", "de", "ci", "cq"), _Z7), **dict.fromkeys(("i2", "q2", "re", "im", "per", "sper"), "0::DOUBLE"), **dict.fromkeys(("ph", "amp", "mama", "fama", "px", "ln", "pln", "tm"), "NULL::DOUBLE")},
+    [
+        {"adj": "0.075e0 * p_per + 0.54e0", "pr": "list_prepend(x, p_pr[1:6])"},
+        {"sm": "list_prepend((4 * pr[1] + 3 * pr[2] + 2 * pr[3] + pr[4]) / 10, p_sm[1:6])"},
+        {"de": f"list_prepend({_H('sm')}, p_de[1:6])"},
+        {"cq": f"list_prepend({_H('de')}, p_cq[1:6])", "ci": "list_prepend(de[4], p_ci[1:6])"},
+        {"i2": f"0.2e0 * (ci[1] - {_H('cq')}) + 0.8e0 * p_i2", "q2": f"0.2e0 * (cq[1] + {_H('ci')}) + 0.8e0 * p_q2"},
+        {"re": "0.2e0 * (i2 * p_i2 + q2 * p_q2) + 0.8e0 * p_re", "im": "0.2e0 * (i2 * p_q2 - q2 * p_i2) + 0.8e0 * p_im"},
+        {"a0": "CASE WHEN re <> 0 AND im <> 0 THEN 2 * pi() / atan(im / re) ELSE p_per END"},
+        {"a1": "CASE WHEN p_per > 0 THEN least(greatest(a0, 0.67e0 * p_per), 1.5e0 * p_per) ELSE a0 END"},
+        {"per": "0.2e0 * least(greatest(a1, 6), 50) + 0.8e0 * p_per"},
+        {"sper": "0.33e0 * per + 0.67e0 * p_sper", "deg": "degrees(atan2(cq[1], ci[1]))", "warm": "i_ > 40"},
+        {"ph": "CASE WHEN warm THEN CASE WHEN deg < 0 THEN deg + 360 ELSE deg END END", "amp": "sqrt(i2 * i2 + q2 * q2)"},
+        {"al": "CASE WHEN p_ph IS NULL THEN 0.5e0 ELSE least(greatest(0.5e0 / greatest(p_ph - ph, 1), 0.05e0), 0.5e0) END", "a": "2 / (sper + 1)", "turn": "ph - p_ph"},
+        {"mama": "CASE WHEN warm THEN coalesce(al * x + (1 - al) * p_mama, x) END", "px": "x", "pln": "p_ln", "tm": "CASE WHEN warm THEN CASE WHEN p_ph IS NULL THEN 0 ELSE (abs(CASE WHEN turn > 180 THEN turn - 360 WHEN turn < -180 THEN turn + 360 ELSE turn END) < 180 / sper)::INT END END"},
+        {"fama": "CASE WHEN warm THEN coalesce(al / 2 * mama + (1 - al / 2) * p_fama, x) END", "ln": "CASE WHEN i_ > 42 THEN (a - a * a / 4) * x + a * a / 2 * pr[2] - (a - 0.75e0 * a * a) * pr[3] + 2 * (1 - a) * p_ln - (1 - a) * (1 - a) * p_pln WHEN warm THEN x END"},
+    ],
+)
+_W = lambda e: f"(CASE WHEN w_.i_ > 40 THEN {e} END)"
+_nested("dominant_cycle", *_CYCLE, out=_W("sper"))
+_nested("hilbert_phasor", *_CYCLE, inphase=_W("i2"), quadrature=_W("q2"))
+_nested("cycle_phase", *_CYCLE, out="ph")
+_nested("cycle_frequency", *_CYCLE, out=_W("1 / sper"))
+_nested("cycle_amplitude", *_CYCLE, out=_W("amp"))
+_nested("cycle_sine", *_CYCLE, sine="sin(radians(ph))", lead="sin(radians(ph) + pi() / 4)")
+_nested("trend_mode", *_CYCLE, out="tm")
+_nested("mama", *_CYCLE, mama="mama", fama="fama")
+_nested("instantaneous_trendline", *_CYCLE, out="ln")
+
 # -- streams, bars, reports ---------------------------------------------------------------------------------------------------
 
 _LEFT = "SELECT user_id, ts, event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x FROM events WHERE event_type = 'click'"
