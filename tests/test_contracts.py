@@ -166,3 +166,20 @@ def test_degenerate_series(spark, names, case):
         outs.update({f"{n}_{j}": node[j] for j in range(len(op.spec.outputs))})
     got = tw.series(df.limit(0) if case == "none" else df, "k", "i").select("i", **outs).toPandas()
     assert len(got) == (0 if case == "none" else len(f))
+
+
+def test_series_in_pieces(spark):
+    frame = pd.concat([rows(seed=1, n=900).assign(k="hot"), rows(seed=2, n=40).assign(k="a"), rows(seed=3, n=5).assign(k="z"), rows(seed=4, n=60).assign(k="zz")])
+    s = tw.series(spark.createDataFrame(frame), "k", "i")
+    nodes = {"m": tw.ops.RollingMean(5)("x0"), "s": tw.ops.RollingStd(20)("x1"), "d": tw.ops.RollingResidualStd(6)("x0", "x1"), "l": tw.ops.Lag(3)("x2"), "r": tw.ops.RollingRank(8)("x3")}
+    want = s.select("k", "i", **nodes).toPandas().sort_values(["k", "i"]).reset_index(drop=True)
+    for memory, partitions in ((40, 7), (60, 300), (60, 1)):
+        got = s.in_pieces(memory, partitions, **nodes)
+        assert len(got.columns) == len(s.df.columns) + len(nodes)
+        got = got.toPandas().sort_values(["k", "i"]).reset_index(drop=True)
+        assert len(got) == len(want)
+        for c in nodes:
+            np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-6, atol=1e-9, err_msg=c)
+    for bad in (tw.ops.CumSum()("x0"), tw.ops.EwMean(alpha=0.1)("x0"), tw.ops.ExpandingSlope()("x0"), tw.ops.Ffill()("x0")):
+        with pytest.raises(ValueError):
+            s.in_pieces(10, 3, b=bad)

@@ -79,7 +79,8 @@ def make(name: str, *args: Any, **kwargs: Any) -> Operator:
 class Frames:
     """The windows of one operator: by key and validity of its inputs, in the frame's order."""
 
-    def __init__(self, key: list[str], order: list[str], valid: Column | None) -> None:
+    def __init__(self, key: list[str], order: list[str], valid: Column | None, bounded: bool = False) -> None:
+        self.bounded = bounded
         self.valid = F.lit(True) if valid is None else valid
         part = [*map(F.col, key), *([] if valid is None else [valid])]
         # without a key the whole frame is one series
@@ -90,6 +91,8 @@ class Frames:
 
     @property
     def past(self):
+        if self.bounded:
+            raise ValueError("an operator that needs a series' whole past can't run on pieces of it")
         return self.spec.rowsBetween(Window.unboundedPreceding, 0)
 
     @property
@@ -107,7 +110,7 @@ def _inputs(node: Node, at: dict) -> list[Column]:
     return [F.col(at[i.key][i.output]) for i in node.inputs]
 
 
-def _results(node: Node, cols: list[Column], key: list[str], order: list[str]) -> list[Column]:
+def _results(node: Node, cols: list[Column], key: list[str], order: list[str], bounded: bool = False) -> list[Column]:
     spec = node.spec
     valid = None
     for c in cols:
@@ -116,7 +119,9 @@ def _results(node: Node, cols: list[Column], key: list[str], order: list[str]) -
         out = spec.build(*cols, **node.params)
         out = list(out) if isinstance(out, (list, tuple)) else [out]
         return [missing(o if spec.policy == "aware" else F.when(valid, o)) for o in out]
-    frames = Frames(key, order, valid if spec.policy == "ignore" else None)
+    if bounded and spec.name == "_Pos":
+        raise ValueError("row numbers need a series' whole past")
+    frames = Frames(key, order, valid if spec.policy == "ignore" else None, bounded)
     out = spec.build(frames, *cols, **node.params)
     out = list(out) if isinstance(out, (list, tuple)) else [out]
     return [missing(F.when(valid, o) if spec.policy == "ignore" else o) for o in out]
@@ -136,9 +141,11 @@ def expand(node: Node) -> Node:
     return Node(OPERATORS[choose(node.spec.name, node.params)], node.params, inputs, node.output)
 
 
-def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, Node | str]) -> DataFrame:
+def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, Node | str], bounded: bool = False) -> DataFrame:
     """The frame with the nodes' columns added (an existing column of the same name is replaced). `order` must be a
-    total order within a key, or tied rows come in any order. Double columns' NaN count as missing."""
+    total order within a key, or tied rows come in any order. Double columns' NaN count as missing. With `bounded`,
+    operators without a finite memory are refused."""
+    from ..operators.fast import Tail
     from ..operators.kernels import run_kernels
 
     wanted = {n: expand(as_node(x)) for n, x in outputs.items()}
@@ -181,9 +188,12 @@ def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, No
                 temps += len(n.spec.outputs)
                 todo.pop(k)
             if kind == "kernel":
+                endless = [n.spec.name for n in ready.values() if not issubclass(n.spec.build, Tail)] if bounded else []
+                if endless:
+                    raise ValueError(f"{', '.join(endless)} need a series' whole past")
                 df = run_kernels(df, key, order, [(n, [at[i.key][i.output] for i in n.inputs], at[k]) for k, n in ready.items()])
             else:
-                df = df.select("*", *[c.alias(a) for k, n in ready.items() for c, a in zip(_results(n, _inputs(n, at), key, order), at[k], strict=True)])
+                df = df.select("*", *[c.alias(a) for k, n in ready.items() for c, a in zip(_results(n, _inputs(n, at), key, order, bounded), at[k], strict=True)])
             break
         else:
             raise AssertionError("nodes without an order")

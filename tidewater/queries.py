@@ -87,6 +87,7 @@ def there(columns: str) -> str:
 
 
 def snake(name: str) -> str:
+    name = name.replace("CVaR", "Cvar")
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
