@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.registry import REQUIRED, decay, operator
 
@@ -67,7 +68,7 @@ def _changes(columns: list[pa.Array], n: int) -> np.ndarray:
 def run_kernels(df: DataFrame, key: list[str], order: list[str], jobs: list) -> DataFrame:
     """The frame with the outputs of (node, input columns, output columns) jobs added."""
     todo = [(n.spec.build, n.params, ins, outs) for n, ins, outs in jobs]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{o}` double" for _, _, _, outs in todo for o in outs)])
+    schema = StructType([*df.schema.fields, *(StructField(o, DoubleType()) for _, _, _, outs in todo for o in outs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list[Kernel] | None = None

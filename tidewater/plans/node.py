@@ -103,7 +103,7 @@ class Frames:
 
 def missing(c: Column) -> Column:
     """The column with NaN as null."""
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def _inputs(node: Node, at: dict) -> list[Column]:

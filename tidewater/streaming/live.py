@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.node import Node, expand, lower
 
@@ -38,7 +39,7 @@ def live_kernels(df: DataFrame, key: str, order: list[str], outputs: dict[str, N
     """The streaming frame's rows with kernels' outputs, in append mode."""
     jobs = [(name, n.spec.build, n.params, [i.name for i in n.inputs], n.output) for name, n in _kernels_of(outputs)]
     columns = df.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{name}` double" for name, *_ in jobs)])
+    schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name, *_ in jobs)])
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kernels = pickle.loads(state.get[0]) if state.exists else [cls(**params) for _, cls, params, _, _ in jobs]
