@@ -591,6 +591,33 @@ _nested("trend_mode", *_CYCLE, out="tm")
 _nested("mama", *_CYCLE, mama="mama", fama="fama")
 _nested("instantaneous_trendline", *_CYCLE, out="ln")
 
+ORACLES["vpin"] = f"""WITH s0 AS ({_BASE}), v AS (SELECT event_id, user_id, ts, x AS buy, x + y AS vol FROM s0 WHERE x IS NOT NULL AND y IS NOT NULL),
+c AS (SELECT *, sum(vol) OVER w AS tv, sum(vol) OVER w - vol AS pv, sum(buy) OVER w - buy AS pb FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT user_id, pb, buy, pv, vol, unnest(range(floor(pv / 150)::BIGINT + 1, floor(tv / 150)::BIGINT + 1)) AS k FROM c),
+i AS (SELECT user_id, k, pb + buy * (k * 150 - pv) / vol AS bought FROM e),
+d AS (SELECT user_id, k, abs(2 * (bought - lag(bought, 1, 0) OVER (PARTITION BY user_id ORDER BY k)) - 150) AS gap FROM i),
+m AS (SELECT user_id, k, avg(gap) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 150 AS res FROM d)
+SELECT b.event_id AS event_id, round(res + {_shift(6)!r}::DOUBLE, 6) + 0e0 AS out FROM s0 b LEFT JOIN c ON b.event_id = c.event_id LEFT JOIN m ON c.user_id = m.user_id AND m.k = floor(c.tv / 150) AND m.k >= 5"""
+
+
+def _hurst_stages() -> list:
+    from .operators.kernels import Hurst
+
+    k = Hurst(32, 4, "rs")
+    logs = [math.log(n) for n in k.scales]
+    mid = sum(logs) / len(logs)
+    spread = sum((v - mid) ** 2 for v in logs)
+    means = [(there("x"), {"hv": "list(x) {w32}"})]
+    for n in k.scales:
+        block = f"hv[p * {n} + 1:p * {n} + {n}]"
+        walk = f"[list_sum({block}[1:j]) - j * list_avg({block}) for j in range(1, {n} + 1)]"
+        means.append((there("x"), {f"rs{n}": f"CASE WHEN len(hv) = 32 THEN list_avg([(greatest(list_max({walk}), 0) - least(list_min({walk}), 0)) / list_aggregate({block}, 'stddev_pop') for p in range(0, {32 // n})]) END"}))
+    terms = " + ".join(f"{(v - mid) / spread!r}::DOUBLE * ln(rs{n} - {e!r}::DOUBLE + {math.sqrt(0.5 * math.pi * n)!r}::DOUBLE)" for n, v, e in zip(k.scales, logs, k.expected, strict=True))
+    return [*means, (" AND ".join(f"rs{n} IS NOT NULL" for n in k.scales), {"out": terms})]
+
+
+_oracle("rolling_hurst", _hurst_stages(), out="out")
+
 # -- streams, bars, reports ---------------------------------------------------------------------------------------------------
 
 _LEFT = "SELECT user_id, ts, event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x FROM events WHERE event_type = 'click'"
