@@ -78,3 +78,22 @@ def test_frames(spark):
     back = {r.doc_id: r.text for r in C.decode(out).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t, _ in rows}
     assert C.encode(df.limit(0)).count() == 0
+
+
+def test_lawful_neighbours_are_what_merging_leaves():
+    model = C.PieceModel(C.read_model())
+    rng = random.Random(5)
+    pieces = [p for p in model._whole if "▁▁" not in p]
+    chars = [p for p in pieces if len(p) == 1]
+    seen = [0, 0]
+    for _ in range(6000):
+        a, b = rng.choice(pieces), rng.choice(chars if rng.random() < 0.2 else pieces)
+        if rng.random() < 0.5:  # neighbours that share a word of the vocabulary
+            w = rng.choice(pieces)
+            k = rng.randint(1, len(w))
+            a, b = w[:k], (w[k:] + b)[:6]
+        if a in model._whole and b in model._whole and "▁" not in b:
+            want = model.merged(a + b) == [a, b]
+            seen[want] += 1
+            assert model.lawful(a, b) == want, (a, b)
+    assert min(seen) > 100

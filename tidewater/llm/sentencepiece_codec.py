@@ -31,7 +31,7 @@ from .arrowtext import chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words that a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -66,16 +66,25 @@ class PieceModel:
         self.cut_lines = not any("\n" in p for p in self.ids)
         self._pairs: dict[str, dict[str, bool]] = {}
         self._n_pairs = 0
-        self._whole: set[str] = set()
+        # pieces that merging their own text gives back, with their packed ids, and their lengths by last characters
+        self._whole: dict[str, bytes] = {}
+        self._single: dict[str, bytes] = {}
         self._tails: dict[str, tuple[int, ...]] = {}
+        self._ends: dict[str, tuple[int, ...]] = {}
         if not self.unigram:
-            tails: dict[str, set[int]] = {}
+            ends: dict[str, set[int]] = {}
+            order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.score[p])
+            self._rank = {p: i for i, p in enumerate(order)}
+            self._parts: dict[str, tuple[str, str]] = {}
             for p in self.ids:
-                if len(self.merged(p)) == 1:
-                    self._whole.add(p)
+                before = self.merged(p, 2)
+                if len(before) == 1 or len(self.merged(p)) == 1:
+                    self._whole[p] = self._packed([p])
+                    if len(p) > 1:
+                        self._parts[p] = (before[0], before[1])
                     if len(p) > 2:
-                        tails.setdefault(p[-3:], set()).add(len(p))
-            self._tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
+                        ends.setdefault(p[-3:], set()).add(len(p))
+            self._ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self._known: dict[str, bytes] = {"": b""}
         self._words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.cut_lines else f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -93,10 +102,10 @@ class PieceModel:
         text = (lead + text).replace(" ", " " + MARK)
         return (text.replace("\n", " \n ") if self.cut_lines else text).split(" ")
 
-    def merged(self, text: str) -> list[str]:
-        """Byte-pair merging step by step: always the best piece, the leftmost of equals."""
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """Byte-pair merging step by step, until `stop` pieces are left: always the best piece, the leftmost of equals."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
@@ -107,14 +116,33 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def lawful(self, a: str, b: str) -> bool:
+        """Whether merging the joined text of two whole pieces gives back the two: undoes their last merges, latest
+        first, and looks whether the pieces that then meet would have been merged earlier."""
+        rank, parts = self._rank, self._parts
+        ra, rb, limit = rank.get(a, -1), rank.get(b, -1), 1 << 60
+        while True:
+            if rank.get(a + b, limit) < limit:
+                return False
+            if ra > rb:
+                if len(a) == 1:
+                    return True
+                limit, a = ra, parts[a][1]
+                ra = rank[a] if len(a) > 1 else -1
+            elif len(b) == 1:
+                return True
+            else:
+                # of equal merges the left one comes first
+                limit, b = rb + 1, parts[b][0]
+                rb = rank[b] if len(b) > 1 else -1
+
     def _neighbours(self, a: str, b: str) -> bool:
-        if self._n_pairs > 1 << 17:
+        if self._n_pairs > 1 << 19:
             self._pairs.clear()
             self._n_pairs = 0
         self._n_pairs += 1
-        lawful = self.merged(a + b) == [a, b]
-        self._pairs.setdefault(b, {})[a] = lawful
-        return lawful
+        self._pairs.setdefault(b, {})[a] = known = self.lawful(a, b)
+        return known
 
     def _spell(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -128,11 +156,16 @@ class PieceModel:
                 out.append(self.unknown)
         return out
 
-    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """The ids of distinct words, in sorted order."""
-        return (self._viterbi if self.unigram else self._chain)(sorted(words))
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """The packed ids of distinct words, in sorted order."""
+        if not self.unigram:
+            return self._chain(sorted(words))
+        return ((w, self._packed(p)) for w, p in self._viterbi(sorted(words)))
+
+    def _packed(self, pieces: Iterable[str]) -> bytes:
+        return array("H" if self.width.itemsize == 2 else "I", self._spell(pieces)).tobytes()
 
-    def _viterbi(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+    def _viterbi(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Unigram: best[i] is the score of the best pieces of the first i characters, take[i] the length of the last."""
         last, best, take = "", [0.0], [0]
         score, longest = self.score, self.longest
@@ -152,22 +185,42 @@ class PieceModel:
             while end:
                 pieces.append(word[end - take[end] : end])
                 end -= take[end]
-            yield word, self._spell(reversed(pieces))
-
-    def _chain(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Byte pairs: piece[i] is the last piece of the encoding of the first i characters."""
-        last, piece = "", [""]
-        whole, tails, pairs, neighbours = self._whole, self._tails, self._pairs, self._neighbours
+            yield word, pieces[::-1]
+
+    def _lengths(self, tail: str) -> tuple[int, ...]:
+        """Lengths, longest first, that a piece ending in these (at most three) characters may have."""
+        found = self._ends.get(tail, ())
+        if len(tail) > 1 and tail[-2:] in self._whole:
+            found = (*found, 2)
+        if len(self._tails) > 1 << 17:
+            self._tails.clear()
+        self._tails[tail] = found = (*found, 1)
+        return found
+
+    def _chain(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Byte pairs: piece[i] is the last piece of the encoding of the first i characters, code[i] its packed ids."""
+        last, piece, code = "", [""], [b""]
+        whole, tails, pairs, neighbours, single = self._whole, self._tails, self._pairs, self._neighbours, self._single
         none: dict[str, bool] = {}
         runs = MARK * 2
         for word in words:
             if runs in word:
-                yield word, self._spell(self.merged(word))
+                yield word, self._packed(self.merged(word))
                 continue
             k = _shared(last, word)
-            del piece[k + 1 :]
+            del piece[k + 1 :], code[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                for n in (*tails.get(word[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1) if end == 2 else (1,):
+                # most often the last piece grows
+                p = piece[-1] + word[end - 1]
+                packed = whole.get(p)
+                if packed is not None:
+                    start = end - len(p)
+                    if not start or pairs.get(p, none).get(piece[start]):
+                        piece.append(p)
+                        code.append(code[start] + packed)
+                        continue
+                tail = word[end - 3 : end] if end > 2 else word[:end]
+                for n in tails.get(tail) or self._lengths(tail):
                     start = end - n
                     if start < 0:
                         continue
@@ -181,13 +234,16 @@ class PieceModel:
                     if lawful or (lawful is None and neighbours(before, p)):
                         break
                 piece.append(p)
+                code.append(code[start] + (whole.get(p) or single.get(p) or self._first(p)))
             last = word
-            found, end = [], len(word)
-            while end:
-                found.append(piece[end])
-                end -= len(piece[end])
-            found.reverse()
-            yield word, self._spell(found)
+            yield word, code[-1]
+
+    def _first(self, char: str) -> bytes:
+        """The packed ids of a character by itself."""
+        if len(self._single) > 1 << 16:
+            self._single.clear()
+        self._single[char] = packed = self._packed([char])
+        return packed
 
     # -- texts --------------------------------------------------------------------------------------------------
 
@@ -201,9 +257,7 @@ class PieceModel:
             known.clear()
             known[""] = b""
             fresh = set().union(*cut) - {""}
-        code = "H" if self.width.itemsize == 2 else "I"
-        for word, ids in self.encode_words(fresh):
-            known[word] = array(code, ids).tobytes()
+        known.update(self.encode_words(fresh))
         get = known.__getitem__
         return [b"".join(map(get, u)) for u in cut]
 
@@ -252,7 +306,7 @@ def encode(documents: DataFrame, model: str = MODEL, with_ids: bool = True, chec
         m = loaded(raw.value)
         names = [str(i) for i in range(len(m.table))]
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 2 << 20):
                 texts = part.column("text").to_pylist()
                 ids = [np.frombuffer(b, m.width) for b in m.encode_texts(texts)]
                 cols, labels = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "n_pieces"]
