@@ -62,11 +62,11 @@ class Stream:
     def apply(self, operator: Operator, names: list[str] | None = None) -> Stream:
         """The operator on this stream's columns: all of them as its inputs, or each one by itself where it has one."""
         spec = operator.spec
-        if spec.n_in == len(self.values):
+        if spec.n_in == 1 and len(spec.outputs) == 1:
+            outs = {v: operator(v) for v in self.values}
+        elif spec.n_in == len(self.values):
             node = operator(*self.values)
             outs = {o or "value": node[i] for i, o in enumerate(spec.outputs)}
-        elif spec.n_in == 1 and len(spec.outputs) == 1:
-            outs = {v: operator(v) for v in self.values}
         else:
             raise ValueError(f"{spec.name} takes {spec.n_in} inputs, the stream has {len(self.values)} columns")
         if names:

@@ -779,6 +779,41 @@ def _pairs(spark: SparkSession, sf_dir: str):
 _stream("forecast_pairs", _pairs, "x y", f"SELECT user_id, ts, x, y FROM (SELECT c.user_id AS user_id, c.ts AS ts, v.w.v AS x, c.y AS y, v.w AS w FROM ({_RIGHT}) c ASOF LEFT JOIN (SELECT user_id, ts + INTERVAL 6 HOUR AS seen, struct_pack(v := x) AS w FROM ({_LEFT}) WHERE x IS NOT NULL) v ON c.user_id = v.user_id AND c.ts >= v.seen)")
 
 
+def _side_by_side(spark: SparkSession, sf_dir: str):
+    left = _streams(spark, sf_dir)[0]
+    return left, left.like(left.df.withColumn("y", F.col("x") * 2 + 1).drop("x"), ["y"])
+
+
+def _positions(spark: SparkSession, sf_dir: str):
+    from .operators.streams import zip_streams
+
+    return zip_streams(*_side_by_side(spark, sf_dir))
+
+
+def _pairs_by_count(spark: SparkSession, sf_dir: str):
+    from .operators.streams import forecast_pairs
+
+    return forecast_pairs(*_side_by_side(spark, sf_dir), count=2)
+
+
+_PLACED = f"SELECT user_id, make_timestamp(row_number() OVER w - 1) AS ts, {{x}} AS x, x * 2 + 1 AS y FROM ({_LEFT}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+_stream("combine_latest_positional", _positions, "x y", _PLACED.format(x="x"))
+_stream("forecast_pairs_count", _pairs_by_count, "x y", _PLACED.format(x="lag(x, 2) OVER w"))
+
+
+def _graph(spark: SparkSession, sf_dir: str):
+    """A pipeline that was written as JSON and read again: a rolling mean over hourly bars without empty ones."""
+    from .plans.pipeline import Pipeline, apply, flow, source
+
+    ticks = source("ticks")
+    bars = flow("dropna", flow("resample", ticks, agg="mean", freq="h"))
+    graph = Pipeline.from_json(Pipeline([ticks], {"smooth": apply(make("RollingMean", 3, "expanding"), bars)}).to_json())
+    return graph(ticks=_only_x(spark, sf_dir))["smooth"]
+
+
+_stream("pipeline_graph", _graph, "x", f"SELECT event_type, make_timestamp(k * 3600000000) AS ts, avg(m) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS x FROM (SELECT event_type, epoch_us(ts) // 3600000000 AS k, avg(x) AS m FROM ({_TICKS}) GROUP BY 1, 2 HAVING count(x) > 0)", keys="event_type ts")
+
+
 def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.backtest import portfolio_report
 
