@@ -112,7 +112,7 @@ def count_trees(samples: dict[str, list[bytes]]) -> ContextTrees:
     symbol = np.zeros(256, np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
-    s = symbol[buffer]
+    s = symbol[buffer].astype(np.int32)
 
     def by_language(ids: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(ids[real].astype(np.int64) * n_lang + lang, minlength=n * n_lang).reshape(n, n_lang).astype(np.float64)
@@ -120,16 +120,16 @@ def count_trees(samples: dict[str, list[bytes]]) -> ContextTrees:
     ids, sizes, nexts = [s], [width], [np.zeros(0, np.int32), np.zeros(0, np.int32)]
     first = [None]
     for _ in range(2, ORDER + 2):
-        before = np.zeros(len(s), np.int64)
-        before[1:] = ids[-1][:-1]
-        keys = before * width + s
+        keys = s.astype(np.int64)
+        keys[1:] += ids[-1][:-1].astype(np.int64) * width
         # every k-gram that ends at a real byte, and those inside the padding, which are contexts of first bytes
         got, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         table = np.zeros(sizes[-1] * width, np.int32)
         table[got] = np.arange(1, len(got) + 1)
         table[:width] = 0  # nothing follows what wasn't seen; only the buffer's first byte is counted there
         nexts.append(table)
-        ids.append(inverse.astype(np.int64) + 1)
+        ids.append(inverse.astype(np.int32) + 1)
+        del keys, inverse
         sizes.append(len(got) + 1)
         first.append(where)
     cost, escape = [np.zeros((1, n_lang), np.float32)], []
