@@ -391,7 +391,7 @@ def near_pairs(vertices: DataFrame) -> DataFrame:
     return rows.repartition("family", "turn", "block").sortWithinPartitions("family", "turn", "block").mapInArrow(linked, f"doc_id {kind}, rep {kind}").distinct()
 
 
-def similar(documents: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, group: int = 256) -> DataFrame:
+def similar(documents: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, group: int = 128) -> DataFrame:
     """The pairs whose sets of NEAR_SHINGLE-word shingles are that similar, exactly counted. A representative's text is
     sent once for each `group` of its pairs."""
     kind = dict(documents.dtypes)["doc_id"]
