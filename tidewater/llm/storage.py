@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished jobs that nothing refers to any more: its cleaner waits for the
+    driver to collect its garbage, which it may not do for long."""
+    for _ in range(4):  # what one round frees in Python a later one finds free in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def settled(df: DataFrame, kind: str) -> DataFrame:
     """The frame, written as Parquet below the shared folder and read again: compact, columnar, and exact sizes
     for the planner."""
