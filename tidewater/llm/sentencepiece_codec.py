@@ -31,7 +31,7 @@ from .arrowtext import chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words that a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -137,7 +137,7 @@ class PieceModel:
                 rb = rank[b] if len(b) > 1 else -1
 
     def _neighbours(self, a: str, b: str) -> bool:
-        if self._n_pairs > 1 << 19:
+        if self._n_pairs > 1 << 18:
             self._pairs.clear()
             self._n_pairs = 0
         self._n_pairs += 1
