@@ -14,8 +14,11 @@ within the budget are tasks of their own.
 Classes: connected components over the forests, then one join back to the documents.
 
 `near_classes`, which deduplication uses, also joins texts whose five-word shingles are at least 0.8 alike. These lie too
-far apart for two bits, so candidates come from several fingerprints of each text's set of words, joined in the same way
-at three bits; within a block nearer pairs are linked first, as a forest, and every candidate is verified on the texts.
+far apart for two bits, so candidates come from min-hashes of the shingle set itself, whatever kind of edit made the
+difference: two texts are a candidate if all hashes of one band agree and at least NEAR_AGREE of all hashes do (99.8 % of
+pairs at 0.8). Every candidate is verified on the texts or has its ends joined by verified links already: first each
+bucket's most typical text is compared with the others, then all candidates that are still apart are. The rule is the
+same for buckets of any size.
 
 Defined cases: texts without words (null and empty ones among them) have fingerprint zero and link like any other;
 equal texts share a fingerprint; rows with a null doc_id get a class but never name it (a class of only such rows has
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import SPACE, chunks, gram_hashes, lower_ascii, mix64, span_hashes, text_buffer, word_spans
 from .components import components
-from .storage import cut
+from .storage import cut, release, settled
 
 BUDGET = 2
 SEED = 42
@@ -43,11 +46,13 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of one block that a task takes; larger blocks are cut.
 BLOCK_LIMIT = 1 << 18
 _LEAF = 192
-#: Near copies by similarity: shingle words, similarity, fingerprints of the word set, and bits that they may differ in.
+#: Near copies by similarity: shingle words, similarity, bands of min-hashes and hashes in each, and how many of all
+#: hashes agree in a candidate (at 0.8, 38 are expected; under 28 is a chance of 2 in 10,000).
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-FAMILIES = 12
-NEAR_BUDGET = 3
+BANDS = 12
+BAND_ROWS = 4
+NEAR_AGREE = 28
 #: Codes of one block of which all distances are taken at once.
 _DENSE = 4096
 
@@ -321,29 +326,23 @@ def classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
 # -- near copies by similarity ------------------------------------------------------------------------------------
 
 
-def word_set_fingerprints(data: np.ndarray, offsets: np.ndarray, families: int = FAMILIES) -> np.ndarray:
-    """Fingerprints of each row's set of words, one column for each of a number of hash functions."""
+def min_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each band of each row (uint64), and one byte of each min-hash of the row's shingle set."""
     n = len(offsets) - 1
-    out = np.zeros((n, families), np.uint64)
-    low = lower_ascii(data)
-    starts, ends, rows = word_spans(~SPACE[low], offsets)
-    if not len(starts):
-        return out
-    h = span_hashes(low, starts, ends)
-    _, first = np.unique(h ^ mix64(rows.astype(np.uint64) + np.uint64(1)), return_index=True)
-    first.sort()
-    h, rows = h[first], rows[first]
-    full, begin, size = np.unique(rows, return_index=True, return_counts=True)
-    for f, seed in enumerate(mix64(np.arange(1, families + 1, dtype=np.uint64))):
-        bits = np.unpackbits(mix64(h ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        out[full, f] = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    flat, begin = _shingle_hashes(data, offsets)
+    low = np.empty((n, BANDS * BAND_ROWS), np.uint64)
+    seeds = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64))
+    for f, seed in enumerate(seeds):
+        low[:, f] = np.minimum.reduceat((flat ^ seed) * (mix64(seeds[f : f + 1])[0] | np.uint64(1)), begin[:-1]) if n else 0
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
+    for r in range(BAND_ROWS):
+        keys = mix64(keys ^ low[:, r::BAND_ROWS])
+    return keys, (mix64(low) >> np.uint64(56)).astype(np.uint8)
 
 
 def nearest_links(codes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a forest over sorted distinct codes that connects all pairs within the budget, nearer pairs first, so
-    that a code's edges lead to codes like it."""
+    that a code's edges lead to codes like it. Not for candidates that are still to be verified."""
     n, forest = len(codes), Forest(len(codes))
     if n > _DENSE:
         join_trie(codes, forest, (0, n), (0, n), budget=budget, limit=budget)
@@ -366,29 +365,47 @@ def nearest_links(codes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarra
     return pairs[:, 0], pairs[:, 1]
 
 
-def near_pairs(vertices: DataFrame) -> DataFrame:
-    """(doc_id, rep) candidates among (doc_id, codes): for every family and block of bits the forest of nearest links."""
+def bucket_pairs(marks: np.ndarray, roots: np.ndarray, which: str = "all") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates (places) of a bucket whose ends have different roots, by the bytes of their min-hashes: all, those of
+    the most "typical" text, or those of the most typical of the "rest" outside of the largest class."""
+    names, of, size = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    rest = np.arange(len(of)) if which == "typical" or size.max() == 1 else np.flatnonzero(of != np.argmax(size))
+    if which != "all":
+        among = marks[rest]
+        mode = np.array([np.bincount(c, minlength=256).argmax() for c in among.T], np.uint8)
+        rest = rest[[np.argmax((among == mode).sum(1))]]
+    done = np.zeros(len(of), bool)
+    for i in rest.tolist():
+        done[i] = True
+        j = np.flatnonzero((of != of[i]) & ~done)
+        j = j[(marks[j] == marks[i]).sum(1) >= NEAR_AGREE]
+        if len(j):
+            yield np.full(len(j), i), j
+
+
+def near_pairs(vertices: DataFrame, roots: DataFrame, which: str = "all") -> DataFrame:
+    """(doc_id, rep) candidates among (doc_id, keys, marks) that aren't joined by `roots` (vertex, root): of each bucket
+    those that bucket_pairs gives."""
     kind = dict(vertices.dtypes)["doc_id"]
-    turns = [(64 // (NEAR_BUDGET + 1)) * i for i in range(NEAR_BUDGET + 1)]
-    size = 64 // (NEAR_BUDGET + 1)
-    rows = vertices.select("doc_id", F.posexplode("codes").alias("family", "code")).select(
-        "doc_id", "family", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.shiftrightunsigned(_turn(F.col("code"), t), 64 - size).alias("block"), _turn(F.col("code"), t).alias("code")) for i, t in enumerate(turns)])).alias("x")
-    ).select("doc_id", "family", "x.*")
+    rows = vertices.join(roots.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rows = rows.select(F.explode("keys").alias("key"), "doc_id", "root", "marks")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, g in _groups(batches, ["family", "turn", "block"]):
-            if len(g["code"]) < 2:
+        for _, g in _groups(batches, ["key"]):
+            ids = g["doc_id"]
+            if len(ids) < 2:
                 continue
-            order = np.lexsort((g["doc_id"], g["code"].view(np.uint64)))
-            ids = g["doc_id"][order]
-            codes, first, which = np.unique(g["code"].view(np.uint64)[order], return_index=True, return_inverse=True)
-            same = np.flatnonzero(np.arange(len(ids)) != first[which])
-            a, b = nearest_links(codes, NEAR_BUDGET)
-            x, y = np.concatenate([ids[same], ids[first[a]]]), np.concatenate([ids[first[which[same]]], ids[first[b]]])
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["doc_id", "rep"])
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            marks = np.frombuffer(b"".join(g["marks"][order].tolist()), np.uint8).reshape(len(ids), -1)
+            for i, j in bucket_pairs(marks, g["root"][order], which):
+                # the typical text, or the one that is compared with many, is the representative
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["doc_id", "rep"])
 
-    return rows.repartition("family", "turn", "block").sortWithinPartitions("family", "turn", "block").mapInArrow(linked, f"doc_id {kind}, rep {kind}").distinct()
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(linked, f"doc_id {kind}, rep {kind}")
+    return found.distinct()
 
 
 def similar(documents: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, group: int = 128) -> DataFrame:
@@ -422,49 +439,87 @@ def similar(documents: DataFrame, pairs: DataFrame, similarity: float = SIMILARI
     return both.mapInArrow(compared, f"doc_id {kind}, rep {kind}")
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct hashes of each row's shingles of NEAR_SHINGLE words (all words, where there are fewer)."""
+def _shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each row's shingles of NEAR_SHINGLE words (of all words, where there are fewer; zero without words),
+    row after row, and where each row begins."""
     low = lower_ascii(data)
     starts, ends, rows = word_spans(~SPACE[low], offsets)
     words = span_hashes(low, starts, ends)
     h, first = gram_hashes(words, rows, NEAR_SHINGLE)
     n = len(offsets) - 1
-    edge = np.searchsorted(rows[first], np.arange(n + 1), side="left")
+    count = np.bincount(rows[first], minlength=n)
+    begin = np.concatenate([[0], np.cumsum(np.maximum(count, 1))])
+    out = np.zeros(begin[-1], np.uint64)
+    out[np.arange(len(h)) + np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)] = h
     word = np.searchsorted(rows, np.arange(n + 1), side="left")
-    out = []
-    for i in range(n):
-        if edge[i + 1] > edge[i]:
-            out.append(np.unique(h[edge[i] : edge[i + 1]]))
-        else:
-            short = words[word[i] : word[i + 1]]
-            out.append(gram_hashes(short, np.zeros(len(short), np.int64), len(short))[0] if len(short) else np.zeros(1, np.uint64))
-    return out
+    for i in np.flatnonzero((count == 0) & (np.diff(word) > 0)).tolist():
+        short = words[word[i] : word[i + 1]]
+        out[begin[i]] = gram_hashes(short, np.zeros(len(short), np.int64), len(short))[0][0]
+    return out, begin
 
 
-def near_classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """doc_id, component_id for every document: classes under the links of `classes` and those of texts whose
-    five-word shingles are at least SIMILARITY alike. Candidates of the latter come from trie joins over FAMILIES
-    fingerprints of the texts' word sets; every one is verified. Of rows that repeat a doc_id one speaks for all."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct hashes of each row's shingles."""
+    h, begin = _shingle_hashes(data, offsets)
+    return [np.unique(h[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _near(documents: DataFrame, limit: int) -> DataFrame:
+    """doc_id, text_key, root, component_id for every document; root tells classes apart."""
     kind = dict(documents.dtypes)["doc_id"]
+    keyed = documents.select("doc_id", _text_key().alias("text_key"), "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 buffer = text_buffer(part.column("text"))
-                codes = word_set_fingerprints(*buffer).view(np.int64)
-                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * FAMILIES
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprint_batch(*buffer).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))], ["doc_id", "fp", "codes"])
-
-    docs = cut(documents.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long, codes array<long>"))
-    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("m"), F.min_by("codes", "doc_id").alias("codes")))
-    named = distinct.where("m is not null")
-    edges = links(distinct.select("fp"), limit)
-    by = named.select("fp", "m")
-    close = edges.join(by.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(by.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b").select("x", "y")
-    alike = similar(documents, near_pairs(named.select(F.col("m").alias("doc_id"), "codes")))
-    found = components(close.unionAll(alike.select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))), "x", "y")
-    of = cut(by.join(found.select(F.col("vertex").alias("m"), "root"), "m", "left").select("fp", F.coalesce("root", "m").alias("component_id")))
-    return docs.select("doc_id", "fp").join(of, "fp", "left").select("doc_id", "component_id")
+                keys, marks = min_hashes(*buffer)
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * BANDS
+                cols = [part.column("doc_id"), part.column("text_key"), pa.array(fingerprint_batch(*buffer).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), pa.array([m.tobytes() for m in marks], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "fp", "keys", "marks"])
+
+    docs = cut(keyed.mapInArrow(hashed, f"doc_id {kind}, text_key long, fp long, keys array<long>, marks binary"))
+    # one vertex for each text
+    distinct = cut(docs.groupBy("text_key").agg(F.min("doc_id").alias("m"), F.min("fp").alias("fp")))
+    by = cut(distinct.groupBy("fp").agg(F.min("text_key").alias("r")))
+    edges = links(by.select("fp"), limit)
+    close = edges.join(by.select(F.col("fp").alias("a"), F.col("r").alias("x")), "a").join(by.select(F.col("fp").alias("b"), F.col("r").alias("y")), "b").select("x", "y")
+    joined = settled(close.unionAll(distinct.join(by, "fp").where("text_key <> r").select(F.col("text_key").alias("x"), F.col("r").alias("y"))), "links")
+    named = distinct.where("m is not null").select("text_key", F.col("m").alias("doc_id"))
+    vertices = docs.select("doc_id", "text_key", "keys", "marks").join(named, ["doc_id", "text_key"]).dropDuplicates(["text_key"]).select(F.col("text_key").alias("doc_id"), "keys", "marks")
+    vertices = cut(vertices)
+
+    tried, found = None, components(joined, "x", "y")
+    for which in ("typical", "rest", "all"):
+        pairs = near_pairs(vertices, found, which)
+        if tried is not None:
+            pairs = pairs.join(tried, ["doc_id", "rep"], "left_anti")
+        pairs = settled(pairs, "pairs")
+        both = pairs.unionAll(pairs.select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("rep")))
+        tried = both if tried is None else tried.unionAll(both)
+        if pairs.isEmpty():
+            continue
+        ends = pairs.select(F.col("doc_id").alias("text_key")).unionAll(pairs.select(F.col("rep").alias("text_key"))).distinct()
+        texts = keyed.join(cut(named.join(ends, "text_key")), ["doc_id", "text_key"]).select(F.col("text_key").alias("doc_id"), "text")
+        alike = similar(cut(texts), pairs)
+        # read from files: a checkpoint keeps the constraints of its plan, which multiply from round to round
+        joined = settled(joined.unionAll(alike.select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))), "links")
+        found = components(joined, "x", "y")
+        release(documents.sparkSession)
+    of = distinct.join(found.select(F.col("vertex").alias("text_key"), "root"), "text_key", "left").select("text_key", F.coalesce("root", "text_key").alias("root"), "m")
+    of = cut(of)
+    names = of.groupBy("root").agg(F.min("m").alias("component_id"))
+    return docs.select("doc_id", "text_key").join(cut(of.select("text_key", "root").join(names, "root")), "text_key")
+
+
+def near_classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """doc_id, component_id for every document: classes under the links of `classes` and those of texts whose
+    five-word shingles are at least SIMILARITY alike. Each different text is by itself, whatever its doc_id."""
+    return _near(documents, limit).select("doc_id", "component_id")
 
 
 def one_of_each(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
