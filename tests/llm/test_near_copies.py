@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidewater.llm import simhash_dedup as S
 
 
@@ -24,3 +26,22 @@ def test_copies_that_are_alike_only_through_their_original(spark):
     links = [(0, i) for i in range(1, 1001) if len(grams[0] & grams[i]) >= 0.8 * len(grams[0] | grams[i])]
     assert len(links) > 900
     assert joined(spark, (texts, links)) >= 0.99 * len(links)
+
+
+def test_a_large_bucket_has_the_candidates_of_a_small_one():
+    rng = np.random.default_rng(33)
+    wide = S.BANDS * S.BAND_ROWS
+    groups = rng.integers(0, 256, (1500, wide), dtype=np.uint8)
+    marks = np.repeat(groups, 3, axis=0)
+    assert len(marks) > S._DENSE
+    of = np.repeat(np.arange(1500), 3)
+    edit = rng.random(marks.shape) < 0.1
+    marks[edit] = rng.integers(0, 256, int(edit.sum()), dtype=np.uint8)
+    got = {(i, j) for a, b in S.bucket_pairs(marks, np.arange(len(marks))) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(3 * g + a, 3 * g + b) for g in range(1500) for a, b in ((0, 1), (0, 2), (1, 2))}
+    want = {(a, b) for a, b in want if (marks[a] == marks[b]).sum() >= S.NEAR_AGREE}
+    assert len(want) > 4000 and want <= got and all(of[a] == of[b] for a, b in got)
+    # ends that are joined already are left out
+    assert not list(S.bucket_pairs(marks, np.zeros(len(marks), np.int64)))
+    left = [(i, j) for a, b in S.bucket_pairs(marks, of) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert left == []
