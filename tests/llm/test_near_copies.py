@@ -28,6 +28,18 @@ def test_copies_that_are_alike_only_through_their_original(spark):
     assert joined(spark, (texts, links)) >= 0.99 * len(links)
 
 
+def test_appended_and_truncated_copies(spark):
+    rng = random.Random(32)
+    texts, links = [], []
+    for _ in range(200):
+        base = [f"w{rng.randrange(50000)}" for _ in range(200)]
+        more = base + [f"w{rng.randrange(50000)}" for _ in range(46)]
+        at = len(texts)
+        texts += [base, more, base[:164]]
+        links += [(at, at + 1), (at, at + 2)]
+    assert joined(spark, (texts, links)) >= 0.99 * len(links)
+
+
 def test_a_large_bucket_has_the_candidates_of_a_small_one():
     rng = np.random.default_rng(33)
     wide = S.BANDS * S.BAND_ROWS
