@@ -57,3 +57,10 @@ def test_a_large_bucket_has_the_candidates_of_a_small_one():
     assert not list(S.bucket_pairs(marks, np.zeros(len(marks), np.int64)))
     left = [(i, j) for a, b in S.bucket_pairs(marks, of) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
     assert left == []
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    say = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(4, say("a")), (4, say("b")), (4, say("b")), (2, say("c")), (6, say("c")), (6, say("d")), (None, say("a"))]
+    got = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("2", say("c")), ("4", say("a")), ("4", say("b")), ("6", say("d")), ("None", say("a"))]

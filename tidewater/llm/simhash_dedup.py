@@ -523,13 +523,18 @@ def near_classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """The documents without those that their class (of near_classes) already has: the one with the smallest doc_id stays, once (of rows
-    that repeat its id, the one with the smallest text). Rows with a null doc_id can't be told apart and stay."""
-    gone = near_classes(documents, limit).where("component_id <> doc_id").select("doc_id").distinct()
-    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    again = cut(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """The documents without those that their class (of near_classes) already has: of each class the row with the smallest
+    doc_id stays, once (of rows of the class that repeat its id, the one with the smallest text). Rows of one id with
+    unlike texts are in classes of their own and stay. Rows with a null doc_id can't be told apart and stay."""
+    found = cut(_near(documents, limit).where("doc_id is not null"))
+    keyed = documents.withColumn("_tw_key", _text_key())
+    same = lambda rows: [keyed["doc_id"] == rows["_tw_id"], keyed["_tw_key"] == rows["text_key"]]
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_tw_id"), "text_key").distinct()
+    kept = keyed.join(gone, same(gone), "left_anti")
+    first = found.where("component_id = doc_id").groupBy("doc_id", "root").count().where("count > 1").select("doc_id", "root")
+    again = cut(found.join(first, ["doc_id", "root"]).select(F.col("doc_id").alias("_tw_id"), "text_key", F.col("root").alias("_tw_root")).distinct())
     if again.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("_tw_n", F.row_number().over(first)).where("_tw_n = 1").select(*documents.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(repeated)
+        return kept.select(*documents.columns)
+    one = Window.partitionBy("_tw_id", "_tw_root").orderBy("text")
+    repeated = kept.join(again, same(again)).withColumn("_tw_n", F.row_number().over(one)).where("_tw_n = 1").select(*documents.columns)
+    return kept.join(again, same(again), "left_anti").select(*documents.columns).unionByName(repeated)
