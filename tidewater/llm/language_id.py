@@ -159,17 +159,24 @@ def count_trees(samples: dict[str, list[bytes]]) -> ContextTrees:
 
 def sample(documents: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict[str, list[bytes]]:
     """At most max_docs texts of each language that aren't held out, by order of a hash of their ids. The counts by
-    language are one row each; thinning by the hash keeps the window that takes the first rows small."""
-    rows = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    language are one row each, of the texts that can be chosen. Texts over MAX_TRAIN_DOC_BYTES give their beginning, and only
+    where a language has fewer than max_docs others; thinning by the hash keeps the window that takes the first rows small."""
+    size = F.octet_length("text")
+    rows = documents.select("doc_id", "lang", "text", (size > MAX_TRAIN_DOC_BYTES).alias("_tw_long")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (size > 0) & ~held_out(F.col("doc_id")))
+    counts: dict[str, list[int]] = {}
+    for r in rows.groupBy("lang", "_tw_long").count().collect():
+        counts.setdefault(r[0], [0, 0])[r[1]] = r[2]
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3.0 * max_docs / n))])
+    shares = {k: (min(1.0, 3.0 * max_docs / max(1, n)), min(1.0, 3.0 * max_docs / max(1, m)) if n < max_docs else 0.0) for k, (n, m) in counts.items()}
+    share = [F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v[i])])[F.col("lang")] for i in (0, 1)]
     order = F.xxhash64("doc_id")
-    thin = rows.where(F.pmod(order, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).where(F.octet_length("text").between(1, MAX_TRAIN_DOC_BYTES))
+    thin = rows.where(F.pmod(order, F.lit(1 << 20)) < F.when(F.col("_tw_long"), share[1]).otherwise(share[0]) * (1 << 20))
+    # a character has at most four bytes
+    thin = thin.withColumn("text", F.when(F.col("_tw_long"), F.substring("text", 1, MAX_TRAIN_DOC_BYTES // 4)).otherwise(F.col("text")))
     from pyspark.sql import Window
 
-    first = thin.withColumn("_tw_n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))).where(F.col("_tw_n") <= max_docs)
+    first = thin.withColumn("_tw_n", F.row_number().over(Window.partitionBy("lang").orderBy("_tw_long", order, "doc_id", "text"))).where(F.col("_tw_n") <= max_docs)
     out: dict[str, list[bytes]] = {}
     for r in first.select("lang", "text").collect():
         out.setdefault(r[0], []).append(r[1].encode())
