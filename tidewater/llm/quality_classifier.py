@@ -150,7 +150,7 @@ def _simplest(path: tuple) -> tuple:
     return tuple(sorted((f, s, v) for (f, s), v in tight.items()))
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, penalty: float = 0.001, max_rules: int = 240, seed: int = 7) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, penalty: float = 0.001, seed: int = 7) -> RuleModel:
     """Trees, rules from their paths, and lasso logistic weights (accelerated proximal gradient)."""
     if len(y) == 0:
         return RuleModel()
@@ -176,7 +176,6 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rat
         if 0 < cover.sum() < len(y) and mark not in seen:
             seen.add(mark)
             rules.append((r, cover))
-    rules = rules[:max_rules]
     if not rules:
         return RuleModel(prior)
     m = np.stack([c for _, c in rules], 1).astype(np.float64)
