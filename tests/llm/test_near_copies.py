@@ -45,7 +45,6 @@ def test_a_large_bucket_has_the_candidates_of_a_small_one():
     wide = S.BANDS * S.BAND_ROWS
     groups = rng.integers(0, 256, (1500, wide), dtype=np.uint8)
     marks = np.repeat(groups, 3, axis=0)
-    assert len(marks) > S._DENSE
     of = np.repeat(np.arange(1500), 3)
     edit = rng.random(marks.shape) < 0.1
     marks[edit] = rng.integers(0, 256, int(edit.sum()), dtype=np.uint8)

@@ -68,14 +68,37 @@ def near_codes(n, seed):
     return np.unique(np.array(out, np.uint64))
 
 
-def test_trie_join_finds_the_classes():
+@pytest.mark.parametrize("front", [7, 1 << 16])
+def test_trie_join_finds_the_classes(monkeypatch, front):
+    monkeypatch.setattr(S, "_FRONT", front)
     codes = near_codes(900, 1)
-    old, S._LEAF = S._LEAF, 3
-    try:
-        forest = S.Forest(len(codes))
-        S.join_trie(codes, forest, (0, len(codes)), (0, len(codes)))
-    finally:
-        S._LEAF = old
+    forest = S.Forest(len(codes))
+    assert S.join_trie(codes, forest, (0, len(codes)), (0, len(codes))) > 100
+    want = brute_classes({i: int(c) for i, c in enumerate(codes)})
+    assert forest.roots(np.arange(len(codes))).tolist() == [want[i] for i in range(len(codes))]
+
+
+def test_documents_go_through_inner_nodes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = {r.fp for r in S.fingerprints(docs).collect()}
+    codes = np.sort(np.array(list(fps), np.int64).view(np.uint64))
+    forest = S.Forest(len(codes))
+    split = S.join_trie(codes, forest, (0, len(codes)), (0, len(codes)))
+    assert split > len(codes)  # the traversal does the work, not the comparison of leaves
+    want = brute_classes({i: int(c) for i, c in enumerate(codes)})
+    assert forest.roots(np.arange(len(codes))).tolist() == [want[i] for i in range(len(codes))]
+
+
+@pytest.mark.parametrize("per_trie", [4, 50])
+def test_tries_of_any_size_give_the_same_classes(spark, monkeypatch, per_trie):
+    monkeypatch.setattr(S, "TRIE_CODES", per_trie)
+    codes = near_codes(500, 3)
+    assert S.trie_depth(len(codes)) > 2
+    fps = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    forest = S.Forest(len(codes))
+    at = {int(c): i for i, c in enumerate(codes.view(np.int64))}
+    edges = np.array([(at[r.a], at[r.b]) for r in S.links(fps).collect()]).reshape(-1, 2)
+    forest.join(edges[:, 0], edges[:, 1])
     want = brute_classes({i: int(c) for i, c in enumerate(codes)})
     assert forest.roots(np.arange(len(codes))).tolist() == [want[i] for i in range(len(codes))]
 
@@ -137,19 +160,3 @@ def test_near_copies_by_similarity(spark):
     assert all(want[got[i]] == want[i] for i in docs)  # never joins what isn't linked
     kept = {r.doc_id for r in S.one_of_each(df).collect()}
     assert kept == {i for i in docs if got[i] == i} | {None}
-
-
-def test_nearest_links_connect_what_the_budget_allows():
-    codes = near_codes(400, 8)
-    for dense in (10**6, 0):
-        old, S._DENSE = S._DENSE, dense
-        try:
-            a, b = S.nearest_links(codes, 3)
-        finally:
-            S._DENSE = old
-        forest = S.Forest(len(codes))
-        forest.join(a, b)
-        want = S.Forest(len(codes))
-        far = np.bitwise_count(codes[:, None] ^ codes[None, :])
-        want.join(*np.nonzero((far <= 3) & (far > 0)))
-        assert (forest.roots(np.arange(len(codes))) == want.roots(np.arange(len(codes)))).all()

@@ -4,12 +4,12 @@ Fingerprint: words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, shin
 (fewer words: the whole sequence), XXH64 with seed 42 of each; a bit is 1 if set in over half of the hashes.
 
 Links: two fingerprints at most BUDGET bits apart agree wholly in one of three disjoint blocks of bits, so three
-rotated copies of each distinct fingerprint are dealt out by that block, which bounds the copies at three whatever the
-input. Within a block the fingerprints form a binary trie, kept as a sorted array; pairs of its nodes are traversed
-together, a differing bit uses up budget, and a pair without budget is left. Node pairs whose members are already
-connected are left too, so a dense ball of near copies costs no quadratic output: a task emits a spanning forest of its
-links. A block with more than `limit` fingerprints is cut into deeper trie nodes of at most that size, and the node pairs
-within the budget are tasks of their own.
+rotated copies of each distinct fingerprint are dealt out by the first bits of that block, as many bits as give tries of
+some thousand fingerprints. That bounds the copies at three whatever the input. Each binary trie is kept as a sorted array;
+pairs of its nodes are traversed together from the top, a differing bit uses up budget, and a pair without budget is left.
+Node pairs whose members are already connected are left too, so a dense ball of near copies costs no quadratic output: a
+task emits a spanning forest of its links. A trie with more than `limit` fingerprints is cut into deeper nodes of at most
+that size, and the node pairs within the budget are tasks of their own.
 
 Classes: connected components over the forests, then one join back to the documents.
 
@@ -41,11 +41,15 @@ from .storage import cut, release, settled
 BUDGET = 2
 SEED = 42
 SHINGLE = 3
-#: First bit (from the top) and length of the disjoint blocks; one more than the budget.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of one block that a task takes; larger blocks are cut.
+#: First bits (from the top) of the disjoint blocks, one more than the budget, and the bits of the shortest.
+TURNS = (0, 22, 43)
+BLOCK_BITS = 21
+#: Fingerprints of a trie on average, and those of one trie that a task takes; larger tries are cut.
+TRIE_CODES = 4096
 BLOCK_LIMIT = 1 << 18
-_LEAF = 192
+#: Pairs of codes that a leaf pair of the traversal compares, and node pairs that it takes at once.
+_LEAF = 16
+_FRONT = 1 << 16
 #: Near copies by similarity: shingle words, similarity, bands of min-hashes and hashes in each, and how many of all
 #: hashes agree in a candidate (at 0.8, 38 are expected; under 28 is a chance of 2 in 10,000).
 NEAR_SHINGLE = 5
@@ -53,8 +57,6 @@ SIMILARITY = 0.8
 BANDS = 12
 BAND_ROWS = 4
 NEAR_AGREE = 28
-#: Codes of one block of which all distances are taken at once.
-_DENSE = 4096
 
 
 def fingerprint_batch(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -132,36 +134,51 @@ class Forest:
                 self.parent[max(x, y)] = min(x, y)
 
 
-def join_trie(codes: np.ndarray, forest: Forest, left: tuple[int, int], right: tuple[int, int], depth: int = 0, budget: int = BUDGET, limit: int = BUDGET) -> None:
-    """Links all pairs at most `limit` bits apart between two nodes of the trie over the sorted codes. A node is a
-    range of positions that share their first `depth` bits; left equal to right joins a node with itself."""
-    stack = [(*left, *right, depth, budget)]
-    one = np.uint64(1)
+def join_trie(codes: np.ndarray, forest: Forest, left: tuple[int, int], right: tuple[int, int], depth: int = 0, budget: int = BUDGET) -> int:
+    """Links all pairs at most `budget` bits apart between two nodes of the trie over the sorted distinct codes; gives
+    the number of node pairs that were split. A node is a range of positions that share their first `depth` bits; left
+    equal to right joins a node with itself. All pairs of one depth descend together: a pair splits into its children's
+    pairs, a differing bit is charged to its budget, and pairs without budget or with all members in one class are
+    left. Pairs of a few codes are compared."""
+    ones: dict[int, np.ndarray] = {}
+    stack = [(np.array([[*left, *right, budget]], np.int64), depth)]
+    everything, split, fresh = np.arange(len(codes)), 0, True
     while stack:
-        a, b, c, d, bit, left_over = stack.pop()
-        if a >= b or c >= d or left_over < 0 or (a == c and b == d and b - a < 2):
+        pairs, bit = stack.pop()
+        if len(pairs) > _FRONT:
+            stack.append((pairs[_FRONT:], bit))
+            pairs = pairs[:_FRONT]
+        if fresh:
+            roots, fresh = forest.roots(everything.copy()), False
+            change = np.concatenate([[0], np.cumsum(roots[1:] != roots[:-1])]) if len(roots) else roots
+        a, b, c, d, spare = pairs.T
+        pairs = pairs[(a < b) & (c < d) & (spare >= 0) & ~((a == c) & (b == d) & (b - a < 2))]
+        a, b, c, d, spare = pairs.T
+        one = (roots[a] == roots[c]) & (change[b - 1] == change[a]) & (change[d - 1] == change[c])
+        pairs = pairs[~one]
+        a, b, c, d, spare = pairs.T
+        small = ((b - a) * (d - c) <= _LEAF) | (bit >= 64)
+        if small.any():
+            p, q, base, there = (b - a)[small], (d - c)[small], a[small], c[small]
+            n = p * q
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, j = np.repeat(base, n) + k // np.repeat(q, n), np.repeat(there, n) + k % np.repeat(q, n)
+            near = (roots[i] != roots[j]) & (np.bitwise_count(codes[i] ^ codes[j]) <= budget)
+            if near.any():
+                forest.join(roots[i[near]], roots[j[near]])
+                fresh = True
+        pairs = pairs[~small]
+        if not len(pairs):
             continue
-        if ((b - a) * (d - c) <= _LEAF * _LEAF) or bit >= 64:
-            i, j = np.arange(a, b), np.arange(c, d)
-            ri, rj = forest.roots(i), forest.roots(j)
-            if ri[0] == rj[0] and (ri == ri[0]).all() and (rj == ri[0]).all():
-                continue
-            near = (np.bitwise_count(codes[a:b, None] ^ codes[None, c:d]) <= limit) & (ri[:, None] != rj[None, :])
-            x, y = np.nonzero(near)
-            if len(x):
-                forest.join(ri[x], rj[y])
-            continue
-        low = np.uint64(63 - bit)
-
-        def middle(p: int, q: int) -> int:
-            return p + int(np.searchsorted((codes[p:q] >> low) & one, 1))
-
-        m = middle(a, b)
-        if a == c and b == d:
-            stack += [(a, m, m, b, bit + 1, left_over - 1), (m, b, m, b, bit + 1, left_over), (a, m, a, m, bit + 1, left_over)]
-        else:
-            k = middle(c, d)
-            stack += [(a, m, k, d, bit + 1, left_over - 1), (m, b, c, k, bit + 1, left_over - 1), (m, b, k, d, bit + 1, left_over), (a, m, c, k, bit + 1, left_over)]
+        split += len(pairs)
+        if bit not in ones:
+            ones[bit] = np.concatenate([[0], np.cumsum((codes >> np.uint64(63 - bit)) & np.uint64(1)).astype(np.int64)])
+        a, b, c, d, spare = pairs.T
+        m, k = b - (ones[bit][b] - ones[bit][a]), d - (ones[bit][d] - ones[bit][c])
+        own = (a == c) & (b == d)
+        of = lambda *cols: np.stack(cols, 1)
+        stack.append((np.concatenate([of(a, m, c, k, spare), of(m, b, k, d, spare), of(a, m, k, d, spare - 1), of(m, b, c, k, spare - 1)[~own]]), bit + 1))
+    return split
 
 
 def _turn(code: Column, first: int) -> Column:
@@ -196,33 +213,31 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
-def _edges(roots: np.ndarray, codes: np.ndarray, first: int, size: int) -> Iterator[pa.RecordBatch]:
+def _edges(roots: np.ndarray, codes: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
     child = np.flatnonzero(roots != np.arange(len(roots)))
     if len(child):
         a, b = (_turn_back(codes[x], first).view(np.int64) for x in (child, roots[child]))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _block_links(rows: DataFrame) -> DataFrame:
-    """Spanning forests of the links within each (turn, block)."""
+def _block_links(rows: DataFrame, depth: int) -> DataFrame:
+    """Spanning forests of the links within the trie of each (turn, block), a block being the first `depth` bits."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (turn, _), g in _groups(batches, ["turn", "block"]):
             codes = np.sort(g["code"].view(np.uint64))
             if len(codes) > 1:
-                first, length = BLOCKS[turn]
                 forest = Forest(len(codes))
-                join_trie(codes, forest, (0, len(codes)), (0, len(codes)), depth=length)
-                yield from _edges(forest.roots(np.arange(len(codes))), codes, first, length)
+                join_trie(codes, forest, (0, len(codes)), (0, len(codes)), depth=depth)
+                yield from _edges(forest.roots(np.arange(len(codes))), codes, TURNS[turn])
 
     return rows.repartition("turn", "block").sortWithinPartitions("turn", "block").mapInArrow(linked, "a long, b long")
 
 
-def _cut_nodes(rows: DataFrame, limit: int, step: int = 6) -> list[tuple[int, int, int]]:
+def _cut_nodes(rows: DataFrame, limit: int, depth: int, step: int = 6) -> list[tuple[int, int, int]]:
     """(turn, prefix, depth) of trie nodes of at most `limit` codes each that cover the rows. Only counts of nodes
     reach the driver; there are at most some rows / limit of them."""
-    nodes, depth = [], 22
-    open_rows = rows
+    nodes, open_rows = [], rows
     while True:
         depth = min(64, depth + step)
         prefix = F.shiftrightunsigned("code", 64 - depth) if depth < 64 else F.col("code")
@@ -268,10 +283,10 @@ def _node_pairs(nodes: list[tuple[int, int, int]]) -> list[tuple[int, int, int,
     return sorted(set(out))
 
 
-def _large_links(rows: DataFrame, limit: int) -> DataFrame:
+def _large_links(rows: DataFrame, limit: int, depth: int) -> DataFrame:
     """Spanning forests for blocks over the limit: one task group for each pair of trie nodes within the budget."""
     spark = rows.sparkSession
-    nodes = _cut_nodes(rows, limit)
+    nodes = _cut_nodes(rows, limit, depth)
     pairs = _node_pairs(nodes)
     depths = sorted({n[2] for n in nodes})
     place = spark.createDataFrame([(t, p, d, i) for i, (t, p, d) in enumerate(nodes)], "turn int, prefix long, depth int, node int")
@@ -297,19 +312,29 @@ def _large_links(rows: DataFrame, limit: int) -> DataFrame:
             if all(len(w) for w in where.values()):
                 left, right = ((int(where[x][0]), int(where[x][-1]) + 1) for x in (i, j))
                 join_trie(codes, forest, left, right)
-                yield from _edges(forest.roots(np.arange(len(codes))), codes, BLOCKS[turn][0], 0)
+                yield from _edges(forest.roots(np.arange(len(codes))), codes, TURNS[turn])
 
     return tagged.join(to, "node").select("pair", "turn", "node", "code").repartition("pair").sortWithinPartitions("pair").mapInArrow(linked, "a long, b long")
 
 
+def trie_depth(n: int) -> int:
+    """Leading bits by which n fingerprints are dealt out to tries of TRIE_CODES on average; at most a block."""
+    return min(BLOCK_BITS, max(0, -(-n // TRIE_CODES) - 1).bit_length())
+
+
 def links(fps: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints (column fp) exactly as their links do."""
-    rows = fps.select("fp").select(F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.shiftrightunsigned(_turn(F.col("fp"), first), 64 - length).alias("block"), _turn(F.col("fp"), first).alias("code")) for i, (first, length) in enumerate(BLOCKS)])).alias("x")).select("x.*")
+    """Edges (a, b) that connect distinct fingerprints (column fp) exactly as their links do. The frame is read more
+    than once: give a written one."""
+    depth = trie_depth(fps.count())
+    block = lambda code: F.shiftrightunsigned(code, 64 - depth) if depth else F.lit(0).cast("long")
+    # one trie of all needs no turned copies
+    turns = TURNS if depth else TURNS[:1]
+    rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), block(_turn(F.col("fp"), first)).alias("block"), _turn(F.col("fp"), first).alias("code")) for i, first in enumerate(turns)])).alias("x")).select("x.*")
     large = rows.groupBy("turn", "block").count().where(F.col("count") > limit).select("turn", "block")
     large = cut(large)
     if large.isEmpty():
-        return _block_links(rows)
-    return _block_links(rows.join(large, ["turn", "block"], "left_anti")).unionAll(_large_links(rows.join(large, ["turn", "block"], "left_semi").select("turn", "code"), limit))
+        return _block_links(rows, depth)
+    return _block_links(rows.join(large, ["turn", "block"], "left_anti"), depth).unionAll(_large_links(rows.join(large, ["turn", "block"], "left_semi").select("turn", "code"), limit, depth))
 
 
 def classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
@@ -340,31 +365,6 @@ def min_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, (mix64(low) >> np.uint64(56)).astype(np.uint8)
 
 
-def nearest_links(codes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a forest over sorted distinct codes that connects all pairs within the budget, nearer pairs first, so
-    that a code's edges lead to codes like it. Not for candidates that are still to be verified."""
-    n, forest = len(codes), Forest(len(codes))
-    if n > _DENSE:
-        join_trie(codes, forest, (0, n), (0, n), budget=budget, limit=budget)
-        roots = forest.roots(np.arange(n))
-        child = np.flatnonzero(roots != np.arange(n))
-        return child, roots[child]
-    far = np.bitwise_count(codes[:, None] ^ codes[None, :])
-    out: list[tuple[int, int]] = []
-    for d in range(1, budget + 1):
-        i, j = np.nonzero(np.triu(far == d, 1))
-        for s in range(0, len(i), 4096):
-            a, b = i[s : s + 4096], j[s : s + 4096]
-            apart = forest.roots(a) != forest.roots(b)
-            for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
-                p, q = forest.find(x), forest.find(y)
-                if p != q:
-                    forest.parent[max(p, q)] = min(p, q)
-                    out.append((x, y))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
 def bucket_pairs(marks: np.ndarray, roots: np.ndarray, which: str = "all") -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates (places) of a bucket whose ends have different roots, by the bytes of their min-hashes: all, those of
     the most "typical" text, or those of the most typical of the "rest" outside of the largest class."""
