@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import numpy as np
+import pytest
 
 from tidewater.llm import simhash_dedup as S
 
@@ -40,22 +42,61 @@ def test_appended_and_truncated_copies(spark):
     assert joined(spark, (texts, links)) >= 0.99 * len(links)
 
 
-def test_a_large_bucket_has_the_candidates_of_a_small_one():
-    rng = np.random.default_rng(33)
-    wide = S.BANDS * S.BAND_ROWS
-    groups = rng.integers(0, 256, (1500, wide), dtype=np.uint8)
-    marks = np.repeat(groups, 3, axis=0)
-    of = np.repeat(np.arange(1500), 3)
-    edit = rng.random(marks.shape) < 0.1
-    marks[edit] = rng.integers(0, 256, int(edit.sum()), dtype=np.uint8)
-    got = {(i, j) for a, b in S.bucket_pairs(marks, np.arange(len(marks))) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-    want = {(3 * g + a, 3 * g + b) for g in range(1500) for a, b in ((0, 1), (0, 2), (1, 2))}
-    want = {(a, b) for a, b in want if (marks[a] == marks[b]).sum() >= S.NEAR_AGREE}
-    assert len(want) > 4000 and want <= got and all(of[a] == of[b] for a, b in got)
+def sets_and_classes(seed, n):
+    """Shingle sets in families: copies of copies, alike to some of their family only, and what links connect."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(n // 20):
+        base = rng.integers(1, 1 << 62, rng.integers(30, 90), dtype=np.uint64)
+        for _ in range(20):
+            s = base.copy()
+            edit = rng.random(len(s)) < rng.choice([0.02, 0.08, 0.12])
+            s[edit] = rng.integers(1, 1 << 62, int(edit.sum()), dtype=np.uint64)
+            sets.append(np.unique(s))
+            if rng.random() < 0.1:
+                base = s
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    return sets, [find(i) for i in range(len(sets))]
+
+
+def joined_classes(n, links):
+    forest = S.Forest(n)
+    links = np.array(links, np.int64).reshape(-1, 2)
+    forest.join(links[:, 0], links[:, 1])
+    return forest.roots(np.arange(n)).tolist()
+
+
+def test_links_of_sets_are_those_of_all_pairs():
+    sets, want = sets_and_classes(33, 300)
+    links = S.alike(sets, np.arange(len(sets)))
+    assert joined_classes(len(sets), links) == want and len(set(want)) < 200
+    assert len(links) == len(sets) - len(set(want))  # a forest
     # ends that are joined already are left out
-    assert not list(S.bucket_pairs(marks, np.zeros(len(marks), np.int64)))
-    left = [(i, j) for a, b in S.bucket_pairs(marks, of) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    assert left == []
+    assert S.alike(sets, np.array(want)) == []
+    assert S.alike(sets[:1], np.arange(1)) == [] and S.alike([], np.arange(0)) == []
+
+
+@pytest.mark.parametrize("limit", [300, 3000, 10**6])
+def test_buckets_cut_into_blocks_have_the_links_of_whole_ones(spark, limit):
+    sets, want = sets_and_classes(34, 200)
+    rng = np.random.default_rng(35)
+    # part of what is joined already, as the centres leave it
+    root = [w if rng.random() < 0.4 else i for i, w in enumerate(want)]
+    rows = spark.createDataFrame([(1, i, root[i], len(s)) for i, s in enumerate(sets)], "key long, doc_id long, root long, size long")
+    given = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "doc_id long, shingles binary")
+    got = [(r.x, r.y) for r in S.bucket_links(rows, given, limit).collect()]
+    assert joined_classes(len(sets), got + list(enumerate(root))) == want
 
 
 def test_unlike_texts_under_one_id_stay(spark):

@@ -15,10 +15,10 @@ Classes: connected components over the forests, then one join back to the docume
 
 `near_classes`, which deduplication uses, also joins texts whose five-word shingles are at least 0.8 alike. These lie too
 far apart for two bits, so candidates come from min-hashes of the shingle set itself, whatever kind of edit made the
-difference: two texts are a candidate if all hashes of one band agree and at least NEAR_AGREE of all hashes do (99.8 % of
-pairs at 0.8). Every candidate is verified on the texts or has its ends joined by verified links already: first each
-bucket's most typical text is compared with the others, then all candidates that are still apart are. The rule is the
-same for buckets of any size.
+difference: texts that agree in all hashes of one band share a bucket (99.8 % of pairs at 0.8). First each bucket's most
+typical text is compared with the others, which joins most of a large group; then the members of buckets that are still in
+several classes are joined exactly, on their shingle sets, by the sets' rarest members, so that only links of a forest leave
+a bucket. The result is the same for buckets of any size.
 
 Defined cases: texts without words (null and empty ones among them) have fingerprint zero and link like any other;
 equal texts share a fingerprint; rows with a null doc_id get a class but never name it (a class of only such rows has
@@ -51,12 +51,15 @@ BLOCK_LIMIT = 1 << 18
 _LEAF = 16
 _FRONT = 1 << 16
 #: Near copies by similarity: shingle words, similarity, bands of min-hashes and hashes in each, and how many of all
-#: hashes agree in a candidate (at 0.8, 38 are expected; under 28 is a chance of 2 in 10,000).
+#: hashes agree with a bucket's centre where the two are compared first.
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 12
 BAND_ROWS = 4
 NEAR_AGREE = 28
+#: Members among which a bucket's centre is chosen, and shingles in one block of a bucket.
+CENTRE_OF = 1024
+TASK_SHINGLES = 1 << 19
 
 
 def fingerprint_batch(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -351,8 +354,9 @@ def classes(documents: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
 # -- near copies by similarity ------------------------------------------------------------------------------------
 
 
-def min_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each band of each row (uint64), and one byte of each min-hash of the row's shingle set."""
+def min_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of each band of each row (uint64), one byte of each min-hash of the row's shingle set, and its shingles,
+    repeats included."""
     n = len(offsets) - 1
     flat, begin = _shingle_hashes(data, offsets)
     low = np.empty((n, BANDS * BAND_ROWS), np.uint64)
@@ -362,50 +366,114 @@ def min_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
     for r in range(BAND_ROWS):
         keys = mix64(keys ^ low[:, r::BAND_ROWS])
-    return keys, (mix64(low) >> np.uint64(56)).astype(np.uint8)
-
-
-def bucket_pairs(marks: np.ndarray, roots: np.ndarray, which: str = "all") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates (places) of a bucket whose ends have different roots, by the bytes of their min-hashes: all, those of
-    the most "typical" text, or those of the most typical of the "rest" outside of the largest class."""
-    names, of, size = np.unique(roots, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
-    rest = np.arange(len(of)) if which == "typical" or size.max() == 1 else np.flatnonzero(of != np.argmax(size))
-    if which != "all":
-        among = marks[rest]
-        mode = np.array([np.bincount(c, minlength=256).argmax() for c in among.T], np.uint8)
-        rest = rest[[np.argmax((among == mode).sum(1))]]
-    done = np.zeros(len(of), bool)
-    for i in rest.tolist():
-        done[i] = True
-        j = np.flatnonzero((of != of[i]) & ~done)
-        j = j[(marks[j] == marks[i]).sum(1) >= NEAR_AGREE]
-        if len(j):
-            yield np.full(len(j), i), j
-
-
-def near_pairs(vertices: DataFrame, roots: DataFrame, which: str = "all") -> DataFrame:
-    """(doc_id, rep) candidates among (doc_id, keys, marks) that aren't joined by `roots` (vertex, root): of each bucket
-    those that bucket_pairs gives."""
-    kind = dict(vertices.dtypes)["doc_id"]
-    rows = vertices.join(roots.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rows = rows.select(F.explode("keys").alias("key"), "doc_id", "root", "marks")
+    return keys, (mix64(low) >> np.uint64(56)).astype(np.uint8), np.diff(begin)
+
+
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, ...) of buckets whose members are not all in one class, with their class as root."""
+    rows = members.drop("root").join(roots.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return settled(rows.join(several, "key", "left_semi"), "buckets")
+
+
+def centre_pairs(rows: DataFrame) -> DataFrame:
+    """(doc_id, rep): the most typical text of each bucket beside the members that are in another class and agree with it
+    in NEAR_AGREE min-hashes. It is chosen among CENTRE_OF members, which bounds a task; all members are compared."""
+    kind = dict(rows.dtypes)["doc_id"]
+    first = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
+    some = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CENTRE_OF).select("key", "doc_id", "root", "marks")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key,), g in _groups(batches, ["key"]):
+            marks = np.frombuffer(b"".join(g["marks"].tolist()), np.uint8).reshape(len(g["marks"]), -1)
+            mode = np.array([np.bincount(c, minlength=256).argmax() for c in marks.T], np.uint8)
+            near = (marks == mode).sum(1)
+            i = min(np.flatnonzero(near == near.max()).tolist(), key=lambda k: g["doc_id"][k])
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array(g["doc_id"][i : i + 1]), pa.array(g["root"][i : i + 1]), pa.array([marks[i].tobytes()], pa.binary())], ["key", "rep", "rep_root", "rep_marks"])
+
+    centres = some.repartition("key").sortWithinPartitions("key").mapInArrow(chosen, f"key long, rep {kind}, rep_root {kind}, rep_marks binary")
+    both = rows.join(centres, "key").where("root <> rep_root").select("doc_id", "rep", "marks", "rep_marks")
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                mine, theirs = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("marks", "rep_marks"))
+                yield batch.select(["doc_id", "rep"]).filter(pa.array((mine == theirs).sum(1) >= NEAR_AGREE))
+
+    return both.mapInArrow(agreeing, f"doc_id {kind}, rep {kind}").distinct()
+
+
+def alike(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray | None = None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (places) among sorted distinct sets that connect all those at least that similar, beyond what equal roots
+    connect; with `side` only between sets of different sides. Exact: of two such sets, the shares of 1 - similarity of
+    rarest members have a member in common, so each set is compared with those it shares one with, and only while
+    they are in different classes."""
+    size = np.array([len(s) for s in sets], np.int64)
+    n, out = len(sets), []
+    if n < 2:
+        return out
+    of, flat = np.repeat(np.arange(n), size), np.concatenate(sets)
+    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    order = np.lexsort((rank[token], of))
+    token = token[order]
+    begin = np.cumsum(size) - size
+    rare = np.arange(len(flat)) - begin[of] < (size - np.ceil(similarity * size).astype(np.int64) + 1)[of]
+    rare &= count[token] > 1
+    by = np.argsort(token[rare], kind="stable")
+    holders, named = of[rare][by], token[rare][by]
+    start, end = np.searchsorted(named, np.arange(len(count))), np.searchsorted(named, np.arange(len(count)), side="right")
+    mine, mark = token[rare], np.searchsorted(of[rare], np.arange(n + 1))
+    classes = np.unique(roots, return_inverse=True)[1]
+    for i in range(n):
+        lists = [holders[start[t] : end[t]] for t in mine[mark[i] : mark[i + 1]].tolist()]
+        if not lists:
+            continue
+        near = np.unique(np.concatenate(lists))
+        near = near[(near < i) & (classes[near] != classes[i]) & (size[near] >= similarity * size[i]) & (size[i] >= similarity * size[near])]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        for j in near.tolist():
+            if classes[j] != classes[i]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= similarity * (size[i] + size[j] - common):
+                    out.append((i, j))
+                    classes[classes == classes[i]] = classes[j]
+    return out
+
+
+def bucket_links(rows: DataFrame, sets: DataFrame, limit: int = TASK_SHINGLES) -> DataFrame:
+    """(x, y): verified links that connect all members of a bucket that are alike and not of one class yet, from rows
+    (key, doc_id, root, size) and sets (doc_id, shingles).
+
+    The members' shingle sets come to the bucket's task, so no pair leaves it but links of a forest. A bucket of more than
+    `limit` shingles is cut: its largest class into blocks, all other members (what the class has left over) into blocks
+    too, and each of the latter meets every block in a task of its own."""
+    kind = dict(rows.dtypes)["doc_id"]
+    per = rows.groupBy("key", "root").agg(F.sum("size").alias("size"))
+    main = per.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"))
+    parts = lambda size: F.greatest(F.ceil(size / F.lit(limit)), F.lit(1))
+    whole = F.col("size") <= limit
+    main = main.select("key", F.when(~whole, F.col("main.root")).alias("main"), F.when(whole, 1).otherwise(parts(F.col("size") - F.col("main.size"))).cast("int").alias("left"), F.when(whole, 0).otherwise(parts(F.col("main.size"))).cast("int").alias("blocks"))
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    dealt = rows.join(main, "key").withColumn("part", F.when(F.col("root") == F.col("main"), F.col("left") + u % F.greatest("blocks", F.lit(1))).otherwise(u % F.col("left")).cast("int"))
+    p, last = F.col("part"), F.col("left") + F.col("blocks") - 1
+    below = F.transform(F.sequence(F.lit(0), F.least(p, F.col("left") - 1)), lambda i: F.struct(i.alias("i"), p.alias("j")))
+    above = F.when((p < F.col("left")) & (p < last), F.transform(F.sequence(p + 1, last), lambda j: F.struct(p.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    tasks = dealt.select("key", "doc_id", "root", "part", F.explode(F.concat(below, above)).alias("t")).select("key", "t.i", "t.j", "part", "doc_id", "root")
+    given = tasks.join(sets, "doc_id")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, g in _groups(batches, ["key"]):
-            ids = g["doc_id"]
-            if len(ids) < 2:
-                continue
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            marks = np.frombuffer(b"".join(g["marks"][order].tolist()), np.uint8).reshape(len(ids), -1)
-            for i, j in bucket_pairs(marks, g["root"][order], which):
-                # the typical text, or the one that is compared with many, is the representative
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["doc_id", "rep"])
+        for (_, i, j), g in _groups(batches, ["key", "i", "j"]):
+            order = np.argsort(g["doc_id"], kind="stable")
+            sets = [np.frombuffer(x, np.uint64) for x in g["shingles"][order].tolist()]
+            found = alike(sets, g["root"][order], g["part"][order] if i != j else None)
+            if found:
+                ids = g["doc_id"][order]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[list(c)]) for c in zip(*found, strict=True)], ["x", "y"])
 
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(linked, f"doc_id {kind}, rep {kind}")
-    return found.distinct()
+    return given.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(linked, f"x {kind}, y {kind}")
 
 
 def similar(documents: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, group: int = 128) -> DataFrame:
@@ -477,12 +545,12 @@ def _near(documents: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 buffer = text_buffer(part.column("text"))
-                keys, marks = min_hashes(*buffer)
+                keys, marks, size = min_hashes(*buffer)
                 offsets = np.arange(part.num_rows + 1, dtype=np.int32) * BANDS
-                cols = [part.column("doc_id"), part.column("text_key"), pa.array(fingerprint_batch(*buffer).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), pa.array([m.tobytes() for m in marks], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "fp", "keys", "marks"])
+                cols = [part.column("doc_id"), part.column("text_key"), pa.array(fingerprint_batch(*buffer).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "fp", "keys", "marks", "size"])
 
-    docs = cut(keyed.mapInArrow(hashed, f"doc_id {kind}, text_key long, fp long, keys array<long>, marks binary"))
+    docs = cut(keyed.mapInArrow(hashed, f"doc_id {kind}, text_key long, fp long, keys array<long>, marks binary, size long"))
     # one vertex for each text
     distinct = cut(docs.groupBy("text_key").agg(F.min("doc_id").alias("m"), F.min("fp").alias("fp")))
     by = cut(distinct.groupBy("fp").agg(F.min("text_key").alias("r")))
@@ -490,26 +558,32 @@ def _near(documents: DataFrame, limit: int) -> DataFrame:
     close = edges.join(by.select(F.col("fp").alias("a"), F.col("r").alias("x")), "a").join(by.select(F.col("fp").alias("b"), F.col("r").alias("y")), "b").select("x", "y")
     joined = settled(close.unionAll(distinct.join(by, "fp").where("text_key <> r").select(F.col("text_key").alias("x"), F.col("r").alias("y"))), "links")
     named = distinct.where("m is not null").select("text_key", F.col("m").alias("doc_id"))
-    vertices = docs.select("doc_id", "text_key", "keys", "marks").join(named, ["doc_id", "text_key"]).dropDuplicates(["text_key"]).select(F.col("text_key").alias("doc_id"), "keys", "marks")
+    vertices = docs.select("doc_id", "text_key", "keys", "marks", "size").join(named, ["doc_id", "text_key"]).dropDuplicates(["text_key"]).select(F.col("text_key").alias("doc_id"), "keys", "marks", "size")
     vertices = cut(vertices)
 
-    tried, found = None, components(joined, "x", "y")
-    for which in ("typical", "rest", "all"):
-        pairs = near_pairs(vertices, found, which)
-        if tried is not None:
-            pairs = pairs.join(tried, ["doc_id", "rep"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        both = pairs.unionAll(pairs.select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("rep")))
-        tried = both if tried is None else tried.unionAll(both)
-        if pairs.isEmpty():
-            continue
-        ends = pairs.select(F.col("doc_id").alias("text_key")).unionAll(pairs.select(F.col("rep").alias("text_key"))).distinct()
-        texts = keyed.join(cut(named.join(ends, "text_key")), ["doc_id", "text_key"]).select(F.col("text_key").alias("doc_id"), "text")
-        alike = similar(cut(texts), pairs)
+    found = components(joined, "x", "y")
+    members = vertices.select(F.explode("keys").alias("key"), "doc_id", "marks", "size")
+    rows = open_buckets(members, found)
+    ends = named.join(rows.select(F.col("doc_id").alias("text_key")).distinct(), "text_key")
+    texts = settled(keyed.join(cut(ends), ["doc_id", "text_key"]).dropDuplicates(["text_key"]).select(F.col("text_key").alias("doc_id"), "text"), "texts")
+    pairs = settled(centre_pairs(rows), "pairs")
+    if not pairs.isEmpty():
+        near = similar(texts, pairs)
         # read from files: a checkpoint keeps the constraints of its plan, which multiply from round to round
-        joined = settled(joined.unionAll(alike.select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))), "links")
+        joined = settled(joined.unionAll(near.select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))), "links")
         found = components(joined, "x", "y")
         release(documents.sparkSession)
+        rows = open_buckets(rows, found)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = [s.tobytes() for s in shingle_sets(*text_buffer(part.column("text")))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    sets = texts.join(rows.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(listed, "doc_id long, shingles binary")
+    joined = settled(joined.unionAll(bucket_links(rows.drop("marks"), sets)), "links")
+    found = components(joined, "x", "y")
     of = distinct.join(found.select(F.col("vertex").alias("text_key"), "root"), "text_key", "left").select("text_key", F.coalesce("root", "text_key").alias("root"), "m")
     of = cut(of)
     names = of.groupBy("root").agg(F.min("m").alias("component_id"))
