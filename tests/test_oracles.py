@@ -34,3 +34,15 @@ def test_equals_sql(spark, con, name):
 def test_queries_without_sql_run(spark):
     for name in set(core.queries()) - set(core.oracle_sql()):
         assert core.queries()[name](spark, SF).count() > 0, name
+
+
+def test_rolling_queries_reach_the_block_forms(spark):
+    """The block form of every operator that has one stands behind a query with SQL."""
+    from tidewater.operators.fast import FAST, FAST_FROM
+
+    wide = {n for n in core.oracle_sql() if "_20" in n}
+    for n in wide:
+        plan = core.queries()[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan, n
+    assert FAST_FROM <= 20
+    assert {core.snake(n) + "_20" for n in FAST if not n.startswith("_") and n != "MovingAverage"} <= wide

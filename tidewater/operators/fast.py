@@ -1,9 +1,12 @@
 """The rolling operators as block kernels, for long windows.
 
 Spark evaluates a sliding frame anew for each row, which costs the window's length. From FAST_FROM valid rows on the same
-operators run in the Arrow pass that kernels use, over whole blocks with the last window_size - 1 values carried along:
-running updates where there are any, vectorised passes elsewhere. Results are those of the window form (tests hold the
-two against each other)."""
+operators run in the Arrow pass that kernels use, over whole blocks with the last window_size - 1 values carried along.
+A window's result is made of its own values only, whatever came before, comes later or is in the batch: a series is cut at
+every window_size-th row, and a window is the end of one cut and the start of the next, whose running sums, moments and
+extremes are joined. Nothing is ever subtracted from a running sum, so outliers and infinities leave with their rows.
+Order statistics are kept in order by pandas or taken from whole windows. Results are those of the window form (tests
+hold the two against each other)."""
 
 from __future__ import annotations
 
@@ -32,6 +35,8 @@ class Tail(Kernel):
         self.k = self.size(p)
         self.policy = self.policy if self.always else p.get("start_policy", self.policy)
         self.tails: list[np.ndarray] | None = None
+        #: The place in the series of the first carried value.
+        self.at = self.origin = 0
 
     policy = "strict"
     #: Whether the start policy parameter has no say.
@@ -47,6 +52,7 @@ class Tail(Kernel):
         full = [np.concatenate([t, v]) for t, v in zip(self.tails, x, strict=True)]
         skip = len(self.tails[0])
         self.tails = [f[len(f) - min(len(f), self.k - 1) :] for f in full]
+        self.origin, self.at = self.at, self.at + len(full[0]) - len(self.tails[0])
         if not len(x[0]):
             return [np.zeros(0)] * self.n_out
         with np.errstate(all="ignore"):
@@ -59,9 +65,105 @@ class Tail(Kernel):
 
     # -- what rules are made of -------------------------------------------------------------------------------------
 
-    def roll(self, a: np.ndarray, k: int | None = None):
-        k = k or self.k
-        return pd.Series(a).rolling(k, min_periods=1 if self.policy in ("expanding", "open") else k)
+    def cuts(self, a: np.ndarray) -> np.ndarray:
+        """The values as rows of window_size, cut where the series' places are its multiples; what is missing at both
+        ends is zero and meets no window that is asked for."""
+        lead = self.origin % self.k
+        out = np.zeros(-(-(lead + len(a)) // self.k) * self.k)
+        out[lead : lead + len(a)] = a
+        return out.reshape(-1, self.k)
+
+    def flat(self, m: np.ndarray, n: int) -> np.ndarray:
+        lead = self.origin % self.k
+        return m.ravel()[lead : lead + n]
+
+    def across(self, n: int) -> np.ndarray:
+        """The rows whose window begins in the cut before."""
+        i = np.arange(n)
+        return i[(i >= self.k - 1) & ((self.origin + i) % self.k != self.k - 1)]
+
+    def run(self, a: np.ndarray, rule: np.ufunc) -> np.ndarray:
+        """rule (np.add, np.maximum, np.minimum) over each window."""
+        m, n = self.cuts(a), len(a)
+        out, ends = self.flat(rule.accumulate(m, 1), n).copy(), self.flat(rule.accumulate(m[:, ::-1], 1)[:, ::-1], n)
+        i = self.across(n)
+        out[i] = rule(ends[i - self.k + 1], out[i])
+        return out
+
+    def sum(self, a: np.ndarray) -> np.ndarray:
+        return self.gate(self.run(a, np.add))
+
+    def mean(self, a: np.ndarray) -> np.ndarray:
+        return self.gate(self.run(a, np.add) / self.n(a))
+
+    def max(self, a: np.ndarray) -> np.ndarray:
+        return self.gate(self.run(a, np.maximum))
+
+    def min(self, a: np.ndarray) -> np.ndarray:
+        return self.gate(self.run(a, np.minimum))
+
+    def central(self, x: np.ndarray, powers: int) -> list[np.ndarray]:
+        """n, the mean and the central sums of the powers from 2 on. Each part of a window is summed about a value of
+        its own, and the two parts' moments are joined."""
+        m, size = self.cuts(x), len(x)
+        place = (self.origin + np.arange(size)) % self.k
+
+        def part(rows: np.ndarray, back: bool, n: np.ndarray) -> list[np.ndarray]:
+            about = rows[:, :1]
+            d, sums, p = rows - about, [], 1.0
+            for _ in range(powers):
+                p = p * d
+                c = np.cumsum(p, 1)
+                sums.append(self.flat(c[:, ::-1] if back else c, size))
+            about = self.flat(np.broadcast_to(about, rows.shape), size)
+            t = sums[0] / n
+            out = [n, about + t, np.maximum(sums[1] - t * sums[0], 0)]
+            if powers > 2:
+                out.append(sums[2] - 3 * t * sums[1] + 2 * n * t**3)
+            if powers > 3:
+                out.append(sums[3] - 4 * t * sums[2] + 6 * t * t * sums[1] - 3 * n * t**4)
+            return out
+
+        new = part(m, False, place + 1.0)
+        old = part(m[:, ::-1], True, self.k - place.astype(float))
+        i = self.across(size)
+        if len(i):
+            na, ma, *ca = (v[i - self.k + 1] for v in old)
+            nb, mb, *cb = (v[i] for v in new)
+            n, d = na + nb, mb - ma
+            joint = [n, ma + d * nb / n, ca[0] + cb[0] + d * d * na * nb / n]
+            if powers > 2:
+                joint.append(ca[1] + cb[1] + d**3 * na * nb * (na - nb) / n**2 + 3 * d * (na * cb[0] - nb * ca[0]) / n)
+            if powers > 3:
+                joint.append(ca[2] + cb[2] + d**4 * na * nb * (na * na - na * nb + nb * nb) / n**3 + 6 * d * d * (na * na * cb[0] + nb * nb * ca[0]) / n**2 + 4 * d * (na * cb[1] - nb * ca[1]) / n)
+            for v, j in zip(new, joint, strict=True):
+                v[i] = j
+        return new
+
+    def var(self, x: np.ndarray) -> np.ndarray:
+        n, _, c2 = self.central(x, 2)
+        return self.gate(np.where(n > 1, c2 / np.maximum(n - 1, 1), NAN))
+
+    def std(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.var(x))
+
+    def ordered(self, x: np.ndarray, kept, rule) -> np.ndarray:
+        """An order statistic: from a rolling order where all values are finite, else by rule from whole windows."""
+        if np.isfinite(x).all():
+            return kept(pd.Series(x).rolling(self.k, min_periods=1 if self.policy in ("expanding", "open") else self.k)).to_numpy()
+        return self.windows(x, rule)
+
+    def quantile(self, x: np.ndarray, q: float) -> np.ndarray:
+        def rule(m: np.ndarray) -> np.ndarray:
+            s, place = np.sort(m, 1), q * (m.shape[1] - 1)
+            low, up = s[:, math.floor(place)], s[:, math.ceil(place)]
+            share = place - math.floor(place)
+            return np.where(low == up, low, (1 - share) * low + share * up)
+
+        return self.ordered(x, lambda r: r.quantile(q), rule)
+
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return self.ordered(x, lambda r: r.rank(), lambda m: (m < m[:, -1:]).sum(1) + ((m == m[:, -1:]).sum(1) + 1) / 2)
 
     def n(self, a: np.ndarray) -> np.ndarray:
         return np.minimum(np.arange(1, len(a) + 1), self.k)
@@ -90,14 +192,26 @@ class Tail(Kernel):
         return np.convolve(a, weights)[: len(a)]
 
     def pair(self, x: np.ndarray, y: np.ndarray):
-        """n, means and central sums of two inputs, from values taken about their mean."""
-        cx, cy = x.mean(), y.mean()
-        x, y, n = x - cx, y - cy, self.n(x).astype(float)
-        s = lambda v: self.roll(v).sum().to_numpy()
-        sx, sy = s(x), s(y)
-        floor = lambda v, scale: np.where(v > 1e-12 * scale, v, 0.0)
-        qx, qy = s(x * x), s(y * y)
-        return n, sx / n + cx, sy / n + cy, floor(qx - sx * sx / n, qx), floor(qy - sy * sy / n, qy), s(x * y) - sx * sy / n
+        """n, means, central sums of both inputs and of their product."""
+        n, mx, cx = self.central(x, 2)
+        _, my, cy = self.central(y, 2)
+        a, b, size = self.cuts(x), self.cuts(y), len(x)
+        place = (self.origin + np.arange(size)) % self.k
+
+        def part(u: np.ndarray, v: np.ndarray, back: bool, n: np.ndarray) -> list[np.ndarray]:
+            turn = lambda c: self.flat(c[:, ::-1] if back else c, size)
+            du, dv = u - u[:, :1], v - v[:, :1]
+            su, sv, suv = (turn(np.cumsum(c, 1)) for c in (du, dv, du * dv))
+            about = [self.flat(np.broadcast_to(w[:, :1], w.shape), size) for w in (u, v)]
+            return [n, about[0] + su / n, about[1] + sv / n, suv - su * sv / n]
+
+        out = part(a, b, False, place + 1.0)
+        old = part(a[:, ::-1], b[:, ::-1], True, self.k - place.astype(float))
+        i = self.across(size)
+        na, ua, va, ca = (w[i - self.k + 1] for w in old)
+        nb, ub, vb, cb = (w[i] for w in out)
+        out[3][i] = ca + cb + (ub - ua) * (vb - va) * na * nb / (na + nb)
+        return n, mx, my, cx, cy, out[3]
 
 
 def fast(name: str, rule, policy: str = "strict", size=None, always: bool = False) -> None:
@@ -120,51 +234,42 @@ def positive(a, b):
     return np.where(b > 0, a / np.where(b > 0, b, NAN), NAN)
 
 
-fast("RollingMean", lambda w, x: w.roll(x).mean())
-fast("RollingSum", lambda w, x: w.roll(x).sum())
-fast("RollingOrderImbalance", lambda w, x: w.roll(x).sum())
-fast("RollingVar", lambda w, x: w.roll(x).var())
-fast("RollingStd", lambda w, x: w.roll(x).std())
-fast("RollingRms", lambda w, x: np.sqrt(np.maximum(w.roll(x * x).mean(), 0)))
-fast("RollingZscore", lambda w, x: w.gate(ratio(x - w.roll(x).mean(), w.roll(x).std())), always=True)
-fast("Detrend", lambda w, x: x - w.roll(x).mean())
-fast("BollingerBands", lambda w, x: [w.roll(x).mean() + c * w.p["num_std"] * w.roll(x).std() if c else w.roll(x).mean() for c in (-1, 0, 1)])
-fast("RollingMin", lambda w, x: w.roll(x).min(), "open")
-fast("RollingMax", lambda w, x: w.roll(x).max(), "open")
-fast("RollingMinMax", lambda w, x: [w.roll(x).min(), w.roll(x).max()], "open")
-fast("RollingRange", lambda w, x: w.roll(x).max() - w.roll(x).min(), "open")
-fast("RollingMedian", lambda w, x: w.roll(x).median(), "open")
-fast("RollingQuantile", lambda w, x: w.roll(x).quantile(w.p["quantile"]))
-fast("RollingIqr", lambda w, x: w.roll(x).quantile(0.75) - w.roll(x).quantile(0.25))
-fast("RollingRank", lambda w, x: w.roll(x).rank())
-fast("RollingPercentile", lambda w, x: w.roll(x).rank() / w.k)
+fast("RollingMean", lambda w, x: w.mean(x))
+fast("RollingSum", lambda w, x: w.sum(x))
+fast("RollingOrderImbalance", lambda w, x: w.sum(x))
+fast("RollingVar", lambda w, x: w.var(x))
+fast("RollingStd", lambda w, x: w.std(x))
+fast("RollingRms", lambda w, x: np.sqrt(w.mean(x * x)))
+fast("RollingZscore", lambda w, x: w.gate(ratio(x - w.mean(x), w.std(x))), always=True)
+fast("Detrend", lambda w, x: x - w.mean(x))
+fast("BollingerBands", lambda w, x: [w.mean(x) + c * w.p["num_std"] * w.std(x) if c else w.mean(x) for c in (-1, 0, 1)])
+fast("RollingMin", lambda w, x: w.min(x), "open")
+fast("RollingMax", lambda w, x: w.max(x), "open")
+fast("RollingMinMax", lambda w, x: [w.min(x), w.max(x)], "open")
+fast("RollingRange", lambda w, x: w.max(x) - w.min(x), "open")
+fast("RollingMedian", lambda w, x: w.quantile(x, 0.5), "open")
+fast("RollingQuantile", lambda w, x: w.quantile(x, w.p["quantile"]))
+fast("RollingIqr", lambda w, x: w.quantile(x, 0.75) - w.quantile(x, 0.25))
+fast("RollingRank", lambda w, x: w.rank(x))
+fast("RollingPercentile", lambda w, x: w.rank(x) / w.k)
 fast("RollingArgmax", lambda w, x: w.windows(x, lambda m: m.shape[1] - 1 - m[:, ::-1].argmax(1)), "open")
 fast("RollingArgmin", lambda w, x: w.windows(x, lambda m: m.shape[1] - 1 - m[:, ::-1].argmin(1)), "open")
 fast("RollingMad", lambda w, x: w.windows(x, lambda m: np.abs(m - m.mean(1, keepdims=True)).mean(1)))
 fast("RollingMedianAD", lambda w, x: w.windows(x, lambda m: np.median(np.abs(m - np.median(m, 1, keepdims=True)), 1)))
 fast("RollingCVaR", lambda w, x: w.windows(x, lambda m: -np.partition(m, max(1, int(w.p["alpha"] * w.k)) - 1, 1)[:, : max(1, int(w.p["alpha"] * w.k))].mean(1)))
-fast("RollingHitRate", lambda w, x: w.roll((x > 0).astype(float)).mean())
-fast("RollingDownsideDeviation", lambda w, x: np.sqrt(np.maximum(w.roll(np.minimum(x - w.p["mar"], 0) ** 2).mean(), 0)))
-
-
-def _central(w, x, powers: int):
-    """n and central sums about the window's mean, from values taken about the mean of all."""
-    x, n = x - x.mean(), w.n(x).astype(float)
-    s = [w.roll(x**p).sum().to_numpy() for p in range(1, powers + 1)]
-    m = s[0] / n
-    out = [n, np.where(s[1] - n * m * m > 1e-12 * s[1], s[1] - n * m * m, 0.0), s[2] - 3 * m * s[1] + 2 * n * m**3]
-    return out if powers == 3 else [*out, s[3] - 4 * m * s[2] + 6 * m * m * s[1] - 3 * n * m**4]
+fast("RollingHitRate", lambda w, x: w.mean((x > 0).astype(float)))
+fast("RollingDownsideDeviation", lambda w, x: np.sqrt(w.mean(np.minimum(x - w.p["mar"], 0) ** 2)))
 
 
 def _skew(w, x):
-    n, c2, c3 = _central(w, x, 3)
-    return np.where((n > 2) & (c2 > 0), np.sqrt(n * (n - 1)) / np.where(n > 2, n - 2, NAN) * np.sqrt(n) * c3 / np.where(c2 > 0, c2, NAN) ** 1.5, NAN)
+    n, _, c2, c3 = w.central(x, 3)
+    return w.gate(np.where((n > 2) & (c2 > 0), np.sqrt(n * (n - 1)) / np.where(n > 2, n - 2, NAN) * np.sqrt(n) * c3 / np.where(c2 > 0, c2, NAN) ** 1.5, NAN))
 
 
 def _kurt(w, x):
-    n, c2, _, c4 = _central(w, x, 4)
+    n, _, c2, _, c4 = w.central(x, 4)
     g = n * c4 / np.where(c2 > 0, c2, NAN) ** 2 - 3
-    return np.where(n > 3, (n - 1) / np.where(n > 3, (n - 2) * (n - 3), NAN) * ((n + 1) * g + 6), NAN)
+    return w.gate(np.where(n > 3, (n - 1) / np.where(n > 3, (n - 2) * (n - 3), NAN) * ((n + 1) * g + 6), NAN))
 
 
 fast("RollingSkew", _skew)
@@ -172,18 +277,19 @@ fast("RollingKurt", _kurt)
 
 
 def _ratio_of_mean(w, x, periods):
-    return math.sqrt(periods) * positive(w.roll(x).mean().to_numpy(), w.roll(x).std().to_numpy())
+    return math.sqrt(periods) * positive(w.mean(x), w.std(x))
 
 
 fast("RollingSharpe", lambda w, x: w.gate(_ratio_of_mean(w, x, w.p["periods_per_year"])))
 fast("RollingInfoRatio", lambda w, r, b: w.gate(_ratio_of_mean(w, r - b, w.p["periods_per_year"])))
-fast("RollingSortino", lambda w, x: w.gate(math.sqrt(w.p["periods_per_year"]) * positive(w.roll(x).mean().to_numpy() - w.p["target"], np.sqrt(np.maximum(w.roll(np.minimum(x - w.p["target"], 0) ** 2).mean().to_numpy(), 0)))))
-fast("RollingOmega", lambda w, x: w.gate(positive(w.roll(np.maximum(x - w.p["threshold"], 0)).sum().to_numpy(), w.roll(np.maximum(w.p["threshold"] - x, 0)).sum().to_numpy())))
+fast("RollingSortino", lambda w, x: w.gate(math.sqrt(w.p["periods_per_year"]) * positive(w.mean(x) - w.p["target"], np.sqrt(w.mean(np.minimum(x - w.p["target"], 0) ** 2)))))
+fast("RollingOmega", lambda w, x: w.gate(positive(w.sum(np.maximum(x - w.p["threshold"], 0)), w.sum(np.maximum(w.p["threshold"] - x, 0)))))
 
 
 def _worst(m):
     peak = np.maximum.accumulate(m, 1)
-    return np.minimum(np.where(peak != 0, m / np.where(peak != 0, peak, NAN) - 1, 0).min(1), 0)
+    fall = m / np.where(peak != 0, peak, NAN) - 1
+    return np.minimum(np.where(np.isnan(fall), 0, fall).min(1), 0)
 
 
 fast("RollingMaxDrawdown", lambda w, x: w.windows(x, _worst))
@@ -251,20 +357,22 @@ fast("RollingLinearRegression", _full_regression)
 
 
 def _place(w, h, low, c, top, scale, flat=0.0):
-    lo, hi = w.roll(low).min().to_numpy(), w.roll(h).max().to_numpy()
+    lo, hi = w.min(low), w.max(h)
     return w.gate(np.where(hi > lo, scale * (top(c, lo, hi)) / np.where(hi > lo, hi - lo, NAN), flat))
 
 
 fast("WilliamsR", lambda w, h, low, c: _place(w, h, low, c, lambda c, lo, hi: hi - c, -100))
 fast("_FastK", lambda w, h, low, c: _place(w, h, low, c, lambda c, lo, hi: c - lo, 100))
-fast("DonchianChannels", lambda w, h, low: [w.roll(low).min(), (w.roll(low).min() + w.roll(h).max()) / 2, w.roll(h).max()])
-fast("RollingVWAP", lambda w, h, low, c, v: w.gate(ratio(w.roll((h + low + c) / 3 * v).sum().to_numpy(), w.roll(v).sum().to_numpy())))
+fast("DonchianChannels", lambda w, h, low: [w.min(low), (w.min(low) + w.max(h)) / 2, w.max(h)])
+fast("RollingVWAP", lambda w, h, low, c, v: w.gate(ratio(w.sum((h + low + c) / 3 * v), w.sum(v))))
 
 
 def _cci(w, h, low, c):
     tp = (h + low + c) / 3
     dev = w.windows(tp, lambda m: np.abs(m - m.mean(1, keepdims=True)).mean(1))
-    return w.gate(np.where(dev > 0, (tp - w.roll(tp).mean().to_numpy()) / (0.015 * np.where(dev > 0, dev, NAN)), 0.0))
+    m = w.mean(tp)
+    spread = dev > 1e-12 * np.abs(m)
+    return w.gate(np.where(spread, (tp - m) / (0.015 * np.where(spread, dev, NAN)), np.where(np.isnan(dev), NAN, 0.0)))
 
 
 fast("CCI", _cci)

@@ -6,6 +6,7 @@ all rows in order, `{n}` for the number of the valid row."""
 
 from __future__ import annotations
 
+import ast
 import math
 import re
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import operators  # noqa: F401
 from .frame import series
-from .plans.node import Node, make
+from .plans.node import Node, Operator, make
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,13 +92,19 @@ def snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
-def add(call: str, columns: str, sql: str | dict[str, str] | list | None = None, valid: str | None = None, digits: int = 6, **final: str) -> None:
+def configured(call: str) -> Operator:
+    """The operator that a call with literal parameters names."""
+    tree = ast.parse(call, mode="eval").body
+    value = lambda e: math.inf * (-1 if isinstance(e, ast.UnaryOp) else 1) if ast.unparse(e) in ("inf", "-inf") else ast.literal_eval(e)
+    return make(tree.func.id, *map(value, tree.args), **{k.arg: value(k.value) for k in tree.keywords})
+
+
+def add(call: str, columns: str, sql: str | dict[str, str] | list | None = None, valid: str | None = None, digits: int = 6, key: str | None = None, **final: str) -> None:
     """Registers the query of an operator: its call, its inputs, and SQL for its outputs (a dict, for several; a list of
     stages, for stacked windows; None where SQL can't express it). `final` names the SQL column of an output where it has
     another name."""
-    name, args = re.fullmatch(r"(\w+)\((.*)\)", call).groups()
-    op = eval(f"make('{name}', {args})" if args else f"make('{name}')", {"make": make, "inf": math.inf})  # noqa: S307  fixed texts of this module
-    key = snake(name)
+    op = configured(call)
+    key = key or snake(op.spec.name)
     while key in QUERIES:
         key += "_2"
     outs = [o or "out" for o in op.spec.outputs]
@@ -183,9 +190,9 @@ for _call, _c, _e in (
     add(_call, _c, _e if _e is not None else G + "sum(u) {w10} END")
 
 
-def _listed(call: str, column: str, sql: str, gate: bool = True, k: int = 10) -> None:
+def _listed(call: str, column: str, sql: str, gate: bool = True, k: int = 10, key: str | None = None) -> None:
     """SQL over `vv`, the list of the frame's values, oldest first."""
-    add(call, column, [(there(column), {"vv": f"list({column}) {{w{k}}}"}), (there(column), {"out": f"CASE WHEN len(vv) >= {k} THEN {sql} END" if gate else sql})])
+    add(call, column, [(there(column), {"vv": f"list({column}) {{w{k}}}"}), (there(column), {"out": f"CASE WHEN len(vv) >= {k} THEN {sql} END" if gate else sql})], key=key)
 
 
 _listed("RollingArgmax(10)", "a", "len(vv) - list_position(list_reverse(vv), list_max(vv))", gate=False)
@@ -211,6 +218,60 @@ add("RollingOU(10)", "x", [(there("x"), {"d": "coalesce(lag(x) {s}, 0)"}), (ther
 add("TRIMA(7)", "x", [(there("x"), {"m": "avg(x) {w4}"}), (there("m"), {"out": "CASE WHEN {n} >= 7 THEN avg(m) {w4} END"})])
 add("HullMA(9)", "x", [(there("x"), {"l4": "list(x) {w4}", "l9": "list(x) {w9}"}), (there("x"), {"d": "2 * list_sum([l4[i] * i for i in range(1, len(l4) + 1)]) / (len(l4) * (len(l4) + 1) / 2) - list_sum([l9[i] * i for i in range(1, len(l9) + 1)]) / (len(l9) * (len(l9) + 1) / 2)"}), (there("d"), {"out": "CASE WHEN {n} >= 11 THEN (3 * d + 2 * lag(d) {s} + lag(d, 2) {s}) / 6 END"})])
 
+# -- the same at window 20, and other start policies: block forms --------------------------------------------------------------
+
+
+def _taps(d: float, k: int) -> list[float]:
+    out = [1.0]
+    for i in range(1, k):
+        out.append(out[-1] * (i - 1 - d) / i)
+    return out
+
+
+G20 = "CASE WHEN {n} >= 20 THEN "
+_SLOPE = "(20 * list_sum([vv[i] * i for i in range(1, 21)]) - 210 * list_sum(vv)) / 13300"
+_DOWN = "sqrt(avg(pow(least(r - 0.01e0, 0), 2)) {w20})"
+_TWENTY = (
+    ("RollingMean(20)", "x", "avg(x) {w20}"), ("RollingSum(20)", "x", "sum(x) {w20}"), ("RollingOrderImbalance(20)", "u", "sum(u) {w20}"), ("RollingVar(20)", "x", "var_samp(x) {w20}"), ("RollingStd(20)", "x", "stddev_samp(x) {w20}"),
+    ("RollingRms(20)", "x", "sqrt(avg(x * x) {w20})"), ("RollingSkew(20)", "x", "skewness(x) {w20}"), ("RollingKurt(20)", "x", "kurtosis(x) {w20}"), ("RollingZscore(20)", "x", "(x - avg(x) {w20}) / stddev_samp(x) {w20}"), ("Detrend(20)", "x", "x - avg(x) {w20}"),
+    ("RollingQuantile(20, 0.3)", "x", "quantile_cont(x, 0.3) {w20}"), ("RollingIqr(20)", "x", "quantile_cont(x, 0.75) {w20} - quantile_cont(x, 0.25) {w20}"), ("RollingMedianAD(20)", "x", "mad(x) {w20}"), ("RollingHitRate(20)", "r", "avg((r > 0)::INT) {w20}"),
+    ("RollingSharpe(20, 252.0)", "r", "sqrt(252) * avg(r) {w20} / nullif(stddev_samp(r) {w20}, 0)"), ("RollingSortino(20, 252.0, 0.001)", "r", "sqrt(252) * (avg(r) {w20} - 0.001e0) / nullif(sqrt(avg(pow(least(r - 0.001e0, 0), 2)) {w20}), 0)"),
+    ("RollingInfoRatio(20)", "r g", "avg(r - g) {w20} / nullif(stddev_samp(r - g) {w20}, 0)"), ("RollingDownsideDeviation(20, 0.01)", "r", _DOWN), ("RollingOmega(20, 0.001)", "r", "sum(greatest(r - 0.001e0, 0)) {w20} / nullif(sum(greatest(0.001e0 - r, 0)) {w20}, 0)"),
+    ("RollingCorr(20)", "x y", "corr(x, y) {w20}"), ("RollingCov(20)", "x y", "covar_samp(x, y) {w20}"), ("RollingBeta(20)", "x y", "regr_slope(x, y) {w20}"), ("RollingKyleLambda(20)", "y x", "regr_slope(x, y) {w20}"),
+    ("RollingSpread(20)", "x y", "x - regr_slope(x, y) {w20} * y"), ("RollingAlpha(20)", "x y", "regr_intercept(x, y) {w20}"),
+    ("WilliamsR(20)", "h l c", "-100 * (max(h) {w20} - c) / (max(h) {w20} - min(l) {w20})"), ("RollingVWAP(20)", "h l c v", "sum((h + l + c) / 3 * v) {w20} / sum(v) {w20}"),
+)
+for _call, _c, _e in _TWENTY:
+    add(_call, _c, f"{G20}{_e} END", key=f"{snake(_call.split('(')[0])}_20")
+for _call, _c, _e in (("RollingMin(20)", "x", "min(x) {w20}"), ("RollingMax(20)", "x", "max(x) {w20}"), ("RollingRange(20)", "x", "max(x) {w20} - min(x) {w20}"), ("RollingMedian(20)", "x", "median(x) {w20}")):
+    add(_call, _c, _e, key=f"{snake(_call.split('(')[0])}_20")
+for _n, _c, _e in (
+    ("RollingMean", "x", "avg(x) {w20}"), ("RollingSum", "x", "sum(x) {w20}"), ("RollingVar", "x", "var_samp(x) {w20}"), ("RollingStd", "x", "stddev_samp(x) {w20}"), ("RollingRms", "x", "sqrt(avg(x * x) {w20})"), ("Detrend", "x", "x - avg(x) {w20}"),
+    ("RollingSkew", "x", "CASE WHEN {n} >= 3 THEN skewness(x) {w20} END"), ("RollingKurt", "x", "CASE WHEN {n} >= 4 THEN kurtosis(x) {w20} END"), ("RollingMedianAD", "x", "mad(x) {w20}"), ("RollingCorr", "x y", "CASE WHEN {n} >= 2 THEN corr(x, y) {w20} END"), ("RollingCov", "x y", "CASE WHEN {n} >= 2 THEN covar_samp(x, y) {w20} END"),
+    ("RollingBeta", "x y", "CASE WHEN {n} >= 2 THEN regr_slope(x, y) {w20} END"),
+):
+    add(f"{_n}(20, 'expanding')", _c, _e, key=f"{snake(_n)}_20_expanding")
+_V0, _C0 = "(sum(x * x) {w20} - pow(sum(x) {w20}, 2) / 20) / 19", "(sum(x * y) {w20} - sum(x) {w20} * sum(y) {w20} / 20)"
+for _n, _c, _e in (
+    ("RollingMean", "x", "sum(x) {w20} / 20"), ("RollingSum", "x", "sum(x) {w20}"), ("RollingVar", "x", _V0), ("RollingStd", "x", f"sqrt(greatest({_V0}, 0))"), ("RollingRms", "x", "sqrt(sum(x * x) {w20} / 20)"), ("Detrend", "x", "x - sum(x) {w20} / 20"),
+    ("RollingCov", "x y", f"{_C0} / 19"), ("RollingBeta", "x y", f"{_C0} / nullif(sum(y * y) {{w20}} - pow(sum(y) {{w20}}, 2) / 20, 0)"),
+):
+    add(f"{_n}(20, 'zero')", _c, _e, key=f"{snake(_n)}_20_zero")
+for _call, _c, _e, _gate in (
+    ("RollingArgmax(20)", "a", "len(vv) - list_position(list_reverse(vv), list_max(vv))", False), ("RollingArgmin(20)", "a", "len(vv) - list_position(list_reverse(vv), list_min(vv))", False),
+    ("RollingMad(20)", "x", "list_avg([abs(e - list_avg(vv)) for e in vv])", True), ("RollingRank(20)", "a", "len([e for e in vv if e < a]) + (len([e for e in vv if e = a]) + 1) / 2e0", True),
+    ("RollingPercentile(20)", "a", "(len([e for e in vv if e < a]) + (len([e for e in vv if e = a]) + 1) / 2e0) / 20", True), ("RollingCVaR(20, 0.25)", "r", "-list_avg(list_sort(vv)[1:5])", True), ("WMA(20)", "x", "list_sum([vv[i] * i for i in range(1, 21)]) / 210", True),
+    ("RollingPoly1(20, 1)", "x", _SLOPE, True), ("RollingTSF(20)", "x", f"list_avg(vv) + 10.5e0 * {_SLOPE}", True), ("RollingPoly2(20, 2)", "x", "2 * list_sum([vv[i] * (pow(i - 10.5e0, 2) - 33.25e0) for i in range(1, 21)]) / 17556", True),
+    ("RollingMaxDrawdown(20)", "p", "list_min([vv[i] / list_max(vv[1:i]) - 1 for i in range(1, 21)])", True), ("FracDiff(0.4, 20, 1e-9)", "x", f"list_sum([vv[21 - i] * ({_taps(0.4, 20)!r}::DOUBLE[])[i] for i in range(1, 21)])", True),
+):
+    _listed(_call, _c, _e, _gate, 20, f"{snake(_call.split('(')[0])}_20")
+add("RollingMinMax(20)", "x", {"min": "min(x) {w20}", "max": "max(x) {w20}"}, key="rolling_min_max_20")
+add("BollingerBands()", "x", {"lower": G20 + "avg(x) {w20} - 2 * stddev_samp(x) {w20} END", "mid": G20 + "avg(x) {w20} END", "upper": G20 + "avg(x) {w20} + 2 * stddev_samp(x) {w20} END"}, key="bollinger_bands_20")
+add("DonchianChannels(20)", "h l", {"lower": G20 + "min(l) {w20} END", "mid": G20 + "(min(l) {w20} + max(h) {w20}) / 2 END", "upper": G20 + "max(h) {w20} END"}, key="donchian_channels_20")
+add("RollingLinearRegression(20)", "x y", {"slope": G20 + "regr_slope(x, y) {w20} END", "intercept": G20 + "regr_intercept(x, y) {w20} END", "r2": G20 + "regr_r2(x, y) {w20} END", "stderr": G20 + "sqrt(greatest(regr_syy(x, y) {w20} - pow(regr_sxy(x, y) {w20}, 2) / regr_sxx(x, y) {w20}, 0) / 18) END"}, key="rolling_linear_regression_20")
+_DEV = "list_avg([abs(e - list_avg(v20)) for e in v20])"
+add("CCI(20)", "h l c", [(there("h l c"), {"w": "(h + l + c) / 3"}), (there("w"), {"v20": "list(w) {w20}"}), (there("w"), {"out": f"CASE WHEN len(v20) >= 20 THEN CASE WHEN {_DEV} > 0 THEN (w - list_avg(v20)) / (0.015e0 * {_DEV}) ELSE 0 END END"})], key="cci_20")
+
 # -- oscillators, ranges, volume -----------------------------------------------------------------------------------------------
 
 add("RollingRSI(10, 'cutler')", "x", [(there("x"), {"d": "coalesce(x - lag(x) {s}, 0)"}), (there("d"), {"out": G + "100 * sum(greatest(d, 0)) {w10} / nullif(sum(abs(d)) {w10}, 0) END"})])
