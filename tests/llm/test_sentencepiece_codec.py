@@ -97,3 +97,43 @@ def test_lawful_neighbours_are_what_merging_leaves():
             seen[want] += 1
             assert model.lawful(a, b) == want, (a, b)
     assert min(seen) > 100
+
+
+def test_very_long_words():
+    """Linear memory and near-linear time, and the library's ids, for unbroken words and runs of any length."""
+    import resource
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=C.MODEL)
+    model = C.PieceModel(C.read_model())
+    rng = random.Random(12)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    word = "".join(rng.choices(letters, weights=range(26, 0, -1), k=100_000))
+    batch = [" " * 100_000, "  " + word, "x" * 50_000, "日本語の長い文章" * 5_000, word[:300], word[:257] + " " + word[:256], "".join(rng.choices(["the", "ing", "日", "é", "▁", "4"], k=20_000))]
+    for t, ids in zip(batch, ids_of(model, batch), strict=True):
+        assert ids == sp.encode(t), t[:30]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    whole = "".join(rng.choices(letters, weights=range(26, 0, -1), k=1_000_000))
+    (got,) = model.encode_texts([whole])
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 300_000
+    assert all(len(w) <= C.LONG_WORD for w in model._known)
+    assert model.decode_ids(__import__("numpy").frombuffer(got, model.width).tolist()) == whole
+
+
+def test_merging_by_agenda_is_merging_step_by_step():
+    model = C.PieceModel(C.read_model())
+
+    def slow(text, stop=1):
+        parts = list(text)
+        while len(parts) > stop:
+            offers = [(model.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in model.score]
+            if not offers:
+                break
+            i = -max(offers)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    rng = random.Random(13)
+    for _ in range(300):
+        t = "".join(rng.choices(["▁", "▁▁", "a", "the", "in", "g", "aa", "é"], k=rng.randint(1, 14)))
+        for stop in (1, 2, 3):
+            assert model.merged(t, stop) == slow(t, stop), t

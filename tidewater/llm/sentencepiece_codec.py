@@ -12,7 +12,8 @@ tie, are merged step by step.
 
 Defined cases: a null text counts as empty and has no ids; the mark itself in a text is a space, so it decodes to one;
 characters without a piece become byte pieces (or the unknown piece); equal rows get equal ids; an empty table gives no
-rows; further columns are ignored. Control pieces never come from text."""
+rows; further columns are ignored. Control pieces never come from text. Unbroken words and runs of spaces may be of any
+length: memory is linear in them, time nearly so."""
 
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words that a worker remembers; beyond that it starts afresh.
 CACHE_WORDS = 250_000
+#: Characters of a word beyond which it is encoded by itself, and not remembered.
+LONG_WORD = 256
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -104,17 +108,33 @@ class PieceModel:
 
     def merged(self, text: str, stop: int = 1) -> list[str]:
         """Byte-pair merging step by step, until `stop` pieces are left: always the best piece, the leftmost of equals."""
-        parts, score = list(text), self.score
-        while len(parts) > stop:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        score, n = self.score, len(text)
+        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            """The merge of the part that begins at i with the next one, known by where that ends."""
+            if after[i] < n and end[after[i]] - i <= self.longest:
+                s = score.get(text[i : end[after[i]]])
+                if s is not None:
+                    heappush(agenda, (-s, i, end[after[i]]))
+
+        for i in range(n - 1):
+            offer(i)
+        left = n
+        while agenda and left > stop:
+            _, i, to = heappop(agenda)
+            # a part that was merged into another has no end; one that grew ends elsewhere
+            if end[i] and after[i] < n and end[after[i]] == to:
+                j = after[i]
+                end[i], end[j], after[i] = to, 0, after[j]
+                if after[i] < n:
+                    before[after[i]] = i
+                left -= 1
+                offer(i)
+                if before[i] >= 0:
+                    offer(before[i])
+        return [text[i:e] for i, e in enumerate(end) if e]
 
     def lawful(self, a: str, b: str) -> bool:
         """Whether merging the joined text of two whole pieces gives back the two: undoes their last merges, latest
@@ -207,6 +227,9 @@ class PieceModel:
             if runs in word:
                 yield word, self._packed(self.merged(word))
                 continue
+            if len(word) > LONG_WORD:
+                yield word, self._long(word)
+                continue
             k = _shared(last, word)
             del piece[k + 1 :], code[k + 1 :]
             for end in range(k + 1, len(word) + 1):
@@ -238,6 +261,32 @@ class PieceModel:
             last = word
             yield word, code[-1]
 
+    def _long(self, word: str) -> bytes:
+        """As _chain for one word, with the last piece's length for a state; the ids are spelled at the end."""
+        whole, pairs, tails, none = self._whole, self._pairs, self._tails, {}
+        length = array("H", [0])
+        for end in range(1, len(word) + 1):
+            tail = word[max(end - 3, 0) : end]
+            for n in (length[-1] + 1, *(tails.get(tail) or self._lengths(tail))):
+                start = end - n
+                if start < 0:
+                    continue
+                p = word[start:end]
+                if n > 1 and p not in whole:
+                    continue
+                if not start:
+                    break
+                last = word[start - length[start] : start]
+                lawful = pairs.get(p, none).get(last)
+                if lawful or (lawful is None and self._neighbours(last, p)):
+                    break
+            length.append(n)
+        pieces, end = [], len(word)
+        while end:
+            pieces.append(word[end - length[end] : end])
+            end -= length[end]
+        return self._packed(reversed(pieces))
+
     def _first(self, char: str) -> bytes:
         """The packed ids of a character by itself."""
         if len(self._single) > 1 << 16:
@@ -259,7 +308,11 @@ class PieceModel:
             fresh = set().union(*cut) - {""}
         known.update(self.encode_words(fresh))
         get = known.__getitem__
-        return [b"".join(map(get, u)) for u in cut]
+        out = [b"".join(map(get, u)) for u in cut]
+        for word in fresh:
+            if len(word) > LONG_WORD:  # not worth their memory
+                del known[word]
+        return out
 
     def decode_ids(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
