@@ -66,3 +66,42 @@ def test_redact_and_empty(spark):
     assert got == {1: ("é [EMAIL], [IP]", 15), 2: (None, None), 3: ("clean", 5)}
     assert redact(df).columns == df.columns
     assert report(df.limit(0)).count() == 0
+
+
+def test_redact_matches_its_spans(spark):
+    from tidewater.llm.pii import detect
+
+    rng = random.Random(6)
+    long = " ".join(rng.choice(["word" * rng.randint(1, 400), "a@b.cd", "1.2.3.4", "+12 345 678 90", "é😀"]) for _ in range(300))
+    rows = [(i, t, 0) for i, t in enumerate([*texts()[:120], long, long[:1024], long[:1023] + "x@y.zz"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    spans = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in detect(df).collect()}
+    for r in redact(df).collect():
+        t = rows[r.doc_id][1]
+        if t is None:
+            assert r.text is None
+            continue
+        out, pos = [], 0
+        for a, b, kind in spans[r.doc_id]:
+            if a >= pos:
+                out += [t[pos:a], f"[{kind.upper()}]"]
+            pos = max(pos, b)
+        assert r.text == "".join([*out, t[pos:]]) and r.n_chars == len(r.text)
+
+
+def test_many_matches_in_one_text(spark):
+    """Time is nearly linear in the matches of a text."""
+    import time
+
+    texts = [" ".join(f"u{i}@mail{i % 7}.example.org" if i % 3 else f"10.0.{i % 256}.{i % 199}" for i in range(n)) for n in (100, 100_000)]
+    took = []
+    for t in texts:
+        df = spark.createDataFrame([(1, t, len(t))], "doc_id long, text string, n_chars long")
+        start = time.time()
+        (r,) = report(df).collect()
+        clean = redact(df).first()
+        took.append(time.time() - start)
+        counts, listed = brute(t)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert clean.text.count("[EMAIL]") == counts[0] and "@" not in clean.text
+    assert took[1] < took[0] + 45

@@ -9,7 +9,8 @@ Base kinds (email, ip, card, phone) are kept whenever their check passes; furthe
 at least THRESHOLD, which checksums and context words supply.
 
 Defined cases: null and empty texts have no spans; spans of different kinds may overlap; equal rows get equal results;
-further columns are ignored by `detect` and kept by `redact`; an empty table gives no rows."""
+further columns are ignored by `detect` and kept by `redact`; an empty table gives no rows. Time is linear in a text and
+its matches, but for 1/256 of the matches' square in additions."""
 
 from __future__ import annotations
 
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
 
+#: Values of one block of a running fold, and characters of one piece of a text.
+_BLOCK = 256
+_PIECE = 1024
+
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
@@ -79,26 +84,45 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """The running fold of an array of int, from 0: by blocks, as an array grows by being copied."""
+
+    def grown(first: Column, more: Column) -> Column:
+        return F.aggregate(more, F.array(first), lambda acc, x: F.concat(acc, F.array(fold(F.element_at(acc, -1), x))))
+
+    def joined(blocks: Column) -> Column:
+        before = grown(F.lit(0), F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), fold)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, first: F.slice(grown(first, b), F.lit(2), F.size(b))))
+
+    last = lambda v: F.greatest(F.ceil(F.size(v) / _BLOCK).cast("int") - 1, F.lit(0))
+    return let(values, lambda v: let(F.transform(F.sequence(F.lit(0), last(v)), lambda i: F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK))), joined))
+
+
 def _spans(t: Column, kind: Kind, rank: int) -> Column:
-    """The kind's valid spans with their scores, by start."""
-    pattern = F.lit(kind.pattern)
-    found = F.zip_with(
-        F.split(t, kind.pattern, -1),
-        F.regexp_extract_all(t, pattern, F.lit(0)),
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("len"), (m.isNotNull() & kind.valid(m)).alias("ok")),
-    )
+    """The kind's valid spans with their scores, by start. Context is looked for in what precedes a match, back to the
+    second match before it."""
 
-    def add(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + x["gap"]
-        before = F.lower(F.substring(t, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS))))
-        score = F.lit(kind.score) + F.when(before.rlike(rf"\b(?:{kind.context})"), 0.4).otherwise(0.0)
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + x["len"]).alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
-        keep = x["ok"] if kind.base else x["ok"] & (score >= THRESHOLD)
-        return F.struct((at + x["len"]).alias("pos"), F.when(keep, F.concat(acc["out"], F.array(span).cast(SPANS))).otherwise(acc["out"]).alias("out"))
+    def found(gaps: Column, matches: Column) -> Column:
+        ends = running(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))), lambda a, x: a + x)
+        both = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        earlier = F.concat(F.array(F.lit("")), F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.concat(g, m)))
+        rows = F.zip_with(F.zip_with(both, earlier, lambda x, e: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), e.alias("earlier"))), ends, lambda x, end: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), x["earlier"].alias("earlier"), end.alias("end")))
+        right = F.filter(rows, lambda x: F.when(x["match"].isNull(), False).otherwise(kind.valid(x["match"])))
+        return F.transform(right, scored)
 
-    none = F.array().cast(SPANS)
-    spans = F.aggregate(found, F.struct(F.lit(0).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(t.rlike(kind.pattern), spans).otherwise(none)
+    def scored(x: Column) -> Column:
+        near = F.when(F.length(x["gap"]) >= CONTEXT_CHARS, x["gap"]).otherwise(F.concat(x["earlier"], x["gap"]))
+        score = F.lit(kind.score) + F.when(F.lower(F.substring(near, -CONTEXT_CHARS, CONTEXT_CHARS)).rlike(rf"\b(?:{kind.context})"), 0.4).otherwise(0.0)
+        return F.struct((x["end"] - F.length(x["match"])).alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+
+    spans = let(F.split(t, kind.pattern, -1), lambda g: let(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda m: found(g, m)))
+    spans = spans if kind.base else F.filter(spans, lambda x: x["score"] >= THRESHOLD)
+    return F.when(t.rlike(kind.pattern), spans.cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
 def spans_of(text: Column) -> Column:
@@ -133,22 +157,24 @@ def report(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with each span, overlapping ones together, replaced by its kind in brackets; n_chars follows the
     text where it is there. A null text stays null."""
-    t = F.col("text")
-    merged = F.aggregate(
-        "_tw_spans",
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > x["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))),
-    )
-    clean = F.aggregate(
-        merged,
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(x["end"].alias("pos"), F.concat(acc["out"], F.substring(t, acc["pos"] + 1, x["start"] - acc["pos"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))),
-    )
-    found = documents.withColumn("_tw_spans", spans_of(F.coalesce(t, F.lit(""))))
-    done = found.withColumn("text", F.when(t.isNotNull() & (F.size("_tw_spans") > 0), clean).otherwise(t))
+    t, found = F.col("text"), F.col("_tw_spans")
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """The text from a to b, by blocks: a substring of the whole would be searched for from its beginning."""
+        i, j = F.floor(a / _PIECE).cast("int"), F.floor(b / _PIECE).cast("int")
+        at = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        far = F.concat(F.substring(at(i), a % _PIECE + 1, F.lit(_PIECE)), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.substring(at(j), F.lit(1), b % _PIECE))
+        return F.when(i == j, F.substring(at(i), a % _PIECE + 1, b - a)).otherwise(far)
+
+    def cleaned(blocks: Column, ends: Column) -> Column:
+        # where spans overlap, the first one's kind stands for all of them
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        firsts = F.filter(F.zip_with(found, before, lambda x, e: F.struct(e.alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["from"] <= x["start"])
+        marked = F.transform(firsts, lambda x: F.concat(between(blocks, x["from"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.concat(F.array_join(marked, ""), between(blocks, F.element_at(ends, -1), F.length(t)))
+
+    clean = let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), lambda blocks: let(running(F.transform(found, lambda x: x["end"]), lambda a, x: F.greatest(a, x)), lambda ends: cleaned(blocks, ends)))
+    with_spans = documents.withColumn("_tw_spans", spans_of(F.coalesce(t, F.lit(""))))
+    done = with_spans.withColumn("text", F.when(t.isNotNull() & (F.size("_tw_spans") > 0), clean).otherwise(t))
     out = reduce(lambda d, c: d.withColumn(c, F.length("text").cast(dict(documents.dtypes)[c])), [c for c in documents.columns if c == "n_chars"], done)
     return out.select(*documents.columns)
