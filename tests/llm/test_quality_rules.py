@@ -52,7 +52,32 @@ def test_bands():
     ratio, share, kept = band_verdict(prose, compress, Bands())
     assert kept and share == 0 and 0.3 < ratio < 0.6
     assert band_verdict(prose + b"same " * 4000, compress, Bands())[1] > 0.25
-    assert band_verdict(b"short", compress, Bands()) == (None, 0.0, True)
+    assert band_verdict(b"", compress, Bands()) == (None, 0.0, True)
+    assert band_verdict(b"A short one.", compress, Bands())[1:] == (0.0, True)
+    assert band_verdict(b"aa " * 20, compress, Bands())[2] is False
+
+
+def test_every_byte_is_in_a_chunk():
+    """A repetitive tail shows however long it is, and the chunks of a text cover it."""
+    import zstandard
+
+    seen = []
+
+    def compress(b):
+        seen.append(b)
+        return zstandard.ZstdCompressor(level=3).compress(b)
+
+    rng = random.Random(2)
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(4000)).encode()
+    for n in (1, 63, 4095, 4096, 4097, 6000, 8192, 10_000):
+        seen.clear()
+        band_verdict(prose[:n], compress, Bands())
+        chunks = seen[1:]
+        assert all(len(c) == 4096 for c in chunks) and len(chunks) == (-(-n // 4096) if n >= 4096 else 0)
+        if chunks:
+            assert b"".join(chunks[:-1]) + chunks[-1][(-n) % 4096 :] == prose[:n]
+    assert band_verdict(prose[:4096] + b"z" * 2000, zstandard.ZstdCompressor(level=3).compress, Bands())[1] == 0.0
+    assert band_verdict(prose[:4096] + b"z" * 4000, zstandard.ZstdCompressor(level=3).compress, Bands())[1] == 0.5
 
 
 def test_empty_table_and_null_id(spark):

@@ -4,8 +4,9 @@ A document is judged by the zstandard ratio (compressed by raw bytes) of its who
 size. A ratio below the band of its length is repetitive text, one above it is incompressible text. Base counts of
 words, symbols, repeated lines and repeated word windows come first and may fail a document by themselves.
 
-Defined cases: null counts as empty; a text of fewer than 10 words fails the base rule; texts shorter than the
-shortest band are not judged by compression; a last chunk under half the chunk size is left out; equal rows get equal
+Defined cases: null counts as empty; a text of fewer than 10 words fails the base rule; every text with a byte is judged
+by the band of its length; where the length is no multiple of the chunk size the last chunk reaches back into the one
+before, and a text of less than a chunk has no chunks but the whole; equal rows get equal
 results; further columns are ignored. Windows of five words are compared by 64-bit hashes."""
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class Bands:
     """(bytes at least, lowest ratio, highest ratio) by length; limits for chunks; the share of chunks that may lie
     outside."""
 
-    whole: tuple[tuple[int, float, float], ...] = ((64, 0.45, 1.30), (256, 0.34, 0.95), (1024, 0.27, 0.80), (4096, 0.24, 0.70), (32768, 0.20, 0.65))
+    whole: tuple[tuple[int, float, float], ...] = ((1, 0.60, 14.0), (24, 0.60, 1.60), (64, 0.45, 1.30), (256, 0.34, 0.95), (1024, 0.27, 0.80), (4096, 0.24, 0.70), (32768, 0.20, 0.65))
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.22, 0.75)
     chunk_share: float = 0.25
@@ -64,8 +65,9 @@ def band_verdict(raw: bytes, compress, bands: Bands) -> tuple[float | None, floa
     ratio = len(compress(raw)) / n
     _, low, high = limits[-1]
     size, (least, most) = bands.chunk_bytes, bands.chunk
-    parts = [raw[i : i + size] for i in range(0, n, size)] if n >= size else []
-    parts = [p for p in parts if 2 * len(p) >= size]
+    parts = [raw[i : i + size] for i in range(0, n - size + 1, size)]
+    if parts and n % size:
+        parts.append(raw[-size:])
     outside = sum(not least <= len(compress(p)) / len(p) <= most for p in parts)
     share = outside / len(parts) if parts else 0.0
     return ratio, share, low <= ratio <= high and share <= bands.chunk_share
