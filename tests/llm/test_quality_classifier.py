@@ -58,3 +58,67 @@ def test_degenerate_tables(spark):
     assert {r.score for r in Q.score_documents(d, la.limit(0)).collect()} == {0.5}
     assert Q.score_documents(d.limit(0), la).count() == 0
     assert min(r.score for r in Q.score_documents(d, la.where("quality = 1")).collect()) > 0.8
+
+
+def test_ids_of_text_and_repeated_ids(spark):
+    docs, labels = corpus(200)
+    named = [(f"d{i}", t) for i, t, _ in docs]
+    d = spark.createDataFrame([*named, ("d3", "another text under a labelled id"), ("d3", docs[0][1])], "doc_id string, text string")
+    la = spark.createDataFrame([(f"d{i}", y) for i, y, _ in labels], "doc_id string, quality int")
+    score = lambda df: {(r.doc_id, r.score) for r in Q.score_documents(df, la).collect()}
+    first = score(d.repartition(5))
+    assert len(first) >= 200 and first == score(d.repartition(2).orderBy("text"))
+
+
+def test_statistics_are_those_of_plain_python(spark):
+    import math
+    import re
+
+    rng = random.Random(3)
+    parts = ["Word", "two", "é", "ÀB", "12", "###", "a|b", "Yes!", "No.", "\n", "\n\n", "  ", "end?", "{x}", "日本"]
+    texts = [None, "", " ", "one", *["".join(rng.choice(parts) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(1, 60))) for _ in range(60)], "long word " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in Q.with_features(df).collect():
+        t = r.text or ""
+        words, lines = re.split(r"\s+", t.strip(" ")), t.split("\n")
+        solid = max(len(t) - len(re.findall(r"[ \t\n\x0b\f\r]", t)), 1)
+        got = {f: r[Q.PREFIX + f] for f in Q.FEATURES}
+        letters = sum(c.isalpha() or c.isspace() for c in t)
+        want = {
+            "log_chars": math.log1p(len(t)), "log_words": math.log1p(len(words)), "distinct_words": len(set(words)) / len(words), "distinct_lines": len(set(lines)) / len(lines),
+            "upper": sum(c.isupper() for c in t) / solid, "digit": sum(c in "0123456789" for c in t) / solid, "non_letter": (len(t) - letters) / solid,
+            "bars_per_word": t.count("|") / len(words), "bangs_per_word": t.count("!") / len(words), "longest_line": math.log1p(max(map(len, lines))),
+        }
+        for f, v in want.items():
+            assert abs(got[f] - v) < 1e-9, (f, t[:50])
+
+
+def test_weights_solve_the_lasso(monkeypatch):
+    """Every rule is a path of a tree, and the weights meet the optimality conditions of the penalised fit."""
+    rng = np.random.default_rng(6)
+    x = rng.random((1500, len(Q.FEATURES)))
+    y = ((x[:, 0] > 0.5) & (x[:, 3] < 0.7) | (rng.random(1500) < 0.1)).astype(float)
+    paths, grow = [], Q._grow
+
+    def noted(*args):
+        grow(*args)
+        if not args[8]:
+            paths.extend(args[9][len(paths) :])
+
+    monkeypatch.setattr(Q, "_grow", noted)
+    penalty = 0.003
+    model = Q.fit_rules(x, y, trees=15, penalty=penalty)
+    rules = {Q._simplest(p) for p in paths}
+    assert model.rules and all(r.conditions in rules for r, _ in model.rules)
+    weight = {r.holds(x).tobytes(): w for r, w in model.rules}
+    left = 1 / (1 + np.exp(-model.decision(x))) - y
+    assert abs(left.mean()) < 1e-3
+    for p in rules:
+        cover = Q.Rule(p).holds(x)
+        if 0 < cover.sum() < len(y):
+            scale = max(cover.std(), 0.02)
+            slope = (left * cover).mean() / scale
+            w = weight.get(cover.tobytes(), 0.0)
+            assert abs(slope) <= penalty * 1.1
+            if abs(w * scale) > 0.02:
+                assert abs(slope + penalty * np.sign(w)) < penalty * 0.1
