@@ -206,7 +206,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             change[1:] |= cols[k][1:] != cols[k][:-1]
         cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
         for s, e in zip(cuts, cuts[1:], strict=False):
-            key = tuple(cols[k][s].item() for k in keys)
+            key = tuple(cols[k][s : s + 1].tolist()[0] for k in keys)
             if key != now:
                 if held:
                     yield now, {n: np.concatenate([h[n] for h in held]) for n in held[0]}
