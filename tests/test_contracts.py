@@ -139,6 +139,54 @@ def test_windows_with_one_spec_share_one_shuffle(spark):
     assert plan.count("Exchange") == 1, plan
 
 
+MACROS = sorted(n for n in PUBLIC if OPERATORS[n].kind == "macro")
+
+
+def test_every_macro_is_one_shuffle(spark):
+    """Whatever an operator is made of, its rows are dealt out once."""
+    df = spark.range(100).select(F.col("id").alias("i"), (F.col("id") % 5).alias("k"), *[F.rand(j).alias(f"x{j}") for j in range(10)])
+    s = tw.series(df, "k", "i")
+    many = {}
+    for n in MACROS:
+        op = build(n)
+        node = op(*[f"x{i}" for i in range(op.spec.n_in)])
+        many[n] = s.select("i", **{f"o{j}": node[j] for j in range(len(op.spec.outputs))})._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert len(many) > 40 and {n: c for n, c in many.items() if c != 1} == {}
+
+
+def test_chained_graphs_are_one_shuffle(spark):
+    df = spark.range(100).select(F.col("id").alias("i"), (F.col("id") % 5).alias("k"), F.rand(1).alias("x"))
+    x = "x"
+    for _ in range(4):
+        x = tw.ops.RollingMean(30)(tw.ops.EwMean(alpha=0.2)(x))
+    nodes = {"a": x, "b": tw.ops.Sub()(x, tw.ops.RollingMax(5)(tw.ops.EwStd(alpha=0.1)("x"))), "c": tw.ops.CumSum()("x")}
+    plan = tw.series(df, "k", "i").select("i", **nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1, plan
+
+
+def test_ported_forms_equal_their_operators(spark):
+    """What follows a kernel gives there what it gives over a plain column."""
+    from tidewater.operators.chains import PORTABLE
+
+    frame = rows(90, seed=9)
+    first = tw.series(spark.createDataFrame(frame), "k", "i").with_columns(**{f"e{i}": tw.ops.EwMean(alpha=0.5)(f"x{i}") for i in range(4)})
+    settled = tw.series(spark.createDataFrame(first.df.toPandas()), "k", "i")
+    direct, behind = {}, {}
+    for n in PORTABLE:
+        spec = OPERATORS[n]
+        p = {"taps": (0.5, 0.3, 0.2)} if n == "MovingAverage" else {"window_size": 6} if "window_size" in spec.params else {"n": 3} if "n" in spec.params else {}
+        op = make(n, **p)
+        for j in range(len(spec.outputs)):
+            name = f"{n.lower()}_{j}"
+            direct[name] = op(*[f"e{i}" for i in range(spec.n_in)])[j]
+            # a kernel on top keeps the operator within the pass
+            behind[name] = make("Cube")(make("EwMean", alpha=1.0)(op(*[tw.ops.EwMean(alpha=0.5)(f"x{i}") for i in range(spec.n_in)])[j]))
+    want = settled.select("i", **direct).orderBy("i").toPandas()
+    got = tw.series(spark.createDataFrame(frame), "k", "i").select("i", **behind).orderBy("i").toPandas()
+    for c in direct:
+        np.testing.assert_allclose(np.cbrt(got[c].astype(float)), want[c].astype(float), rtol=1e-6, atol=1e-7, err_msg=c)
+
+
 def test_infinities_and_logs(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([0.0, -1.0, 1.0, math.inf, float("nan"), None])], "i int, x double")
     got = [r for r in tw.series(df, (), "i").select("i", l=tw.ops.Log()("x"), d=tw.ops.Div()("x", "i"), n=tw.ops.IsNan()("x"), f=tw.ops.IsFinite()("x")).orderBy("i").collect()]

@@ -8,6 +8,7 @@ from .operators import backtest as _backtest
 from .operators import kernels as _kernels
 from .operators import windows as _windows
 from .operators import fast as _fast  # noqa: I001  block forms of what the modules above register
+from .operators import chains as _chains
 from .operators.backtest import MARKET, backtest_report, portfolio_report
 from .plans.node import Input, Node, make
 from .plans.registry import OPERATORS

@@ -30,6 +30,8 @@ FAST: dict[str, str] = {}
 class Tail(Kernel):
     """Carries the last k - 1 values; under the zero policy these are zeros at first."""
 
+    finite = True
+
     def __init__(self, **p) -> None:
         self.p = p
         self.k = self.size(p)

@@ -30,6 +30,8 @@ class Kernel:
     n_out = 1
     #: Whether missing inputs are passed on to the kernel.
     sparse = False
+    #: Whether outputs depend on a bounded number of rows.
+    finite = False
 
     def step(self, *x: float):
         raise NotImplementedError
@@ -65,13 +67,19 @@ def _changes(columns: list[pa.Array], n: int) -> np.ndarray:
     return out
 
 
-def run_kernels(df: DataFrame, key: list[str], order: list[str], jobs: list) -> DataFrame:
-    """The frame with the outputs of (node, input columns, output columns) jobs added."""
+def run_kernels(df: DataFrame, key: list[str], order: list[str], jobs: list, keep: set[str] | None = None) -> DataFrame:
+    """The frame with the outputs of (node, input columns, output columns) jobs added; a job may use the outputs of those
+    before it. With `keep`, only those outputs leave the pass."""
+    from .chains import Chain
+
     todo = [(n.spec.build, n.params, ins, outs) for n, ins, outs in jobs]
-    schema = StructType([*df.schema.fields, *(StructField(o, DoubleType()) for _, _, _, outs in todo for o in outs)])
+    made = [o for _, _, _, outs in todo for o in outs]
+    wanted = [o for o in made if keep is None or o in keep]
+    read = list(dict.fromkeys(i for _, _, ins, _ in todo for i in ins if i not in made))
+    schema = StructType([*df.schema.fields, *(StructField(o, DoubleType()) for o in wanted)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list[Kernel] | None = None
+        state: Chain | None = None
         last = None
         for batch in batches:
             n = batch.num_rows
@@ -81,23 +89,18 @@ def run_kernels(df: DataFrame, key: list[str], order: list[str], jobs: list) ->
             keys = [batch.column(names.index(k)) for k in key]
             now = [k[0].as_py() for k in keys]
             if state is None or now != last:
-                state = [cls(**params) for cls, params, _, _ in todo]
+                state = Chain(todo)
             cuts = [0, *np.flatnonzero(_changes(keys, n)).tolist(), n]
-            results = [[np.full(n, NAN) for _ in outs] for _, _, _, outs in todo]
-            columns = [[np.asarray(batch.column(names.index(i)).to_numpy(zero_copy_only=False), float) for i in ins] for _, _, ins, _ in todo]
+            results = {o: np.empty(n) for o in wanted}
+            columns = {i: np.asarray(batch.column(names.index(i)).to_numpy(zero_copy_only=False), float) for i in read}
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if s:
-                    state = [cls(**params) for cls, params, _, _ in todo]
-                for k, cols, out in zip(state, columns, results, strict=True):
-                    part = [c[s:e] for c in cols]
-                    ok = np.ones(e - s, bool)
-                    for p in () if k.sparse else part:
-                        ok &= ~np.isnan(p)
-                    for o, v in zip(out, k.block(*[p[ok] for p in part]), strict=True):
-                        o[s:e][ok] = v
+                    state = Chain(todo)
+                values = state.run({i: c[s:e] for i, c in columns.items()}, e - s)
+                for o, out in results.items():
+                    out[s:e] = values[o]
             last = [k[n - 1].as_py() for k in keys]
-            extra = [pa.array(o, from_pandas=True) for out in results for o in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, *(o for _, _, _, outs in todo for o in outs)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, from_pandas=True) for o in results.values())], [*names, *results])
 
     dealt = df.repartition(*key) if key else df.coalesce(1)
     return dealt.sortWithinPartitions(*key, *order).mapInArrow(run, schema)

@@ -145,10 +145,10 @@ def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, No
     """The frame with the nodes' columns added (an existing column of the same name is replaced). `order` must be a
     total order within a key, or tied rows come in any order. Double columns' NaN count as missing. With `bounded`,
     operators without a finite memory are refused."""
-    from ..operators.fast import Tail
+    from ..operators.chains import ported
     from ..operators.kernels import run_kernels
 
-    wanted = {n: expand(as_node(x)) for n, x in outputs.items()}
+    wanted = {n: ported(expand(as_node(x))) for n, x in outputs.items()}
     at: dict[tuple, list[str]] = {}
     todo: dict[tuple, Node] = {}
 
@@ -178,24 +178,34 @@ def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, No
     if any(n.spec.kind in ("window", "kernel") for n in todo.values()) and key:
         df = df.repartition(*key)
     df = df.select("*", *plain)
+    def ready(kind: str) -> dict[tuple, Node]:
+        return {k: n for k, n in todo.items() if n.spec.kind == kind and all(i.key in at for i in n.inputs)}
+
+    def named(nodes: dict[tuple, Node]) -> None:
+        nonlocal temps
+        for k, n in nodes.items():
+            at[k] = [f"{TEMP}{temps + i}" for i in range(len(n.spec.outputs))]
+            temps += len(n.spec.outputs)
+            todo.pop(k)
+
     while todo:
-        for kind in ("expr", "window", "kernel"):
-            ready = {k: n for k, n in todo.items() if n.spec.kind == kind and all(i.key in at for i in n.inputs)}
-            if not ready:
-                continue
-            for k, n in ready.items():
-                at[k] = [f"{TEMP}{temps + i}" for i in range(len(n.spec.outputs))]
-                temps += len(n.spec.outputs)
-                todo.pop(k)
-            if kind == "kernel":
-                endless = [n.spec.name for n in ready.values() if not issubclass(n.spec.build, Tail)] if bounded else []
-                if endless:
-                    raise ValueError(f"{', '.join(endless)} need a series' whole past")
-                df = run_kernels(df, key, order, [(n, [at[i.key][i.output] for i in n.inputs], at[k]) for k, n in ready.items()])
-            else:
-                df = df.select("*", *[c.alias(a) for k, n in ready.items() for c, a in zip(_results(n, _inputs(n, at), key, order, bounded), at[k], strict=True)])
-            break
-        else:
+        kind = next((k for k in ("expr", "window", "kernel") if ready(k)), None)
+        if kind is None:
             raise AssertionError("nodes without an order")
+        if kind == "kernel":
+            # with all kernels that follow from these alone
+            chain: dict[tuple, Node] = {}
+            while more := ready("kernel"):
+                named(more)
+                chain.update(more)
+            endless = [n.spec.name for n in chain.values() if not n.spec.build.finite] if bounded else []
+            if endless:
+                raise ValueError(f"{', '.join(endless)} need a series' whole past")
+            used = {at[i.key][i.output] for n in todo.values() for i in n.inputs if i.key in at} | {at[n.key][n.output] for n in wanted.values() if n.key in at}
+            df = run_kernels(df, key, order, [(n, [at[i.key][i.output] for i in n.inputs], at[k]) for k, n in chain.items()], used)
+        else:
+            nodes = ready(kind)
+            named(nodes)
+            df = df.select("*", *[c.alias(a) for k, n in nodes.items() for c, a in zip(_results(n, _inputs(n, at), key, order, bounded), at[k], strict=True)])
     new = [F.col(at[n.key][n.output]).alias(name) for name, n in wanted.items()]
     return df.select(*[c for c in base if c not in outputs], *new)
