@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from tidewater.operators import kernels as K
+from tidewater.plans.registry import OPERATORS
 
 rng = np.random.default_rng(7)
 X = rng.normal(100, 5, 300)
@@ -142,3 +143,23 @@ def test_directional_movement():
     s = plus[:4].sum() * 0.8 + plus[4]
     assert out[0][5] == pytest.approx(s) and np.isnan(out[0][:5]).all()
     assert out[0][6] == pytest.approx(s * 0.8 + plus[5]) and np.isnan(out[5][:9]).all() and not np.isnan(out[5][9])
+
+
+@pytest.mark.parametrize("name,params,n_in", [
+    *[("Hampel", {"window_size": k, "n_sigma": s, "output": o, "start_policy": p}, 1) for k in (1, 5, 20) for s in (1.0, 3.0) for o in ("cleaned", "flag", "nan") for p in ("strict", "expanding", "zero")],
+    ("_Wilder", {"window_size": 7}, 1), ("_WilderRSI", {"window_size": 7, "start_policy": "strict"}, 1), ("_WilderRSI", {"window_size": 7, "start_policy": "zero"}, 1),
+    ("_Directional", {"window_size": 6}, 3), ("HawkesIntensity", {"decay": 0.7, "alpha": 0.4, "mu": 0.1}, 1),
+], ids=str)
+def test_blocks_equal_steps(name, params, n_in):
+    rng = np.random.default_rng(3)
+    x = [rng.standard_t(2, 900).round(1) for _ in range(3)]
+    x = [np.maximum(np.maximum(x[0], x[1]), x[2]), np.minimum(np.minimum(x[0], x[1]), x[2]), x[2]][-n_in:] if n_in == 3 else x[:1]
+    spec = OPERATORS[name]
+    one, many, whole = (spec.build(**params) for _ in range(3))
+    rows = [one.step(*r) for r in zip(*(v.tolist() for v in x), strict=True)]
+    want = np.array(rows, float).reshape(900, -1).T
+    cuts = [0, 1, 2, 5, 5, 6, 40, 300, 900]
+    parts = [many.block(*(v[s:e] for v in x)) for s, e in zip(cuts, cuts[1:], strict=False)]
+    for i, w in enumerate(want):
+        np.testing.assert_allclose(np.concatenate([p[i] for p in parts]), w, rtol=1e-9, atol=1e-10)
+        np.testing.assert_allclose(whole.block(*x)[i] if i == 0 else w, w, rtol=1e-9, atol=1e-10)

@@ -309,6 +309,18 @@ class Wilder:
         self.mean += (x - self.mean) / min(self.seen, self.n)
         return self.mean if self.seen >= self.n else NAN
 
+    def block(self, x: np.ndarray) -> np.ndarray:
+        """add for an array: a decayed sum once the first n values are there."""
+        seed = min(max(self.n - self.seen, 0), len(x))
+        if not np.isfinite(x).all() or not math.isfinite(self.mean):
+            seed = len(x)
+        out = np.array([self.add(v) for v in x[:seed].tolist()], float)
+        if seed == len(x):
+            return out
+        rest = decayed(x[seed:] / self.n, (self.n - 1) / self.n, self.mean)
+        self.seen, self.mean = self.seen + len(rest), float(rest[-1])
+        return np.concatenate([out, rest])
+
 
 @kernel("_Wilder", window_size=14)
 class WilderMean(Kernel):
@@ -318,6 +330,9 @@ class WilderMean(Kernel):
     def step(self, x):
         return self.mean.add(x)
 
+    def block(self, x):
+        return [self.mean.block(x)]
+
 
 @kernel("_WilderRSI", window_size=14, start_policy="strict")
 class WilderRSI(Kernel):
@@ -334,6 +349,18 @@ class WilderRSI(Kernel):
         up, down = self.up.add(max(x - last, 0.0)), self.down.add(max(last - x, 0.0))
         return 50.0 if up + down == 0 else 100 * up / (up + down)
 
+    def block(self, x):
+        if not len(x):
+            return [np.zeros(0)]
+        first = self.last is None
+        d = np.diff(x, prepend=x[:1] if first else self.last)[int(first) :]
+        self.last = float(x[-1])
+        up, down = self.up.block(np.maximum(d, 0.0)), self.down.block(np.maximum(-d, 0.0))
+        total = up + down
+        with np.errstate(all="ignore"):
+            out = np.where(total == 0, 50.0, 100 * up / total)
+        return [np.concatenate([[NAN], out]) if first else out]
+
 
 @_macro("ATR", 3, window_size=14)
 def atr(h, low, c, window_size):
@@ -398,6 +425,27 @@ class Directional(Kernel):
         dx = 100 * abs(pdi - mdi) / (pdi + mdi) if pdi + mdi > 0 else 0.0
         return plus, minus, pdi, mdi, dx, self.adx.add(dx)
 
+    def block(self, h, low, c):
+        # the first rows fill the seed
+        seed = min(max(self.n - self.seen, 1), len(h))
+        if not np.isfinite(h + low + c).all() or not np.isfinite(self.sums).all():
+            seed = len(h)
+        out = [np.array(v, float) for v in zip(*(self.step(*r) for r in zip(h[:seed].tolist(), low[:seed].tolist(), c[:seed].tolist(), strict=True)), strict=True)] or [np.zeros(0)] * 6
+        if seed == len(h):
+            return out
+        h, low, c = (np.concatenate([[a], b[seed:]]) for a, b in zip(self.last, (h, low, c), strict=True))
+        self.last, self.seen = (float(h[-1]), float(low[-1]), float(c[-1])), self.seen + len(h) - 1
+        up, down, old = np.diff(h), -np.diff(low), c[:-1]
+        moves = (np.where(up > np.maximum(down, 0), up, 0.0), np.where(down > np.maximum(up, 0), down, 0.0), np.maximum(h[1:] - low[1:], np.maximum(np.abs(h[1:] - old), np.abs(low[1:] - old))))
+        plus, minus, span = (decayed(m, (self.n - 1) / self.n, s) for m, s in zip(moves, self.sums, strict=True))
+        self.sums = float(plus[-1]), float(minus[-1]), float(span[-1])
+        with np.errstate(all="ignore"):
+            pdi, mdi = (np.where(span > 0, 100 * v / span, NAN) for v in (plus, minus))
+            dx = np.where(pdi + mdi > 0, 100 * np.abs(pdi - mdi) / (pdi + mdi), np.where(span > 0, 0.0, NAN))
+        adx = np.full(len(dx), NAN)
+        adx[span > 0] = self.adx.block(dx[span > 0])
+        return [np.concatenate(v) for v in zip(out, (plus, minus, pdi, mdi, dx, adx), strict=True)]
+
 
 for _name, _n_in, _pick in (("PlusDM", 2, 0), ("MinusDM", 2, 1), ("PlusDI", 3, 2), ("MinusDI", 3, 3), ("DX", 3, 4)):
 
@@ -605,6 +653,14 @@ class Hawkes(Kernel):
         self.excited = self.decay * (self.excited + self.alpha * x)
         return out
 
+    def block(self, x):
+        if not len(x) or not np.isfinite(x).all() or not math.isfinite(self.excited):
+            return super().block(x)
+        after = decayed(self.decay * self.alpha * x, self.decay, self.excited)
+        before = np.concatenate([[self.excited], after[:-1]])
+        self.excited = float(after[-1])
+        return [self.mu + before]
+
 
 # -- robust cleaning --------------------------------------------------------------------------------------------------
 
@@ -682,6 +738,35 @@ class Hampel(Kernel):
             w.replace_newest(m)
         return _verdict(self.output, outlier, x, m)
 
+    def block(self, x):
+        w, k = self.window, self.window.n
+        start = min(max(k - len(w.values), 0), len(x))
+        if not np.isfinite(x).all() or not np.isfinite(np.array(w.values)).all():
+            start = len(x)
+        out = np.array([self.step(v) for v in x[:start].tolist()], float)
+        if start == len(x):
+            return [out]
+        # full windows: many at once up to the next outlier, which changes those after it
+        values = np.concatenate([list(w.values)[1 - k :] if k > 1 else [], x[start:]])
+        rest, p, span = values[k - 1 :].copy(), k - 1, 64
+        while p < len(values):
+            m = np.lib.stride_tricks.sliding_window_view(values[p - k + 1 : p + span], k)
+            middle = np.median(m, 1)
+            scale = MAD_SCALE * np.median(np.abs(m - middle[:, None]), 1)
+            far = np.flatnonzero((scale > 0) & (np.abs(m[:, -1] - middle) > self.limit * scale))
+            j = p + (int(far[0]) if len(far) else len(m) - 1)
+            if self.output == "flag":
+                rest[p - k + 1 : j - k + 2] = 0.0
+            if len(far):
+                clean = float(middle[far[0]])
+                rest[j - k + 1] = _verdict(self.output, True, float(values[j]), clean)
+                values[j] = clean
+            p, span = j + 1, max(16, span // 2) if len(far) else min(2048, span * 2)
+        w.values.clear()
+        w.values.extend(values[-k:].tolist())
+        w.sorted = sorted(w.values)
+        return [np.concatenate([out, rest])]
+
 
 @kernel("ImpulseClip", window_size=20, n_sigma=4.0, output="cleaned", start_policy="strict")
 class ImpulseClip(Kernel):

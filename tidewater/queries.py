@@ -892,19 +892,28 @@ SELECT event_type, ts, dd AS drawdown, sum(cost) OVER w AS cum_cost, sum(turn) O
 # -- Structured Streaming ---------------------------------------------------------------------------------------------------------
 
 
-def live_ew_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EwMean over the events as a stream: read as files arrive, state kept by key, written and read again."""
-    from .sources.folders import scratch
-    from .streaming.live import live_kernels
+def _live(outputs: dict[str, Node]) -> Query:
+    """A query over the events as a stream: read as files arrive, state kept by key, written and read again."""
 
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = scratch(spark, "live")
-    rows = live_kernels(events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], {"out": make("EwMean", alpha=0.25)("value")})
-    rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
-    return tidy(spark.read.parquet(out).select("event_id", "out"), ["out"])
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .sources.folders import scratch
+        from .streaming.live import live_kernels
+
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        out = scratch(spark, "live")
+        rows = live_kernels(events.selectExpr(*[f"{COLUMNS[c]} AS {c}" for c in ("event_id", "user_id", "ts", "x")], "value"), "user_id", ["ts", "event_id"], outputs)
+        rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+        return tidy(spark.read.parquet(out).select("event_id", *outputs), list(outputs))
+
+    return query
 
 
+live_ew_mean = _live({"out": make("EwMean", alpha=0.25)("value")})
+# graphs of operators on a stream give what the batch queries of the same name give
+for _live_name, _live_of in (("macd", make("MACD", 3, 7, 4)("x")), ("stoch_rsi", make("StochRSI", 10, 8, 2, 3)("x")), ("trix", make("TRIX", 7)("x")), ("rolling_mean_20", make("RollingMean", 20)("x"))):
+    QUERIES[f"live_{_live_name}"] = _live({o or "out": _live_of[i] for i, o in enumerate(_live_of.spec.outputs)})
+    ORACLES[f"live_{_live_name}"] = ORACLES[_live_name]
 QUERIES["live_ew_mean"] = live_ew_mean
 ORACLES["live_ew_mean"] = (
     f"SELECT event_id, round({ew('v1', _A)} / {_ones('v1', _A)} + {_shift(6)!r}::DOUBLE, 6) + 0e0 AS out "
