@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, also set as the context's checkpoint folder.
 
-    Only where neither the setting nor a checkpoint folder exists (local runs and tests) a folder of this
-    machine's own is made."""
+    Where neither the setting nor a checkpoint folder exists, local runs and tests get a folder of this machine's own;
+    on a cluster every machine would see another one, so that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="tidewater-checkpoints-")
     sc.setCheckpointDir(made)
     return made
@@ -55,9 +57,3 @@ def settled(df: DataFrame, kind: str) -> DataFrame:
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
