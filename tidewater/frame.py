@@ -35,7 +35,7 @@ class Series:
         """Some columns of the frame and the nodes' values."""
         keep = [*dict.fromkeys([*self.key, *self.order, *columns])]
         inputs = {i.name for n in outputs.values() if isinstance(n, Node) for i in _leaves(n)} | {n for n in outputs.values() if isinstance(n, str)}
-        return lower(self.df.select(*keep, *sorted(inputs - set(keep))), self.key, self.order, outputs).select(*columns, *outputs)
+        return lower(self.df.select(*keep, *sorted(inputs - set(keep))), self.key, self.order, outputs, columns=list(columns)).select(*columns, *outputs)
 
 
     def in_pieces(self, memory: int, pieces: int, **outputs: Node | str) -> DataFrame:

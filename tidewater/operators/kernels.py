@@ -67,16 +67,19 @@ def _changes(columns: list[pa.Array], n: int) -> np.ndarray:
     return out
 
 
-def run_kernels(df: DataFrame, key: list[str], order: list[str], jobs: list, keep: set[str] | None = None) -> DataFrame:
+def run_kernels(df: DataFrame, key: list[str], order: list[str], jobs: list, keep: set[str] | None = None, onward: list[str] | None = None) -> DataFrame:
     """The frame with the outputs of (node, input columns, output columns) jobs added; a job may use the outputs of those
-    before it. With `keep`, only those outputs leave the pass."""
+    before it. With `keep`, only those outputs leave the pass, and with `onward` only those of the frame's columns; what only
+    sorts doesn't enter it."""
     from .chains import Chain
 
     todo = [(n.spec.build, n.params, ins, outs) for n, ins, outs in jobs]
     made = [o for _, _, _, outs in todo for o in outs]
     wanted = [o for o in made if keep is None or o in keep]
     read = list(dict.fromkeys(i for _, _, ins, _ in todo for i in ins if i not in made))
-    schema = StructType([*df.schema.fields, *(StructField(o, DoubleType()) for o in wanted)])
+    onward = df.columns if onward is None else onward
+    enter = list(dict.fromkeys([*onward, *key, *read]))
+    schema = StructType([*(df.schema[c] for c in onward), *(StructField(o, DoubleType()) for o in wanted)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: Chain | None = None
@@ -100,10 +103,10 @@ def run_kernels(df: DataFrame, key: list[str], order: list[str], jobs: list, kee
                 for o, out in results.items():
                     out[s:e] = values[o]
             last = [k[n - 1].as_py() for k in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, from_pandas=True) for o in results.values())], [*names, *results])
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in onward), *(pa.array(o, from_pandas=True) for o in results.values())], [*onward, *results])
 
     dealt = df.repartition(*key) if key else df.coalesce(1)
-    return dealt.sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*key, *order).select(*enter).mapInArrow(run, schema)
 
 
 # -- exponentially weighted -------------------------------------------------------------------------------------

@@ -141,10 +141,10 @@ def expand(node: Node) -> Node:
     return Node(OPERATORS[choose(node.spec.name, node.params)], node.params, inputs, node.output)
 
 
-def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, Node | str], bounded: bool = False) -> DataFrame:
+def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, Node | str], bounded: bool = False, columns: list[str] | None = None) -> DataFrame:
     """The frame with the nodes' columns added (an existing column of the same name is replaced). `order` must be a
     total order within a key, or tied rows come in any order. Double columns' NaN count as missing. With `bounded`,
-    operators without a finite memory are refused."""
+    operators without a finite memory are refused. With `columns`, only those of the frame's columns stay."""
     from ..operators.chains import ported
     from ..operators.kernels import run_kernels
 
@@ -162,6 +162,7 @@ def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, No
     for n in wanted.values():
         visit(n)
     base, temps = list(df.columns), 0
+    stay = base if columns is None else columns
     sources = {n.name: n for n in todo.values() if n.spec is None}
     absent = set(sources) - set(base)
     if absent:
@@ -202,10 +203,12 @@ def lower(df: DataFrame, key: list[str], order: list[str], outputs: dict[str, No
             if endless:
                 raise ValueError(f"{', '.join(endless)} need a series' whole past")
             used = {at[i.key][i.output] for n in todo.values() for i in n.inputs if i.key in at} | {at[n.key][n.output] for n in wanted.values() if n.key in at}
-            df = run_kernels(df, key, order, [(n, [at[i.key][i.output] for i in n.inputs], at[k]) for k, n in chain.items()], used)
+            by_key = any(n.spec.kind != "expr" for n in todo.values())
+            onward = [c for c in df.columns if c in used or c in stay or (by_key and c in (*key, *order))]
+            df = run_kernels(df, key, order, [(n, [at[i.key][i.output] for i in n.inputs], at[k]) for k, n in chain.items()], used, onward)
         else:
             nodes = ready(kind)
             named(nodes)
             df = df.select("*", *[c.alias(a) for k, n in nodes.items() for c, a in zip(_results(n, _inputs(n, at), key, order, bounded), at[k], strict=True)])
     new = [F.col(at[n.key][n.output]).alias(name) for name, n in wanted.items()]
-    return df.select(*[c for c in base if c not in outputs], *new)
+    return df.select(*[c for c in stay if c not in outputs], *new)
