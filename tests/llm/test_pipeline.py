@@ -29,3 +29,12 @@ def test_near_duplicates_keep_one(spark, pipeline):
     got = pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["2", "9", "None"]
+
+
+def test_quality_filter_counts_once(spark, pipeline):
+    """The filter reads the statistics; it must not compute them again for each condition of each rule."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = pipeline.quality(spark, docs, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") + plan.count("regexp_count") < 30
+    assert plan.lstrip().startswith("Project") and "Filter" in plan and "Generate" in plan

@@ -34,7 +34,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """The frame and, under PREFIX names, the statistics in FEATURES. Two projections: counts, then ratios."""
+    """The frame and, under PREFIX names, the statistics in FEATURES. Two projections: counts, then ratios. The ratios
+    come out of a generator of one row: Spark moves a filter below projections, where it would count again for each
+    condition of each rule, but never below a generator whose columns it reads."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.split(F.trim(t), r"\s+", -1)
     lines = F.split(t, "\n", -1)
@@ -75,7 +77,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "longest_line": F.log1p(p("n_longest")),
     }
     one = df.select("*", *[c.alias(PREFIX + n) for n, c in raw.items()])
-    return one.select(*df.columns, *[ratio[n].alias(PREFIX + n) for n in FEATURES])
+    return one.select(*df.columns, F.inline(F.array(F.struct(*[ratio[n].alias(PREFIX + n) for n in FEATURES]))))
 
 
 @dataclass(frozen=True)
