@@ -17,7 +17,14 @@ A representative may hold a hash for another reason than the passage (a line tha
 the others have in common. So the hashes under which some document shares no passage with the representative are
 looked at again: where the windows of all functions around a run of LEAST shingles have such hashes, the run itself is
 the key of a second grouping. Equal runs are equal for all their holders, so there any representative will do: no passage
-of 50 equal words is lost, whatever else its words occur in. Passages with edits have their several hashes.
+of 50 equal words is lost, whatever else its words occur in.
+
+Passages with edits are nowhere equal for so long, but an edited word takes four or five shingles and a share of 0.8 leaves
+one edit to 46, so some SHORT shingles in a row are equal. Around places where NEEDED functions have hashes as above, these
+short runs are the keys of a third grouping without representatives: holders that no verified passage joins yet are
+looked up in an index of their surroundings' shingles, and those with enough in common are compared, those with most in
+common first, until all that is alike is joined, whoever else holds the run; a forest of links leaves the group. Holders
+with equal surroundings count once, as the second grouping joins them.
 
 Defined cases: null and empty texts, and texts under LEAST shingles, have no passages; passages repeated only within
 one document are not reported; rows that repeat a doc_id are one document, whose passages are
@@ -43,6 +50,14 @@ LEAST = 46
 HASHES = 4  # at most four: places keep the function in two bits
 NEEDED = 2
 SIMILARITY = 0.8
+#: Shingles in a row that a passage with edits keeps at the least, 20, hold a chosen run: the least hash of PICK in a row.
+SHORT, PICK = 12, 9
+#: A run that ends so many shingles beside a verified passage belongs to it: a passage of its own needs more.
+BESIDE = 24
+#: Shingles that a passage shares at the least, within as many as LEAST to both sides of one of its runs.
+ENOUGH = 36
+#: A shingle with more holders in one group is compared by patterns, not by pairs of its holders.
+FREQUENT = 32
 #: Documents that one verification task group compares with one representative.
 VERIFY_GROUP = 256
 _SEEDS = mix64(np.arange(101, 101 + HASHES, dtype=np.uint64))
@@ -151,9 +166,10 @@ def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 34, place & 0xFFFFFFFF, place >> 32 & 3
 
 
-def unresolved(held: DataFrame, verified: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, lo, hi): stretches of shingles, end inclusive, in each run of which the windows of all functions have a
-    hash that some document has without sharing a passage with the representative there."""
+def unresolved(held: DataFrame, verified: DataFrame, needed: int = NEEDED, least: int = LEAST) -> DataFrame:
+    """(doc_id, lo, hi, whole): stretches of shingles, end inclusive, in each run of which the windows of all functions
+    (whole) or of at least `needed` (not whole) have a hash that some document has without sharing a passage with the
+    representative there."""
     place = F.col("place")
     rows = held.where("doc_id <> rep").select("key", "doc_id", "rep", F.shiftright(place, 34).alias("l"), place.bitwiseAND(F.lit(0xFFFFFFFF)).alias("r"))
     v = verified.select(F.col("doc_id").alias("d"), F.col("rep_id").alias("p"), "start", (F.col("end") - SHINGLE).alias("stop"))
@@ -167,19 +183,20 @@ def unresolved(held: DataFrame, verified: DataFrame, least: int = LEAST) -> Data
         for (doc,), g in _groups(batches, ["doc_id"]):
             lo, hi, f = _span(g["place"])
             base, n = int(lo.min()), int(hi.max() - lo.min()) + 2
-            every = np.ones(n, bool)
+            count = np.zeros(n, np.int64)
             for k in range(HASHES):
                 step = np.zeros(n, np.int64)
                 np.add.at(step, lo[f == k] - base, 1)
                 np.add.at(step, hi[f == k] - least + 2 - base, -1)
-                every &= np.cumsum(step) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], every, [0]])))
-            if len(edge):
-                a, b = edge[::2] + base, edge[1::2] - 1 + base + least - 1
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(a)), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "lo", "hi"])
+                count += np.cumsum(step) > 0
+            for whole, least_count in ((True, HASHES), (False, needed)):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], count >= least_count, [0]])))
+                if len(edge):
+                    a, b = edge[::2] + base, edge[1::2] - 1 + base + least - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(a)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([whole] * len(a))], ["doc_id", "lo", "hi", "whole"])
 
     rest = held.select("key", "doc_id", "place").join(keys, "key").select("doc_id", "place")
-    return rest.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(stretched, f"doc_id {kind}, lo int, hi int")
+    return rest.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(stretched, f"doc_id {kind}, lo int, hi int, whole boolean")
 
 
 def run_hashes(h: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -218,6 +235,200 @@ def run_candidates(documents: DataFrame, stretches: DataFrame, least: int = LEAS
     return runs.join(shared, "run").where("doc_id <> rep").groupBy("doc_id", "rep").agg(F.min("at").alias("lo"), (F.max("at") + least - 1).cast("int").alias("hi"))
 
 
+def short_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of chosen runs of SHORT shingles and their hashes: each that is the least of PICK in a row."""
+    if len(h) < SHORT:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    runs = run_hashes(h, SHORT)
+    span = min(PICK, len(runs))
+    low = np.lib.stride_tricks.sliding_window_view(runs, span).min(1)
+    chosen = np.zeros(len(runs), bool)
+    for k in range(span):
+        chosen[k : k + len(low)] |= low == runs[k : k + len(low)]
+    at = np.flatnonzero(chosen)
+    return at, runs[at]
+
+
+def alike(near: list[np.ndarray], whole: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of sets of shingles that have enough in common and unlike homes, most in common first. `whole` is false for surroundings
+    that repeat shingles: of these a share is enough. Sets that share enough frequent shingles only are compared once
+    for each pattern of frequent shingles; sets of one pattern are joined to its first."""
+    n, size = len(near), np.array([len(x) for x in near])
+    enough = np.where(whole, ENOUGH, (size * ENOUGH) // (SHORT + 2 * LEAST)).astype(np.int64)
+    if n <= 16:
+        sets = [set(x.tolist()) for x in near]
+        got = [(-len(sets[i] & sets[j]), i, j) for j in range(n) for i in range(j) if home[i] != home[j]]
+        got = sorted(p for p in got if -p[0] >= min(enough[p[1]], enough[p[2]]))
+        return np.array([p[1] for p in got], np.int64), np.array([p[2] for p in got], np.int64)
+    who = np.repeat(np.arange(n), size)
+    _, col, holders = np.unique(np.concatenate(near), return_inverse=True, return_counts=True)
+    frequent = np.flatnonzero(holders > FREQUENT)
+    has = np.zeros((n, len(frequent)), bool)
+    often = holders[col] > FREQUENT
+    has[who[often], np.searchsorted(frequent, col[often])] = True
+    # pairs of holders of the other shingles, with the number that they share
+    rare = ~often & (holders[col] > 1)
+    order = np.argsort(col[rare], kind="stable")
+    c, w = col[rare][order], who[rare][order]
+    codes = [np.zeros(0, np.int64)]
+    for k in range(1, FREQUENT):
+        same = np.flatnonzero((c[k:] == c[:-k]) & (home[w[k:]] != home[w[:-k]]))
+        codes.append(w[same] * n + w[same + k])
+    pairs, shared = np.unique(np.concatenate(codes), return_counts=True)
+    found = []
+    for at in range(0, len(pairs), 1 << 16):
+        i, j = pairs[at : at + (1 << 16)] // n, pairs[at : at + (1 << 16)] % n
+        total = shared[at : at + (1 << 16)] + (has[i] & has[j]).sum(1)
+        ok = total >= np.minimum(enough[i], enough[j])
+        found.append((pairs[at : at + (1 << 16)][ok], total[ok]))
+    # pairs by frequent shingles alone
+    _, first, of = np.unique(np.packbits(has, axis=1), axis=0, return_index=True, return_inverse=True)
+    lead = first[of.ravel()]
+    count = has.sum(1)
+    i = np.flatnonzero((home != home[lead]) & (count >= np.minimum(enough, enough[lead])))
+    found.append((np.minimum(i, lead[i]) * n + np.maximum(i, lead[i]), count[i]))
+    least = np.full(n, ENOUGH)
+    np.minimum.at(least, lead, enough)
+    first = np.sort(first[count[first] >= least[first]])
+    full = has[first].astype(np.float32)
+    for at in range(0, len(first), 256):
+        common = full[at : at + 256] @ full.T
+        i, j = np.nonzero(common >= np.minimum(least[first[at : at + 256], None], least[first]))
+        total = common[i, j].astype(np.int64)
+        i, j = first[i + at], first[j]
+        ok = (i < j) & (home[i] != home[j])
+        found.append((i[ok] * n + j[ok], total[ok]))
+    codes, total = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.lexsort((codes, -total))
+    _, at = np.unique(codes[order], return_index=True)  # the pair's first, with the most in common
+    pairs = codes[order[np.sort(at)]]
+    return pairs // n, pairs % n
+
+
+def links(raw: list[np.ndarray], home: np.ndarray, earlier: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple]:
+    """(number of the pair, its passage) of the pairs that are links to report: in their order, pairs with a passage in common that join members of
+    unlike homes, until all that is linked is joined; and for each member that is not known to repeat an `earlier` one a
+    pair with such a one, if there is any. So a dense group gives a forest, not all pairs."""
+    home, earlier, out, tried = home.copy(), earlier.copy(), [], np.zeros(len(i), bool)
+
+    def compare(k: int) -> None:
+        tried[k] = True
+        if found := passages(raw[j[k]], raw[i[k]]):
+            out.extend((k, x) for x in found)
+            earlier[j[k]] = True
+            home[home == home[j[k]]] = home[i[k]]
+
+    left = np.arange(len(i))
+    while len(left):
+        some, left = left[: len(home)], left[len(home) :]
+        for k in some.tolist():
+            if home[i[k]] != home[j[k]]:
+                compare(k)
+        left = left[home[i[left]] != home[j[left]]]
+    for k in np.flatnonzero(~tried & ~earlier[j]).tolist():
+        if not earlier[j[k]]:
+            compare(k)
+    return out
+
+
+def _joined(doc: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """A number for each member of a group, equal where documents are joined through homes of members."""
+    up: dict = {}
+
+    def root(x: object) -> object:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    doc, home = doc.tolist(), home.tolist()
+    for a, b in zip(doc, home, strict=True):
+        up[root(a)] = root(b)
+    number: dict = {}
+    return np.array([number.setdefault(root(a), len(number)) for a in doc])
+
+
+def edited_passages(documents: DataFrame, stretches: DataFrame, verified: DataFrame, least: int = LEAST) -> DataFrame:
+    """Rows as of `verify` for documents with a chosen short run in or around these stretches, where no verified passage
+    joins both to one document yet: what the run's surroundings, `least` shingles to both sides, have in common."""
+    kind = dict(documents.dtypes)["doc_id"]
+    of = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
+    homes = verified.groupBy("doc_id").agg(F.collect_list(F.struct("rep_id", "start", (F.col("end") - SHINGLE).alias("stop"))).alias("homes"))
+    texts = documents.select("doc_id", "text")
+
+    def choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                h, rows = shingles(*text_buffer(piece.column("text")))
+                edge = np.searchsorted(rows, np.arange(piece.num_rows + 1), side="left")
+                id_type = piece.schema.field("doc_id").type
+                for i, (doc, todo, over) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("doc_id", "stretches", "homes")), strict=True)):
+                    own = h[edge[i] : edge[i + 1]]
+                    if len(own) < least:
+                        continue
+                    at, runs = short_runs(own)
+                    use = np.zeros(len(own), bool)
+                    for x in todo:
+                        use[max(x["lo"] - least, 0) : x["hi"] + least + 1] = True
+                    at, runs = at[use[at]], runs[use[at]]
+                    # home: the smallest of the documents to which a passage at the run joins this one, or itself
+                    home, ids = np.zeros(len(at), np.int64), [doc]
+                    for x in sorted(over or [], key=lambda x: x["rep_id"], reverse=True):
+                        home[(at + BESIDE >= x["start"]) & (at + SHORT - 1 - BESIDE <= x["stop"])] = len(ids)
+                        ids.append(x["rep_id"])
+                    cols = [pa.array(runs.view(np.int64)), pa.array([doc], id_type).take(pa.array(np.zeros(len(at), np.int64))), pa.array(at, pa.int32()), pa.array(ids, id_type).take(pa.array(home))]
+                    yield pa.RecordBatch.from_arrays(cols, ["run", "doc_id", "at", "home"])
+
+    def surrounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                h, rows = shingles(*text_buffer(piece.column("text")))
+                edge = np.searchsorted(rows, np.arange(piece.num_rows + 1), side="left")
+                id_type = piece.schema.field("doc_id").type
+                for i, (doc, todo) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("doc_id", "todo")), strict=True)):
+                    own = h[edge[i] : edge[i + 1]]
+                    for s in range(0, len(todo), 1024):
+                        some = todo[s : s + 1024]
+                        low = own.astype(np.uint32)  # half of a hash tells some hundred shingles apart
+                        near = [low[max(x["at"] - least, 0) : x["at"] + SHORT + least].tobytes() for x in some]
+                        cols = [pa.array([x["run"] for x in some], pa.int64()), pa.array([x["home"] for x in some], id_type), pa.array(near, pa.binary()), pa.array([doc] * len(some), id_type), pa.array([x["at"] for x in some], pa.int32())]
+                        yield pa.RecordBatch.from_arrays(cols, ["run", "home", "near", "doc_id", "at"])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .simhash_dedup import _groups
+
+        for _, g in _groups(batches, ["run"]):
+            one: dict = {}  # in order of doc_id
+            for k, x in enumerate(zip(g["home"].tolist(), g["near"].tolist(), strict=True)):
+                one.setdefault(x, k)
+            g = {n: v[list(one.values())] for n, v in g.items()}
+            doc = g["doc_id"]
+            home = _joined(doc, g["home"])
+            if (home == home[0]).all():
+                continue
+            raw = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in g["near"]]
+            near = [np.unique(x) for x in raw]
+            i, j = alike(near, np.array([len(x) == len(y) for x, y in zip(near, raw, strict=True)]), home)
+            i, j = i[doc[i] != doc[j]], j[doc[i] != doc[j]]  # in order of doc_id
+            first = np.maximum(g["at"].astype(np.int64) - least, 0)
+            out = []
+            for k, (a, b, c, d, v) in links(raw, home, g["home"] != doc, i, j):
+                x, y = first[i[k]], first[j[k]]
+                out.append((doc[j[k]], doc[i[k]], y + a, y + b + SHINGLE - 1, x + c, x + d + SHINGLE - 1, v))
+            if out:
+                cols = list(zip(*out, strict=True))
+                kinds = [None] * 2 + [pa.int32()] * 4 + [pa.float64()]
+                names = ["doc_id", "rep_id", "start", "end", "rep_start", "rep_end", "similarity"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c).tolist(), t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    runs = settled(texts.join(of, "doc_id").join(homes, "doc_id", "left").select("doc_id", "stretches", "homes", "text").mapInArrow(choosing, f"run long, doc_id {kind}, at int, home {kind}"), "short-runs")
+    shared = cut(runs.groupBy("run").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("run"))
+    todo = settled(runs.join(shared, "run").groupBy("doc_id").agg(F.collect_list(F.struct("run", "at", "home")).alias("todo")), "short-runs")
+    rows = texts.join(todo, "doc_id").select("doc_id", "todo", "text").mapInArrow(surrounding, f"run long, home {kind}, near binary, doc_id {kind}, at int")
+    release(documents.sparkSession)  # the shuffles of shorter rows, before surroundings are shuffled
+    dealt = rows.repartition("run").sortWithinPartitions("run", "doc_id", "at")
+    return dealt.mapInArrow(paired, f"doc_id {kind}, rep_id {kind}, start int, end int, rep_start int, rep_end int, similarity double").distinct()
+
+
 def _overlapping(f: np.ndarray, left: np.ndarray, right: np.ndarray, needed: int, least: int) -> Iterator[int]:
     """The intervals that share a stretch of `least` places with intervals of at least `needed` functions, themselves
     included. An interval [l, r] holds stretches that begin at l..r-least+1."""
@@ -395,8 +606,21 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     stretches = cut(unresolved(held, first))
     if stretches.isEmpty():
         return first.distinct()
-    again = run_candidates(rows, stretches).alias("a")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "rep")]
+    again = run_candidates(rows, stretches.where("whole"))
     # what was compared with the same representative around there has its passages
-    fresh = cut(again.join(pairs.alias("b"), [*same, F.col("a.lo") >= F.col("b.lo"), F.col("a.hi") <= F.col("b.hi")], "left_anti"))
-    return first.unionByName(verify(rows, fresh)).distinct()
+    fresh = cut(_but(again, pairs))
+    second = settled(first.unionByName(verify(rows, fresh)), "passages")
+    edited = cut(edited_passages(rows, stretches.where("not whole"), second))
+    margin = F.lit(2 * LEAST)  # beyond the surroundings of a run passages may go on
+    wide = edited.groupBy("doc_id", F.col("rep_id").alias("rep")).agg(F.greatest(F.min("start") - margin, F.lit(0)).alias("lo"), (F.max("end") + margin).alias("hi"))
+    third = cut(verify(rows, cut(wide)))
+    # a row from the surroundings stays where the wider comparison doesn't cover it
+    there = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "rep_id")]
+    alone = edited.alias("a").join(third.alias("b"), [*there, F.col("a.start") < F.col("b.end"), F.col("b.start") < F.col("a.end")], "left_anti")
+    return second.unionByName(third).unionByName(alone).distinct()
+
+
+def _but(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """The pairs whose stretch was not compared yet."""
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "rep")]
+    return pairs.alias("a").join(done.alias("b"), [*same, F.col("a.lo") >= F.col("b.lo"), F.col("a.hi") <= F.col("b.hi")], "left_anti")
