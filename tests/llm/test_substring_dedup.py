@@ -264,3 +264,70 @@ def test_ids_of_text(spark):
     numbers = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     want = {(f"d{r.doc_id:03d}", f"d{r.rep_id:03d}", r.start, r.end) for r in S.repeated_passages(numbers).collect()}
     assert {(r.doc_id, r.rep_id, r.start, r.end) for r in S.repeated_passages(df).collect()} == want and len(want) > 20
+
+
+def test_no_pass_yields_a_batch_for_each_document(spark, monkeypatch):
+    """A batch costs as much as hundreds of rows, on both sides of the pipe: passes work on many documents at a time."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plain, made = DataFrame.mapInArrow, {}
+
+    def counted(self, func, schema, *args, **more):
+        name = func.__name__
+        made[name] = made.get(name) or spark.sparkContext.accumulator(0)
+        count = made[name]
+
+        def passing(batches):
+            for batch in func(batches):
+                count.add(1)
+                yield batch
+
+        return plain(self, passing, schema, *args, **more)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    texts = edited(11, 300)
+    n = S.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).count()
+    assert n > 20 and {"joined", "stretched", "choosing", "surrounding"} <= set(made)
+    assert {k: c.value for k, c in made.items() if c.value > 60} == {}
+
+
+def test_compact_windows_of_repeated_shingles():
+    """Runs of equal hashes: the leftmost is the smallest, however long the run."""
+    rng = np.random.default_rng(8)
+    for n in (60, 300, 3000):
+        h = np.full(n, 1 << 40, np.uint64)
+        h[rng.integers(0, n, 4)] = 1 << 39
+        h[-1] = 0
+        rows = np.sort(rng.integers(0, 3, n))
+        want = set()
+        for r in range(3):
+            at = np.flatnonzero(rows == r)
+            todo = [(int(at[0]), int(at[-1]) + 1)] if len(at) else []
+            while todo:
+                a, b = todo.pop()
+                if b - a >= 5:
+                    c = a + int(np.argmin(h[a:b]))
+                    want.add((a, c, b - 1))
+                    todo += [(a, c), (c + 1, b)]
+        assert set(zip(*(x.tolist() for x in S.compact_windows(h, rows, 5)), strict=True)) == want
+
+
+def test_only_pairs_without_a_passage_are_left_out():
+    rng = np.random.default_rng(9)
+    fresh = lambda k: rng.integers(0, 1 << 32, k, dtype=np.uint64)
+    lines = [fresh(104) for _ in range(6)]
+    raw = []
+    for k in range(120):
+        x = lines[k % 6].copy()
+        if k % 4 == 3:
+            x = np.concatenate([x[:50], x[:54]])  # repeats shingles
+        at = rng.random(len(x)) < rng.choice([0, 0.05, 0.2, 0.5])
+        x[at] = fresh(int(at.sum()))
+        raw.append(x[: rng.integers(40, 105)])
+    grid, near, known, stride = S.numbered(raw)
+    assert [len(x) for x in near] == [len(set(x.tolist())) for x in raw]
+    whole = np.array([len(x) == len(y) for x, y in zip(near, raw, strict=True)])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(120), np.arange(120)))
+    found = np.array([bool(S.passages(raw[b], raw[a])) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    kept = S.promising(grid, known, stride, whole, i, j)
+    assert (kept >= found).all() and found.sum() > 500 and kept.sum() < 0.5 * len(kept)

@@ -34,10 +34,12 @@ repeated in a text resolve to the leftmost."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ BESIDE = 24
 ENOUGH = 36
 #: A shingle with more holders in one group is compared by patterns, not by pairs of its holders.
 FREQUENT = 32
+#: Groups of so many members are compared member by member.
+FEW = 16
 #: Documents that one verification task group compares with one representative.
 VERIFY_GROUP = 256
 _SEEDS = mix64(np.arange(101, 101 + HASHES, dtype=np.uint64))
@@ -94,22 +98,74 @@ def compact_windows(hashes: np.ndarray, rows: np.ndarray, least: int = LEAST) ->
     keep = np.ones(len(places), bool)
     keep[1:] = places[1:] != places[:-1]
     c = places[keep]  # in order: a sliding minimum's place never moves back within a row
-    # all next smaller values of a kept place are kept places themselves or the row's end
-    value, row = packed[c].tolist(), rows[c].tolist()
-    first = np.searchsorted(rows, rows[c], side="left").tolist()
-    end = np.searchsorted(rows, rows[c], side="right").tolist()
-    at = c.tolist()
-    left, right = list(first), [e - 1 for e in end]
-    stack: list[int] = []
-    for i, v in enumerate(value):
-        if stack and row[stack[-1]] != row[i]:
-            stack.clear()
-        while stack and value[stack[-1]] > v:
-            right[stack.pop()] = at[i] - 1
-        if stack:
-            left[i] = at[stack[-1]] + 1
-        stack.append(i)
-    return np.array(left), c, np.array(right)
+    # all next smaller values of a kept place are kept places themselves or the row's end. Each row's stand between bounds
+    # that are less than all
+    new = np.ones(len(c), bool)
+    new[1:] = rows[c[1:]] != rows[c[:-1]]
+    number = np.cumsum(new)
+    first, end = (np.searchsorted(rows, rows[c[new]], side=side)[number - 1] for side in ("left", "right"))
+    spot = np.arange(len(c)) + number
+    value, place = np.zeros(spot[-1] + 2, np.uint64), np.full(spot[-1] + 2, -1)
+    value[spot], place[spot] = packed[c], c
+    before = place[_smaller_before(value, spot)[spot]]
+    after = place[len(value) - 1 - _smaller_before(value[::-1], len(value) - 1 - spot[::-1])[::-1][spot]]
+    return np.where(before < 0, first, before + 1), c, np.where(after < 0, end, after) - 1
+
+
+def _smaller_before(value: np.ndarray, spot: np.ndarray, rounds: int = 24) -> np.ndarray:
+    """For each of the ascending places `spot` the last place before it with a smaller value, or the bound before it: the
+    values are distinct, and all other places are bounds."""
+    near = np.arange(-1, len(value) - 1)
+    todo = spot[value[spot - 1] > value[spot]]
+    for _ in range(rounds):  # what lies between a place and its pointer is greater; for hashes few rounds leave nothing
+        if not len(todo):
+            return near
+        near[todo] = near[near[todo]]
+        todo = todo[value[near[todo]] > value[todo]]
+    # ascending runs of equal shingles: one after another, along pointers that are settled
+    v, to = value.tolist(), near.tolist()
+    for i in todo.tolist():
+        j = to[i]
+        while v[j] > v[i]:
+            j = to[j]
+        to[i] = j
+    return np.array(to)
+
+
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ..., `length` of them, for each range, one range after another."""
+    return np.arange(length.sum()) + np.repeat(first - np.cumsum(length) + length, length)
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """The row of each struct in a column of lists of structs, and their fields."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), column.flatten().flatten()
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches cut anew, so that rows of equal keys stay together, and where each key's rows begin, with the end."""
+
+    def cuts(column: pa.Array) -> np.ndarray:
+        return np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)) + 1
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table, np.concatenate([[0], cuts(table.column(key).combine_chunks()), [table.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        inside = cuts(batch.column(key))
+        last = int(inside[-1]) if len(inside) else 0
+        if last:
+            held.append(batch.slice(0, last))
+        if held and (last or held[-1].column(key)[-1] != batch.column(key)[0]):
+            yield out()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield out()
 
 
 def windows(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -146,17 +202,14 @@ def candidates(held: DataFrame, needed: int = NEEDED, least: int = LEAST) -> Dat
     kind = dict(held.dtypes)["doc_id"]
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .simhash_dedup import _groups
-
-        for (doc,), g in _groups(batches, ["doc_id"]):
-            lo, hi, f = _span(g["place"])
-            rep = g["rep"].tolist()
-            found_at: dict = {}
-            for i in _overlapping(f, lo, hi, needed, least):
-                a, b = found_at.get(rep[i], (lo[i], hi[i]))
-                found_at[rep[i]] = (min(a, lo[i]), max(b, hi[i]))
-            if found_at:
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found_at)), pa.array(list(found_at)), *(pa.array([int(v[k]) for v in found_at.values()], pa.int32()) for k in (0, 1))], ["doc_id", "rep", "lo", "hi"])
+        for table, starts in _whole(batches, "doc_id"):
+            lo, hi, f = _span(table.column("place").to_numpy())
+            _, count, opens, closes = _cover(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), lo, hi, f, least)
+            dense = np.concatenate([[0], np.cumsum(count >= needed)])
+            use = np.flatnonzero(dense[closes] > dense[opens])
+            some = table.select(["doc_id", "rep"]).take(pa.array(use)).append_column("lo", pa.array(lo[use], pa.int32())).append_column("hi", pa.array(hi[use], pa.int32()))
+            got = some.group_by(["doc_id", "rep"], use_threads=False).aggregate([("lo", "min"), ("hi", "max")])
+            yield from got.select(["doc_id", "rep", "lo_min", "hi_max"]).rename_columns(["doc_id", "rep", "lo", "hi"]).to_batches()
 
     return links.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(joined, f"doc_id {kind}, rep {kind}, lo int, hi int")
 
@@ -166,6 +219,19 @@ def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 34, place & 0xFFFFFFFF, place >> 32 & 3
 
 
+def _cover(of: np.ndarray, lo: np.ndarray, hi: np.ndarray, f: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Along numbered documents, the places (of << 33 | place) where windows begin or cease to hold a run of `least`
+    shingles that begins there; of how many functions windows do from each on; and each window's first of these places and
+    the one behind its last, by number."""
+    n = len(of)
+    at, to = np.unique(np.concatenate([of << 33 | lo, of << 33 | (hi - least + 2)]), return_inverse=True)
+    count = np.zeros(len(at), np.int64)
+    for k in range(HASHES):
+        own = f == k
+        count += np.cumsum(np.bincount(to[:n][own], minlength=len(at)) - np.bincount(to[n:][own], minlength=len(at))) > 0
+    return at, count, to[:n], to[n:]
+
+
 def unresolved(held: DataFrame, verified: DataFrame, needed: int = NEEDED, least: int = LEAST) -> DataFrame:
     """(doc_id, lo, hi, whole): stretches of shingles, end inclusive, in each run of which the windows of all functions
     (whole) or of at least `needed` (not whole) have a hash that some document has without sharing a passage with the
@@ -178,22 +244,16 @@ def unresolved(held: DataFrame, verified: DataFrame, needed: int = NEEDED, least
     kind = dict(held.dtypes)["doc_id"]
 
     def stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .simhash_dedup import _groups
-
-        for (doc,), g in _groups(batches, ["doc_id"]):
-            lo, hi, f = _span(g["place"])
-            base, n = int(lo.min()), int(hi.max() - lo.min()) + 2
-            count = np.zeros(n, np.int64)
-            for k in range(HASHES):
-                step = np.zeros(n, np.int64)
-                np.add.at(step, lo[f == k] - base, 1)
-                np.add.at(step, hi[f == k] - least + 2 - base, -1)
-                count += np.cumsum(step) > 0
+        for table, starts in _whole(batches, "doc_id"):
+            lo, hi, f = _span(table.column("place").to_numpy())
+            at, count, *_ = _cover(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), lo, hi, f, least)
+            ids = table.column("doc_id").combine_chunks()
             for whole, least_count in ((True, HASHES), (False, needed)):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], count >= least_count, [0]])))
-                if len(edge):
-                    a, b = edge[::2] + base, edge[1::2] - 1 + base + least - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(a)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([whole] * len(a))], ["doc_id", "lo", "hi", "whole"])
+                # a document's last place is covered by nothing
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], count >= least_count])))
+                a, b = at[edge[::2]], at[edge[1::2]]
+                cols = [ids.take(pa.array(starts[a >> 33])), pa.array(a & (1 << 33) - 1, pa.int32()), pa.array((b & (1 << 33) - 1) + least - 2, pa.int32()), pa.array(np.full(len(a), whole))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lo", "hi", "whole"])
 
     rest = held.select("key", "doc_id", "place").join(keys, "key").select("doc_id", "place")
     return rest.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(stretched, f"doc_id {kind}, lo int, hi int, whole boolean")
@@ -221,30 +281,38 @@ def run_candidates(documents: DataFrame, stretches: DataFrame, least: int = LEAS
             for piece in chunks(batch, "text"):
                 h, rows = shingles(*text_buffer(piece.column("text")))
                 edge = np.searchsorted(rows, np.arange(piece.num_rows + 1), side="left")
-                for i, todo in enumerate(piece.column("stretches").to_pylist()):
-                    own = h[edge[i] : edge[i + 1]]
-                    for x in todo:
-                        part = own[x["lo"] : x["hi"] + 1]
-                        if len(part) >= least:  # another text under the same id may be shorter
-                            runs = run_hashes(part, least).view(np.int64)
-                            at = np.arange(len(runs), dtype=np.int32) + x["lo"]
-                            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.concat_arrays([piece.column("doc_id").slice(i, 1)]).take(pa.array(np.zeros(len(runs), np.int64))), pa.array(at)], ["run", "doc_id", "at"])
+                of_row, (lo, hi) = _listed(piece.column("stretches"))
+                lo, hi = lo.to_numpy().astype(np.int64), hi.to_numpy().astype(np.int64)
+                length = np.minimum(hi + 1, np.diff(edge)[of_row]) - lo
+                use = length >= least  # another text under the same id may be shorter
+                of_row, lo, length = of_row[use], lo[use], length[use]
+                if len(lo):
+                    runs = run_hashes(h[_ranges(edge[of_row] + lo, length)], least)
+                    within = _ranges(np.cumsum(length) - length, length - least + 1)
+                    at = _ranges(lo, length - least + 1)
+                    ids = piece.column("doc_id").take(pa.array(np.repeat(of_row, length - least + 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(runs[within].view(np.int64)), ids, pa.array(at, pa.int32())], ["run", "doc_id", "at"])
 
     runs = settled(documents.select("doc_id", "text").join(of, "doc_id").select("doc_id", "stretches", "text").mapInArrow(cutting, f"run long, doc_id {kind}, at int"), "runs")
     shared = cut(runs.groupBy("run").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep <> most").select("run", "rep"))
     return runs.join(shared, "run").where("doc_id <> rep").groupBy("doc_id", "rep").agg(F.min("at").alias("lo"), (F.max("at") + least - 1).cast("int").alias("hi"))
 
 
-def short_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of chosen runs of SHORT shingles and their hashes: each that is the least of PICK in a row."""
-    if len(h) < SHORT:
+def short_runs(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of chosen runs of SHORT shingles and their hashes: each that is the least of PICK in a row, within a
+    row's text."""
+    reach = SHORT + PICK - 2
+    if len(h) <= reach:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     runs = run_hashes(h, SHORT)
-    span = min(PICK, len(runs))
-    low = np.lib.stride_tricks.sliding_window_view(runs, span).min(1)
+    n = len(h) - reach
+    low = runs[:n].copy()
+    for k in range(1, PICK):
+        np.minimum(low, runs[k : k + n], out=low)
+    inside = rows[:n] == rows[reach:]
     chosen = np.zeros(len(runs), bool)
-    for k in range(span):
-        chosen[k : k + len(low)] |= low == runs[k : k + len(low)]
+    for k in range(PICK):
+        chosen[k : k + n] |= inside & (low == runs[k : k + n])
     at = np.flatnonzero(chosen)
     return at, runs[at]
 
@@ -255,7 +323,7 @@ def alike(near: list[np.ndarray], whole: np.ndarray, home: np.ndarray) -> tuple[
     for each pattern of frequent shingles; sets of one pattern are joined to its first."""
     n, size = len(near), np.array([len(x) for x in near])
     enough = np.where(whole, ENOUGH, (size * ENOUGH) // (SHORT + 2 * LEAST)).astype(np.int64)
-    if n <= 16:
+    if n <= FEW:
         sets = [set(x.tolist()) for x in near]
         got = [(-len(sets[i] & sets[j]), i, j) for j in range(n) for i in range(j) if home[i] != home[j]]
         got = sorted(p for p in got if -p[0] >= min(enough[p[1]], enough[p[2]]))
@@ -305,10 +373,43 @@ def alike(near: list[np.ndarray], whole: np.ndarray, home: np.ndarray) -> tuple[
     return pairs // n, pairs % n
 
 
-def links(raw: list[np.ndarray], home: np.ndarray, earlier: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple]:
+def numbered(raw: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
+    """Shingles by number: those of each member in order, filled up with a number that none has; the set of each; all
+    members' sets in one ascending array, as member * stride + number; and the stride."""
+    size = np.array([len(x) for x in raw])
+    who = np.repeat(np.arange(len(raw)), size)
+    values, number = np.unique(np.concatenate(raw), return_inverse=True)
+    stride = len(values) + 1
+    grid = np.full((len(raw), int(size.max())), stride - 1)
+    grid[who, _ranges(np.zeros(len(raw), np.int64), size)] = number
+    known = np.unique(who * stride + number)
+    edge = np.searchsorted(known, np.arange(len(raw) + 1) * stride).tolist()
+    return grid, [known[a:b] - k * stride for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False))], known, stride
+
+
+def promising(grid: np.ndarray, known: np.ndarray, stride: int, whole: np.ndarray, i: np.ndarray, j: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Whether `passages` may find anything of member j in member i. Where j repeats no shingle, a passage has at least
+    `least` shingles and a share of SIMILARITY of them stands in i: a stretch with four hits or more to each miss. Elsewhere
+    so many of its shingles as `passages` asks for at the least."""
+    ok = np.zeros(len(i), bool)
+    width = grid.shape[1]
+    if width < least:
+        return ~whole[j]
+    for at in range(0, len(i), 4096):
+        wanted = grid[j[at : at + 4096]] + i[at : at + 4096, None] * stride
+        hit = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+        worth = np.zeros((len(wanted), width + 1), np.int32)
+        np.cumsum(np.where(hit, 1, -4), axis=1, out=worth[:, 1:])
+        dense = (worth[:, least:] >= np.minimum.accumulate(worth[:, : width + 1 - least], axis=1)).any(1)
+        ok[at : at + 4096] = np.where(whole[j[at : at + 4096]], dense, hit.sum(1) >= SIMILARITY * least)
+    return ok
+
+
+def links(raw: list[np.ndarray], home: np.ndarray, earlier: np.ndarray, i: np.ndarray, j: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> list[tuple]:
     """(number of the pair, its passage) of the pairs that are links to report: in their order, pairs with a passage in common that join members of
     unlike homes, until all that is linked is joined; and for each member that is not known to repeat an `earlier` one a
-    pair with such a one, if there is any. So a dense group gives a forest, not all pairs."""
+    pair with such a one, if there is any. So a dense group gives a forest, not all pairs. `test` tells pairs that have no
+    passage for certain."""
     home, earlier, out, tried = home.copy(), earlier.copy(), [], np.zeros(len(i), bool)
 
     def compare(k: int) -> None:
@@ -321,17 +422,21 @@ def links(raw: list[np.ndarray], home: np.ndarray, earlier: np.ndarray, i: np.nd
     left = np.arange(len(i))
     while len(left):
         some, left = left[: len(home)], left[len(home) :]
-        for k in some.tolist():
+        for k in (some if test is None else some[test(i[some], j[some])]).tolist():
             if home[i[k]] != home[j[k]]:
                 compare(k)
         left = left[home[i[left]] != home[j[left]]]
-    for k in np.flatnonzero(~tried & ~earlier[j]).tolist():
-        if not earlier[j[k]]:
-            compare(k)
+    left = np.flatnonzero(~tried & ~earlier[j])
+    while len(left):
+        some, left = left[: len(home)], left[len(home) :]
+        for k in (some if test is None else some[test(i[some], j[some])]).tolist():
+            if not earlier[j[k]]:
+                compare(k)
+        left = left[~earlier[j[left]]]
     return out
 
 
-def _joined(doc: np.ndarray, home: np.ndarray) -> np.ndarray:
+def _joined(doc: list, home: list) -> np.ndarray:
     """A number for each member of a group, equal where documents are joined through homes of members."""
     up: dict = {}
 
@@ -340,9 +445,9 @@ def _joined(doc: np.ndarray, home: np.ndarray) -> np.ndarray:
             up[x] = x = up.get(y, y)
         return x
 
-    doc, home = doc.tolist(), home.tolist()
     for a, b in zip(doc, home, strict=True):
-        up[root(a)] = root(b)
+        if a != b:
+            up[root(a)] = root(b)
     number: dict = {}
     return np.array([number.setdefault(root(a), len(number)) for a in doc])
 
@@ -360,65 +465,73 @@ def edited_passages(documents: DataFrame, stretches: DataFrame, verified: DataFr
             for piece in chunks(batch, "text"):
                 h, rows = shingles(*text_buffer(piece.column("text")))
                 edge = np.searchsorted(rows, np.arange(piece.num_rows + 1), side="left")
-                id_type = piece.schema.field("doc_id").type
-                for i, (doc, todo, over) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("doc_id", "stretches", "homes")), strict=True)):
-                    own = h[edge[i] : edge[i + 1]]
-                    if len(own) < least:
-                        continue
-                    at, runs = short_runs(own)
-                    use = np.zeros(len(own), bool)
-                    for x in todo:
-                        use[max(x["lo"] - least, 0) : x["hi"] + least + 1] = True
-                    at, runs = at[use[at]], runs[use[at]]
-                    # home: the smallest of the documents to which a passage at the run joins this one, or itself
-                    home, ids = np.zeros(len(at), np.int64), [doc]
-                    for x in sorted(over or [], key=lambda x: x["rep_id"], reverse=True):
-                        home[(at + BESIDE >= x["start"]) & (at + SHORT - 1 - BESIDE <= x["stop"])] = len(ids)
-                        ids.append(x["rep_id"])
-                    cols = [pa.array(runs.view(np.int64)), pa.array([doc], id_type).take(pa.array(np.zeros(len(at), np.int64))), pa.array(at, pa.int32()), pa.array(ids, id_type).take(pa.array(home))]
-                    yield pa.RecordBatch.from_arrays(cols, ["run", "doc_id", "at", "home"])
+                at, runs = short_runs(h, rows)
+                of_row, (lo, hi) = _listed(piece.column("stretches"))
+                begin = np.minimum(edge[of_row] + np.maximum(lo.to_numpy().astype(np.int64) - least, 0), edge[of_row + 1])
+                stop = np.minimum(edge[of_row] + hi.to_numpy() + least + 1, edge[of_row + 1])
+                use = np.cumsum(np.bincount(begin, minlength=len(h) + 1) - np.bincount(stop, minlength=len(h) + 1)) > 0
+                use = use[at] & (np.diff(edge)[rows[at]] >= least)
+                at, runs = at[use], runs[use]
+                # home: the smallest of the documents to which a passage at the run joins this one, or itself
+                of_row, (rep, begin, stop) = _listed(piece.column("homes"))
+                begin = edge[of_row] + np.maximum(begin.to_numpy().astype(np.int64) - BESIDE, 0)
+                stop = np.minimum(edge[of_row] + stop.to_numpy() - SHORT + 1 + BESIDE + 1, edge[of_row + 1])
+                home = rows[at]
+                for k, a, b in zip(*(x[pc.sort_indices(rep, sort_keys=[("", "descending")]).to_numpy()].tolist() for x in (np.arange(len(rep)), np.searchsorted(at, begin), np.searchsorted(at, stop))), strict=True):
+                    home[a:b] = piece.num_rows + k
+                ids = piece.column("doc_id")
+                cols = [pa.array(runs.view(np.int64)), ids.take(pa.array(rows[at])), pa.array(at - edge[rows[at]], pa.int32()), pa.concat_arrays([ids, rep]).take(pa.array(home))]
+                yield pa.RecordBatch.from_arrays(cols, ["run", "doc_id", "at", "home"])
 
     def surrounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, "text"):
                 h, rows = shingles(*text_buffer(piece.column("text")))
                 edge = np.searchsorted(rows, np.arange(piece.num_rows + 1), side="left")
-                id_type = piece.schema.field("doc_id").type
-                for i, (doc, todo) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("doc_id", "todo")), strict=True)):
-                    own = h[edge[i] : edge[i + 1]]
-                    for s in range(0, len(todo), 1024):
-                        some = todo[s : s + 1024]
-                        low = own.astype(np.uint32)  # half of a hash tells some hundred shingles apart
-                        near = [low[max(x["at"] - least, 0) : x["at"] + SHORT + least].tobytes() for x in some]
-                        cols = [pa.array([x["run"] for x in some], pa.int64()), pa.array([x["home"] for x in some], id_type), pa.array(near, pa.binary()), pa.array([doc] * len(some), id_type), pa.array([x["at"] for x in some], pa.int32())]
-                        yield pa.RecordBatch.from_arrays(cols, ["run", "home", "near", "doc_id", "at"])
+                low = h.astype(np.uint32)  # half of a hash tells some hundred shingles apart
+                of_row, (run, at, home) = _listed(piece.column("todo"))
+                place = at.to_numpy().astype(np.int64)
+                begin = np.minimum(edge[of_row] + np.maximum(place - least, 0), edge[of_row + 1])
+                length = np.minimum(edge[of_row] + place + SHORT + least, edge[of_row + 1]) - begin
+                for s in range(0, len(at), 8192):
+                    n = length[s : s + 8192]
+                    ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+                    near = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(low[_ranges(begin[s : s + 8192], n)])])
+                    cols = [run[s : s + 8192], home[s : s + 8192], near, piece.column("doc_id").take(pa.array(of_row[s : s + 8192])), at[s : s + 8192]]
+                    yield pa.RecordBatch.from_arrays(cols, ["run", "home", "near", "doc_id", "at"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .simhash_dedup import _groups
-
-        for _, g in _groups(batches, ["run"]):
-            one: dict = {}  # in order of doc_id
-            for k, x in enumerate(zip(g["home"].tolist(), g["near"].tolist(), strict=True)):
-                one.setdefault(x, k)
-            g = {n: v[list(one.values())] for n, v in g.items()}
-            doc = g["doc_id"]
-            home = _joined(doc, g["home"])
-            if (home == home[0]).all():
-                continue
-            raw = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in g["near"]]
-            near = [np.unique(x) for x in raw]
-            i, j = alike(near, np.array([len(x) == len(y) for x, y in zip(near, raw, strict=True)]), home)
-            i, j = i[doc[i] != doc[j]], j[doc[i] != doc[j]]  # in order of doc_id
-            first = np.maximum(g["at"].astype(np.int64) - least, 0)
-            out = []
-            for k, (a, b, c, d, v) in links(raw, home, g["home"] != doc, i, j):
-                x, y = first[i[k]], first[j[k]]
-                out.append((doc[j[k]], doc[i[k]], y + a, y + b + SHINGLE - 1, x + c, x + d + SHINGLE - 1, v))
+        for table, starts in _whole(batches, "run"):
+            out, docs, homes, sides, places = [], *(table.column(c).to_pylist() for c in ("doc_id", "home", "near", "at"))
+            for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                one: dict = {}  # in order of doc_id
+                for k in range(s, e):
+                    one.setdefault((homes[k], sides[k]), k)
+                kept = list(one.values())
+                doc, over = [docs[k] for k in kept], [homes[k] for k in kept]
+                home = _joined(doc, over)
+                if (home == home[0]).all():
+                    continue
+                raw = [np.frombuffer(sides[k], np.uint32).astype(np.uint64) for k in kept]
+                test = None
+                if len(raw) <= FEW:
+                    near = [np.unique(x) for x in raw]
+                else:
+                    grid, near, known, stride = numbered(raw)
+                whole = np.array([len(x) == len(y) for x, y in zip(near, raw, strict=True)])
+                i, j = alike(near, whole, home)
+                if len(raw) > FEW:
+                    test = partial(promising, grid, known, stride, whole)
+                text = np.cumsum([True, *(x != y for x, y in zip(doc, doc[1:], strict=False))])
+                i, j = i[text[i] != text[j]], j[text[i] != text[j]]  # in order of doc_id
+                for k, (a, b, c, d, v) in links(raw, home, np.array([x != y for x, y in zip(over, doc, strict=True)]), i, j, test):
+                    x, y = (max(places[kept[n]] - least, 0) for n in (i[k], j[k]))
+                    out.append((doc[j[k]], doc[i[k]], y + a, y + b + SHINGLE - 1, x + c, x + d + SHINGLE - 1, v))
             if out:
                 cols = list(zip(*out, strict=True))
-                kinds = [None] * 2 + [pa.int32()] * 4 + [pa.float64()]
+                kinds = [table.schema.field("doc_id").type] * 2 + [pa.int32()] * 4 + [pa.float64()]
                 names = ["doc_id", "rep_id", "start", "end", "rep_start", "rep_end", "similarity"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c).tolist(), t) for c, t in zip(cols, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     runs = settled(texts.join(of, "doc_id").join(homes, "doc_id", "left").select("doc_id", "stretches", "homes", "text").mapInArrow(choosing, f"run long, doc_id {kind}, at int, home {kind}"), "short-runs")
     shared = cut(runs.groupBy("run").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("run"))
@@ -429,26 +542,6 @@ def edited_passages(documents: DataFrame, stretches: DataFrame, verified: DataFr
     return dealt.mapInArrow(paired, f"doc_id {kind}, rep_id {kind}, start int, end int, rep_start int, rep_end int, similarity double").distinct()
 
 
-def _overlapping(f: np.ndarray, left: np.ndarray, right: np.ndarray, needed: int, least: int) -> Iterator[int]:
-    """The intervals that share a stretch of `least` places with intervals of at least `needed` functions, themselves
-    included. An interval [l, r] holds stretches that begin at l..r-least+1."""
-    last = right - least + 1
-    events = sorted([(int(a), 0, i) for i, a in enumerate(left)] + [(int(b), 1, i) for i, b in enumerate(last)])
-    waiting: set[int] = set()
-    count = [0] * HASHES
-    for _, closing, i in events:
-        k = int(f[i])
-        if closing:
-            count[k] -= 1
-            waiting.discard(i)
-        else:
-            count[k] += 1
-            waiting.add(i)
-            if sum(map(bool, count)) >= needed:
-                yield from waiting
-                waiting.clear()
-
-
 def _along_runs(mine: np.ndarray, theirs: np.ndarray, place: np.ndarray, least: int) -> None:
     """Where `theirs` repeats shingles, moves the places of whole runs that both have to one such run there, and keeps to
     it as far as it goes."""
@@ -479,14 +572,14 @@ def passages(mine: np.ndarray, theirs: np.ndarray, least: int = LEAST, similarit
     `theirs`. Hits and misses are weighed so that a stretch with a share of `similarity` hits is worth nothing; each
     stretch of rising worth is cut where it is best, and its shingles are compared with those of its place there; a stretch
     that is too unlike is taken apart at its breaks."""
-    order = np.argsort(theirs, kind="stable")
+    order = theirs.argsort(kind="stable")
     known = theirs[order]
     if not len(known) or not len(mine):
         return []
-    k = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-    hit = known[k] == mine
+    k = known.searchsorted(mine)
+    k[k == len(known)] = 0
     out = []
-    where = np.flatnonzero(hit)
+    where = (known[k] == mine).nonzero()[0]
     if len(where) < similarity * least:
         return []
     # maximal segments over the hits: worth is the hits' gain minus the gaps' loss
@@ -508,26 +601,39 @@ def passages(mine: np.ndarray, theirs: np.ndarray, least: int = LEAST, similarit
         segments.append((start, best_end))
     place = np.full(len(mine), -1)
     place[where] = order[k[where]]
-    if (known[1:] == known[:-1]).any():
-        _along_runs(mine, theirs, place, least)
+    # where neither side repeats shingles, counts of places are counts of shingles
+    plain = not (known[1:] == known[:-1]).any()
+    if not plain:
+        if (where[least - 1 :] - where[: max(len(where) - least + 1, 0)] == least - 1).any():  # a whole run may be there
+            _along_runs(mine, theirs, place, least)
+    else:
+        own = np.sort(mine)
+        plain = not (own[1:] == own[:-1]).any()
     while segments:
         a, b = segments.pop()
         if b - a + 1 < least:
             continue
-        at = np.flatnonzero(hit[a : b + 1]) + a
-        shift = place[at] - at
+        at = where[where.searchsorted(a) : where.searchsorted(b, "right")]
+        if plain and len(at) < similarity * least:
+            continue
+        there = place[at]
+        shift = there - at
         # the place there: hits that keep to the median offset, but for edits
-        near = place[at][np.abs(shift - np.sort(shift)[len(shift) // 2]) <= max(8, (1 - similarity) * (b - a + 1))]
+        near = there[np.abs(shift - np.sort(shift)[len(shift) // 2]) <= max(8, (1 - similarity) * (b - a + 1))]
         c, d = int(near.min()), int(near.max())
-        s, t = np.unique(mine[a : b + 1]), np.unique(theirs[c : d + 1])
-        common = len(np.intersect1d(s, t, assume_unique=True))
-        value = common / (len(s) + len(t) - common)
+        if plain:
+            common = int(((there >= c) & (there <= d)).sum())
+            value = common / (b - a + 1 + d - c + 1 - common)
+        else:
+            s, t = np.unique(mine[a : b + 1]), np.unique(theirs[c : d + 1])
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            value = common / (len(s) + len(t) - common)
         if value >= similarity:
             out.append((a, b + 1, c, d + 1, float(value)))
         elif len(at) > 1:
             # too unlike as a whole: its parts to both sides of the widest break, down to unbroken runs
-            breaks = np.diff(at) - 1 + np.abs(np.diff(shift))
-            i = int(np.argmax(breaks))
+            breaks = at[1:] - at[:-1] - 1 + np.abs(shift[1:] - shift[:-1])
+            i = int(breaks.argmax())
             if breaks[i] > 0:
                 segments += [(int(at[i + 1]), b), (a, int(at[i]))]
     return sorted(out)
