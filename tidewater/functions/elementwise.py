@@ -27,8 +27,8 @@ def flag(c: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """IEEE division; 0/0 is missing."""
-    return F.when(b != 0, F.try_divide(a, b)).when(a > 0, num(INF)).when(a < 0, num(-INF))
+    """IEEE division; 0/0 and what is divided by or into a missing value are missing."""
+    return F.when(b != 0, F.try_divide(a, b)).when((b == 0) & (a > 0), num(INF)).when((b == 0) & (a < 0), num(-INF))
 
 
 def log(x: Column) -> Column:

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.elementwise import erf, flag, log, num
+from ..functions.elementwise import divide, erf, flag, log, num
 from ..plans.registry import REQUIRED, operator
 
 def nothing() -> Column:
@@ -71,8 +71,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 @operator("Return", "window", policy="propagate", window_size=1)
 def simple_return(w, x, window_size):
-    old = lagged(w, x, window_size)
-    return ratio(x - old, old)
+    return divide(x, lagged(w, x, window_size)) - 1
 
 
 @operator("ROCP", "window", policy="propagate", window_size=10)
@@ -92,7 +91,7 @@ def rocr(w, x, window_size):
 
 @operator("LogReturn", "window", policy="propagate", window_size=1)
 def log_return(w, x, window_size):
-    return log(ratio(x, lagged(w, x, window_size)))
+    return log(divide(x, lagged(w, x, window_size)))
 
 
 @operator("Ffill", "window", policy="propagate")
