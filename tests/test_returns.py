@@ -8,7 +8,7 @@ import pytest
 from tidewater import queries as core
 
 
-@pytest.mark.parametrize("name", ["return", "roc", "rocp"])
+@pytest.mark.parametrize("name", ["return", "roc", "rocp", "rocr"])
 def test_a_zero_before(spark, tmp_path, name):
     begin = dt.datetime(2024, 1, 1)
     values = [0.0, 0.0, 5.0, 0.0, 7.25, 0.0, 3.1, 0.0, 0.0, 12.5, 0.4]

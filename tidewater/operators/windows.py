@@ -86,7 +86,7 @@ def roc(w, x, window_size):
 
 @operator("ROCR", "window", policy="propagate", window_size=10)
 def rocr(w, x, window_size):
-    return ratio(x, lagged(w, x, window_size))
+    return divide(x, lagged(w, x, window_size))
 
 
 @operator("LogReturn", "window", policy="propagate", window_size=1)
