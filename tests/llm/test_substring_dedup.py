@@ -331,3 +331,51 @@ def test_only_pairs_without_a_passage_are_left_out():
     found = np.array([bool(S.passages(raw[b], raw[a])) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
     kept = S.promising(grid, known, stride, whole, i, j)
     assert (kept >= found).all() and found.sum() > 500 and kept.sum() < 0.5 * len(kept)
+
+
+def test_repeated_patterns_are_compared_at_their_ends_and_by_themselves():
+    """A word said a thousand times has the same short run at every place."""
+    at = np.concatenate([np.arange(5, 905), [950, 958]])
+    run = np.concatenate([np.full(900, 7), [9, 9]]).astype(np.uint64)
+    zero = np.zeros(len(at), int)
+    number, begin, size, more = (x.tolist() for x in S.surrounded(zero, run, zero, at))
+    side = S.SHORT + 2 * S.LEAST
+    assert sorted(zip(at[number].tolist(), begin, size, more, strict=True)) == sorted(
+        [(5, 5 - S.LEAST, side, -1), (904, 904 - S.LEAST, side, -1), (5, 5, side, 899 + S.SHORT - side), (950, 950 - S.LEAST, side, -1), (958, 958 - S.LEAST, side, -1)]
+    )
+    assert not any(map(len, S.surrounded(*[np.zeros(0, int)] * 4)))
+
+
+def test_patterns_between_unlike_neighbours_are_found_whole(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    said = [("The", 120), ("du", 400), ("sch", 64)]
+    docs = [(k, " ".join([word() for _ in range(70)] + [w] * 30 + [word() for _ in range(70)])) for k, (w, _) in enumerate(said)]
+    docs += [(10 + k, " ".join([word() for _ in range(60 + k)] + [w] * n + [word() for _ in range(60)])) for k, (w, n) in enumerate(said)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    stretches = spark.createDataFrame([(k, 0, 2000) for k, _ in docs], "doc_id long, lo int, hi int")
+    none = spark.createDataFrame([], "doc_id long, rep_id long, start int, end int, rep_start int, rep_end int, similarity double")
+    got = S.edited_passages(rows, stretches, none).collect()
+    for k, (_, n) in enumerate(said):
+        found = set().union(*(range(r["start"], r["end"] + r["more"]) for r in got if r["doc_id"] == 10 + k and r["rep_id"] == k))
+        assert found == set(range(60 + k, 60 + k + n)), k
+
+
+def test_memory_of_a_group_grows_with_its_shingles_only():
+    """Members times frequent shingles, or patterns times patterns, would take gigabytes in a group of a large input."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    n, m = 9000, 2400
+    near = [np.unique(np.concatenate([m + 4 * (k % 60) + np.arange(4), rng.integers(0, m, 9)])) for k in range(n)]
+    home = np.zeros(n, np.int64)
+    home[rng.choice(n, 40, replace=False)] = np.arange(1, 41)
+    tracemalloc.start()
+    i, j = S.alike(near, np.zeros(n, bool), home)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    sets = [set(x.tolist()) for x in near]
+    enough = np.array([len(x) * S.ENOUGH // (S.SHORT + 2 * S.LEAST) for x in near])
+    want = {(min(a, b), max(a, b)) for a in np.flatnonzero(home).tolist() for b in range(n) if home[a] != home[b] and len(sets[a] & sets[b]) >= min(enough[a], enough[b])}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and 4000 < len(want) < 10000
+    assert peak < 80, peak

@@ -317,6 +317,24 @@ def short_runs(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, runs[at]
 
 
+def surrounded(row: np.ndarray, run: np.ndarray, home: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of a run, begin, size, more): the surroundings to compare, LEAST shingles to both sides of a run. Runs of one hash and
+    home in a row, each of which overlaps the next, are a chain: a pattern of at most SHORT shingles said again and again. A
+    passage with a run of the chain holds its first or its last, or lies within it: so these two have surroundings, and
+    what a chain of LEAST shingles or more consists of is compared by itself; for these, more is by how much the chain goes
+    on behind, and else -1."""
+    order = np.lexsort((at, run, row))
+    r, h, o, p = (x[order] for x in (row, run, home, at))
+    on = np.concatenate([[False], (r[1:] == r[:-1]) & (h[1:] == h[:-1]) & (o[1:] == o[:-1]) & (p[1:] - p[:-1] <= SHORT), [False]])
+    first, last = (np.flatnonzero(~x[: len(at)]) for x in (on, on[1:]))
+    long = p[last] - p[first] + SHORT >= LEAST
+    ends = np.union1d(first, last)
+    begin = np.concatenate([p[ends] - LEAST, p[first[long]]])
+    whole = (p[last] - p[first] + SHORT)[long]
+    size = np.concatenate([np.full(len(ends), SHORT + 2 * LEAST), np.minimum(whole, SHORT + 2 * LEAST)])
+    return order[np.concatenate([ends, first[long]])], begin, size, np.concatenate([np.full(len(ends), -1), whole - size[len(ends) :]])
+
+
 def alike(near: list[np.ndarray], whole: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j), i < j, of sets of shingles that have enough in common and unlike homes, most in common first. `whole` is false for surroundings
     that repeat shingles: of these a share is enough. Sets that share enough frequent shingles only are compared once
@@ -330,10 +348,12 @@ def alike(near: list[np.ndarray], whole: np.ndarray, home: np.ndarray) -> tuple[
         return np.array([p[1] for p in got], np.int64), np.array([p[2] for p in got], np.int64)
     who = np.repeat(np.arange(n), size)
     _, col, holders = np.unique(np.concatenate(near), return_inverse=True, return_counts=True)
-    frequent = np.flatnonzero(holders > FREQUENT)
-    has = np.zeros((n, len(frequent)), bool)
     often = holders[col] > FREQUENT
-    has[who[often], np.searchsorted(frequent, col[often])] = True
+    # the members' frequent shingles, as ascending codes: a table of members by shingles would grow with both
+    stride, item = len(holders), col[often]
+    has = who[often] * stride + item
+    edge = np.searchsorted(has, np.arange(n + 1) * stride)
+    count = np.diff(edge)
     # pairs of holders of the other shingles, with the number that they share
     rare = ~often & (holders[col] > 1)
     order = np.argsort(col[rare], kind="stable")
@@ -344,28 +364,25 @@ def alike(near: list[np.ndarray], whole: np.ndarray, home: np.ndarray) -> tuple[
         codes.append(w[same] * n + w[same + k])
     pairs, shared = np.unique(np.concatenate(codes), return_counts=True)
     found = []
-    for at in range(0, len(pairs), 1 << 16):
-        i, j = pairs[at : at + (1 << 16)] // n, pairs[at : at + (1 << 16)] % n
-        total = shared[at : at + (1 << 16)] + (has[i] & has[j]).sum(1)
+    for at in range(0, len(pairs), 1 << 13):
+        i, j = pairs[at : at + (1 << 13)] // n, pairs[at : at + (1 << 13)] % n
+        total = shared[at : at + (1 << 13)].copy()
+        if len(has):
+            of = np.repeat(np.arange(len(i)), count[i])
+            wanted = item[_ranges(edge[i], count[i])] + j[of] * stride
+            total += np.bincount(of[has[np.minimum(np.searchsorted(has, wanted), len(has) - 1)] == wanted], minlength=len(i))
         ok = total >= np.minimum(enough[i], enough[j])
-        found.append((pairs[at : at + (1 << 16)][ok], total[ok]))
+        found.append((pairs[at : at + (1 << 13)][ok], total[ok]))
     # pairs by frequent shingles alone
-    _, first, of = np.unique(np.packbits(has, axis=1), axis=0, return_index=True, return_inverse=True)
-    lead = first[of.ravel()]
-    count = has.sum(1)
+    known: dict[bytes, int] = {}
+    lead = np.array([known.setdefault(item[a:b].tobytes(), k) for k, (a, b) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False))])
     i = np.flatnonzero((home != home[lead]) & (count >= np.minimum(enough, enough[lead])))
     found.append((np.minimum(i, lead[i]) * n + np.maximum(i, lead[i]), count[i]))
     least = np.full(n, ENOUGH)
     np.minimum.at(least, lead, enough)
-    first = np.sort(first[count[first] >= least[first]])
-    full = has[first].astype(np.float32)
-    for at in range(0, len(first), 256):
-        common = full[at : at + 256] @ full.T
-        i, j = np.nonzero(common >= np.minimum(least[first[at : at + 256], None], least[first]))
-        total = common[i, j].astype(np.int64)
-        i, j = first[i + at], first[j]
-        ok = (i < j) & (home[i] != home[j])
-        found.append((i[ok] * n + j[ok], total[ok]))
+    first = np.array(list(known.values()))
+    first = first[count[first] >= least[first]]
+    found += _by_frequent(first, home[first], least[first], count[first], item[_ranges(edge[first], count[first])], n)
     codes, total = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     order = np.lexsort((codes, -total))
     _, at = np.unique(codes[order], return_index=True)  # the pair's first, with the most in common
@@ -373,6 +390,32 @@ def alike(near: list[np.ndarray], whole: np.ndarray, home: np.ndarray) -> tuple[
     return pairs // n, pairs % n
 
 
+def _by_frequent(member: np.ndarray, home: np.ndarray, least: np.ndarray, count: np.ndarray, item: np.ndarray, n: int, room: int = 1 << 21) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes of pairs of these members with unlike homes that share as many of their items as the lesser `least`, and how
+    many they share. One of any two such is not of the largest home: only those look up the holders of their items, so many
+    at a time that `room` counts hold what they find."""
+    size, out = len(member), []
+    if not len(item):
+        return out
+    of = np.repeat(np.arange(size), count)
+    order = np.argsort(item, kind="stable")
+    holder, start = of[order], np.searchsorted(item[order], np.arange(int(item.max()) + 2))
+    values, number = np.unique(home, return_counts=True)
+    rows = np.flatnonzero(home != values[number.argmax()])
+    edge = np.concatenate([[0], np.cumsum(count)])
+    reach = np.concatenate([[0], np.cumsum(start[item + 1] - start[item])])
+    cost = np.cumsum(np.maximum(reach[edge[rows + 1]] - reach[edge[rows]], size))
+    for block in np.split(rows, np.flatnonzero(np.diff(cost // room)) + 1) if len(rows) else []:
+        mine = _ranges(edge[block], count[block])
+        local = np.repeat(np.arange(len(block)), count[block])
+        length = start[item[mine] + 1] - start[item[mine]]
+        common = np.bincount(np.repeat(local, length) * size + holder[_ranges(start[item[mine]], length)], minlength=len(block) * size).reshape(len(block), size)
+        i, j = np.nonzero((common >= np.minimum(least[block, None], least)) & (home[block, None] != home))
+        x, y = member[block[i]], member[j]
+        out.append((np.minimum(x, y) * n + np.maximum(x, y), common[i, j]))
+    return out
+
+
 def numbered(raw: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
     """Shingles by number: those of each member in order, filled up with a number that none has; the set of each; all
     members' sets in one ascending array, as member * stride + number; and the stride."""
@@ -454,7 +497,8 @@ def _joined(doc: list, home: list) -> np.ndarray:
 
 def edited_passages(documents: DataFrame, stretches: DataFrame, verified: DataFrame, least: int = LEAST) -> DataFrame:
     """Rows as of `verify` for documents with a chosen short run in or around these stretches, where no verified passage
-    joins both to one document yet: what the run's surroundings, `least` shingles to both sides, have in common."""
+    joins both to one document yet: what the run's surroundings, `least` shingles to both sides, have in common; and how many
+    shingles `more` the pattern goes on, where they are nothing else."""
     kind = dict(documents.dtypes)["doc_id"]
     of = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
     homes = verified.groupBy("doc_id").agg(F.collect_list(F.struct("rep_id", "start", (F.col("end") - SHINGLE).alias("stop"))).alias("homes"))
@@ -479,9 +523,13 @@ def edited_passages(documents: DataFrame, stretches: DataFrame, verified: DataFr
                 home = rows[at]
                 for k, a, b in zip(*(x[pc.sort_indices(rep, sort_keys=[("", "descending")]).to_numpy()].tolist() for x in (np.arange(len(rep)), np.searchsorted(at, begin), np.searchsorted(at, stop))), strict=True):
                     home[a:b] = piece.num_rows + k
+                chosen, begin, size, more = surrounded(rows[at], runs, home, at)
+                row = rows[at[chosen]]
+                size += np.minimum(begin - edge[row], 0)
+                begin = np.maximum(begin - edge[row], 0)
                 ids = piece.column("doc_id")
-                cols = [pa.array(runs.view(np.int64)), ids.take(pa.array(rows[at])), pa.array(at - edge[rows[at]], pa.int32()), pa.concat_arrays([ids, rep]).take(pa.array(home))]
-                yield pa.RecordBatch.from_arrays(cols, ["run", "doc_id", "at", "home"])
+                cols = [pa.array(runs[chosen].view(np.int64)), ids.take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(more, pa.int32()), pa.concat_arrays([ids, rep]).take(pa.array(home[chosen]))]
+                yield pa.RecordBatch.from_arrays(cols, ["run", "doc_id", "at", "size", "more", "home"])
 
     def surrounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,24 +537,24 @@ def edited_passages(documents: DataFrame, stretches: DataFrame, verified: DataFr
                 h, rows = shingles(*text_buffer(piece.column("text")))
                 edge = np.searchsorted(rows, np.arange(piece.num_rows + 1), side="left")
                 low = h.astype(np.uint32)  # half of a hash tells some hundred shingles apart
-                of_row, (run, at, home) = _listed(piece.column("todo"))
-                place = at.to_numpy().astype(np.int64)
-                begin = np.minimum(edge[of_row] + np.maximum(place - least, 0), edge[of_row + 1])
-                length = np.minimum(edge[of_row] + place + SHORT + least, edge[of_row + 1]) - begin
+                of_row, (run, at, size, more, home) = _listed(piece.column("todo"))
+                begin = np.minimum(edge[of_row] + at.to_numpy(), edge[of_row + 1])
+                length = np.minimum(begin + size.to_numpy(), edge[of_row + 1]) - begin
                 for s in range(0, len(at), 8192):
                     n = length[s : s + 8192]
                     ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
                     near = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(low[_ranges(begin[s : s + 8192], n)])])
-                    cols = [run[s : s + 8192], home[s : s + 8192], near, piece.column("doc_id").take(pa.array(of_row[s : s + 8192])), at[s : s + 8192]]
-                    yield pa.RecordBatch.from_arrays(cols, ["run", "home", "near", "doc_id", "at"])
+                    cols = [run[s : s + 8192], home[s : s + 8192], near, piece.column("doc_id").take(pa.array(of_row[s : s + 8192])), at[s : s + 8192], more[s : s + 8192]]
+                    yield pa.RecordBatch.from_arrays(cols, ["run", "home", "near", "doc_id", "at", "more"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole(batches, "run"):
-            out, docs, homes, sides, places = [], *(table.column(c).to_pylist() for c in ("doc_id", "home", "near", "at"))
+            out, docs, homes, sides, places, chains = [], *(table.column(c).to_pylist() for c in ("doc_id", "home", "near", "at", "more"))
             for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
                 one: dict = {}  # in order of doc_id
                 for k in range(s, e):
-                    one.setdefault((homes[k], sides[k]), k)
+                    # each chain of a document that nothing joins yet
+                    one.setdefault((homes[k], sides[k], places[k] if chains[k] >= 0 and homes[k] == docs[k] else -1), k)
                 kept = list(one.values())
                 doc, over = [docs[k] for k in kept], [homes[k] for k in kept]
                 home = _joined(doc, over)
@@ -525,21 +573,21 @@ def edited_passages(documents: DataFrame, stretches: DataFrame, verified: DataFr
                 text = np.cumsum([True, *(x != y for x, y in zip(doc, doc[1:], strict=False))])
                 i, j = i[text[i] != text[j]], j[text[i] != text[j]]  # in order of doc_id
                 for k, (a, b, c, d, v) in links(raw, home, np.array([x != y for x, y in zip(over, doc, strict=True)]), i, j, test):
-                    x, y = (max(places[kept[n]] - least, 0) for n in (i[k], j[k]))
-                    out.append((doc[j[k]], doc[i[k]], y + a, y + b + SHINGLE - 1, x + c, x + d + SHINGLE - 1, v))
+                    x, y = (places[kept[n]] for n in (i[k], j[k]))
+                    out.append((doc[j[k]], doc[i[k]], y + a, y + b + SHINGLE - 1, x + c, x + d + SHINGLE - 1, v, max(chains[kept[j[k]]], 0)))
             if out:
                 cols = list(zip(*out, strict=True))
-                kinds = [table.schema.field("doc_id").type] * 2 + [pa.int32()] * 4 + [pa.float64()]
-                names = ["doc_id", "rep_id", "start", "end", "rep_start", "rep_end", "similarity"]
+                kinds = [table.schema.field("doc_id").type] * 2 + [pa.int32()] * 4 + [pa.float64(), pa.int32()]
+                names = ["doc_id", "rep_id", "start", "end", "rep_start", "rep_end", "similarity", "more"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    runs = settled(texts.join(of, "doc_id").join(homes, "doc_id", "left").select("doc_id", "stretches", "homes", "text").mapInArrow(choosing, f"run long, doc_id {kind}, at int, home {kind}"), "short-runs")
+    runs = settled(texts.join(of, "doc_id").join(homes, "doc_id", "left").select("doc_id", "stretches", "homes", "text").mapInArrow(choosing, f"run long, doc_id {kind}, at int, size int, more int, home {kind}"), "short-runs")
     shared = cut(runs.groupBy("run").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("run"))
-    todo = settled(runs.join(shared, "run").groupBy("doc_id").agg(F.collect_list(F.struct("run", "at", "home")).alias("todo")), "short-runs")
-    rows = texts.join(todo, "doc_id").select("doc_id", "todo", "text").mapInArrow(surrounding, f"run long, home {kind}, near binary, doc_id {kind}, at int")
+    todo = settled(runs.join(shared, "run").groupBy("doc_id").agg(F.collect_list(F.struct("run", "at", "size", "more", "home")).alias("todo")), "short-runs")
+    rows = texts.join(todo, "doc_id").select("doc_id", "todo", "text").mapInArrow(surrounding, f"run long, home {kind}, near binary, doc_id {kind}, at int, more int")
     release(documents.sparkSession)  # the shuffles of shorter rows, before surroundings are shuffled
-    dealt = rows.repartition("run").sortWithinPartitions("run", "doc_id", "at")
-    return dealt.mapInArrow(paired, f"doc_id {kind}, rep_id {kind}, start int, end int, rep_start int, rep_end int, similarity double").distinct()
+    dealt = rows.repartition("run").sortWithinPartitions("run", "doc_id", "at", "more")
+    return dealt.mapInArrow(paired, f"doc_id {kind}, rep_id {kind}, start int, end int, rep_start int, rep_end int, similarity double, more int").distinct()
 
 
 def _along_runs(mine: np.ndarray, theirs: np.ndarray, place: np.ndarray, least: int) -> None:
@@ -718,11 +766,11 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     second = settled(first.unionByName(verify(rows, fresh)), "passages")
     edited = cut(edited_passages(rows, stretches.where("not whole"), second))
     margin = F.lit(2 * LEAST)  # beyond the surroundings of a run passages may go on
-    wide = edited.groupBy("doc_id", F.col("rep_id").alias("rep")).agg(F.greatest(F.min("start") - margin, F.lit(0)).alias("lo"), (F.max("end") + margin).alias("hi"))
+    wide = edited.groupBy("doc_id", F.col("rep_id").alias("rep")).agg(F.greatest(F.min("start") - margin, F.lit(0)).alias("lo"), (F.max(F.col("end") + F.col("more")) + margin).alias("hi"))
     third = cut(verify(rows, cut(wide)))
     # a row from the surroundings stays where the wider comparison doesn't cover it
     there = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "rep_id")]
-    alone = edited.alias("a").join(third.alias("b"), [*there, F.col("a.start") < F.col("b.end"), F.col("b.start") < F.col("a.end")], "left_anti")
+    alone = edited.alias("a").join(third.alias("b"), [*there, F.col("a.start") < F.col("b.end"), F.col("b.start") < F.col("a.end")], "left_anti").drop("more")
     return second.unionByName(third).unionByName(alone).distinct()
 
 
