@@ -163,3 +163,15 @@ def test_blocks_equal_steps(name, params, n_in):
     for i, w in enumerate(want):
         np.testing.assert_allclose(np.concatenate([p[i] for p in parts]), w, rtol=1e-9, atol=1e-10)
         np.testing.assert_allclose(whole.block(*x)[i] if i == 0 else w, w, rtol=1e-9, atol=1e-10)
+
+
+def test_exponential_moments_of_series_without_spread():
+    """Sums of squares that cancel leave neither a slope nor a spread where all values are equal."""
+    from tidewater.operators import kernels as k
+
+    x, y = np.array([6.7, 14.7]), np.array([7.675, 7.675])
+    for name in ("EwBeta", "EwAlpha", "EwSpread", "EwCorr"):
+        assert np.isnan(getattr(k, name)(alpha=0.25).block(x, y)[0]).all(), name
+    for v in (20.58, 7.675, 0.1):
+        assert k.EwStd(alpha=0.25).block(np.full(60, v))[0][1:].tolist() == [0.0] * 59
+    assert (k.EwStd(alpha=0.25).block(np.array([20.055, 20.0575] * 9))[0][1:] > 0.001).all()

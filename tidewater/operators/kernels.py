@@ -164,8 +164,15 @@ def _weighted(name: str, products: str, rule, n_in: int = 1) -> None:
     cls.__module__ = __name__
 
 
+def _spread(m, c):
+    """The mean square around the mean; nothing where it is within the rounding of the sums that cancel."""
+    square = m[c + c]
+    v = square - m[c] ** 2
+    return np.where(v <= 2.0**-47 * square, 0.0, v)
+
+
 def _var(m, n, *_):
-    return np.where(n > 1, np.maximum(m["xx"] - m["x"] ** 2, 0) * n / (n - 1), NAN)
+    return np.where(n > 1, _spread(m, "x") * n / (n - 1), NAN)
 
 
 def _third(m, n, *_):
@@ -185,12 +192,12 @@ def _cov(m, n, *_):
 
 
 def _corr(m, n, *_):
-    v = (m["xx"] - m["x"] ** 2) * (m["yy"] - m["y"] ** 2)
+    v = _spread(m, "x") * _spread(m, "y")
     return np.where((n > 1) & (v > 0), (m["xy"] - m["x"] * m["y"]) / np.sqrt(np.where(v > 0, v, NAN)), NAN)
 
 
 def _slope(m, n, *_):
-    v = m["yy"] - m["y"] ** 2
+    v = _spread(m, "y")
     return np.where((n > 1) & (v > 0), (m["xy"] - m["x"] * m["y"]) / v, NAN)
 
 
